@@ -3,16 +3,42 @@
 from __future__ import annotations
 
 from .common import table
+from .decontaminate import report
 from .fingerprint import fingerprints
+from .shuffle import shards
 
 
 def op2_fingerprint(spark, sf_dir):
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op7_external_shuffle(spark, sf_dir):
+    return shards(table(spark, sf_dir, "documents"))
+
+
+def op10_decontaminate(spark, sf_dir):
+    return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bn AS (SELECT item_id, w, least(8, len(w)) AS n FROM b WHERE len(w) > 0),
+bg AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, n, array_to_string(w[i : i + n - 1], ' ') AS g FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM bn)),
+sizes AS (SELECT DISTINCT n FROM bg),
+dg AS (SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+h AS (SELECT dg.doc_id, dg.n, dg.i, bg.item FROM dg JOIN bg ON dg.g = bg.g AND dg.n = bg.n),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM h) GROUP BY doc_id),
+items AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM h GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(words.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(items.n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(items.names, '')) AS items_sha256, coalesce(items.n_items, 0) >= 2 AS contaminated
+FROM d LEFT JOIN words ON d.doc_id = words.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
+"""
+
+
 def oracle_sql():
-    return {}
+    return {"op10_decontaminate": OP10_SQL}
