@@ -6,6 +6,7 @@ from .common import table
 from .decontaminate import report
 from .fingerprint import fingerprints
 from .shuffle import shards
+from .simhash import simhash_components
 
 
 def op2_fingerprint(spark, sf_dir):
@@ -16,6 +17,10 @@ def op7_external_shuffle(spark, sf_dir):
     return shards(table(spark, sf_dir, "documents"))
 
 
+def op8_simhash(spark, sf_dir):
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark, sf_dir):
     return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
