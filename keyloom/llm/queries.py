@@ -5,6 +5,7 @@ from __future__ import annotations
 from .common import table
 from .decontaminate import report
 from .fingerprint import fingerprints
+from .pii import find
 from .shuffle import shards
 from .simhash import simhash_components
 
@@ -21,6 +22,10 @@ def op8_simhash(spark, sf_dir):
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark, sf_dir):
+    return find(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark, sf_dir):
     return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
