@@ -8,12 +8,17 @@ from .fingerprint import fingerprints
 from .pii import find
 from .shuffle import shards
 from .simhash import simhash_components
+from .substrings import report as substring_report
 
 
 def op2_fingerprint(spark, sf_dir):
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op3_substrings(spark, sf_dir):
+    return substring_report(table(spark, sf_dir, "documents"))
+
+
 def op7_external_shuffle(spark, sf_dir):
     return shards(table(spark, sf_dir, "documents"))
 
@@ -34,6 +39,17 @@ def queries():
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS n FROM g),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM r WHERE n > 1),
+kept AS (SELECT x.doc_id, string_agg(x.w, ' ' ORDER BY x.p) AS t, count(*) AS n
+         FROM (SELECT doc_id, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS p FROM d) AS x ANTI JOIN gone ON x.doc_id = gone.doc_id AND x.p = gone.p GROUP BY x.doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
 OP10_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -51,4 +67,4 @@ FROM d LEFT JOIN words ON d.doc_id = words.doc_id LEFT JOIN items ON d.doc_id =
 
 
 def oracle_sql():
-    return {"op10_decontaminate": OP10_SQL}
+    return {"op3_substrings": OP3_SQL, "op10_decontaminate": OP10_SQL}
