@@ -5,6 +5,7 @@ from __future__ import annotations
 from .common import table
 from .decontaminate import report
 from .fingerprint import fingerprints
+from .packing import pack
 from .pii import find
 from .shuffle import shards
 from .simhash import simhash_components
@@ -19,6 +20,12 @@ def op3_substrings(spark, sf_dir):
     return substring_report(table(spark, sf_dir, "documents"))
 
 
+def op6_best_fit(spark, sf_dir):
+    import public_tokenizers
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_external_shuffle(spark, sf_dir):
     return shards(table(spark, sf_dir, "documents"))
 
