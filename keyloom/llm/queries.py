@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import quality, toxicity, warc
 from .common import table
 from .decontaminate import report
 from .fingerprint import fingerprints
@@ -12,6 +13,10 @@ from .simhash import simhash_components
 from .substrings import report as substring_report
 
 
+def op1_toxicity(spark, sf_dir):
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_fingerprint(spark, sf_dir):
     return fingerprints(table(spark, sf_dir, "documents"))
 
@@ -20,6 +25,15 @@ def op3_substrings(spark, sf_dir):
     return substring_report(table(spark, sf_dir, "documents"))
 
 
+def op4_merkle_fixity(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return warc.report(pages, warc.damaged(pages))
+
+
+def op5_quality(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_best_fit(spark, sf_dir):
     import public_tokenizers
 
@@ -57,6 +71,16 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(k
 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
 """
 
+OP4_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, 'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') AS body,
+           page_id % 97 = 5 AND length(html) > 0 AND html[1] <> '#' AS damaged FROM pages WHERE page_id IS NOT NULL),
+r AS (SELECT page_id, damaged, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10)
+      || 'Content-Type: application/http;msgtype=response' || chr(13) || chr(10) || 'Content-Length: ' || strlen(body) || chr(13) || chr(10) || chr(13) || chr(10) || body || chr(13) || chr(10) || chr(13) || chr(10) AS r FROM p)
+SELECT page_id, page_id // 256 AS file, row_number() OVER w - 1 AS place, CAST(sum(strlen(r)) OVER w - strlen(r) AS BIGINT) AS start, strlen(r) AS size,
+       sha256('\x00'::BLOB || encode(r)) AS digest, NOT damaged AS intact
+FROM r WINDOW w AS (PARTITION BY page_id // 256 ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+"""
+
 OP10_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -74,4 +98,4 @@ FROM d LEFT JOIN words ON d.doc_id = words.doc_id LEFT JOIN items ON d.doc_id =
 
 
 def oracle_sql():
-    return {"op3_substrings": OP3_SQL, "op10_decontaminate": OP10_SQL}
+    return {"op3_substrings": OP3_SQL, "op4_merkle_fixity": OP4_SQL, "op10_decontaminate": OP10_SQL}
