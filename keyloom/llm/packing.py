@@ -14,6 +14,11 @@ An empty table gives no rows. Other columns are not read.
 
 from __future__ import annotations
 
+import json
+import os
+import re
+import struct
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
@@ -30,34 +35,112 @@ SIZE, END, MAX_STEPS = 2048, 0, 20_000
 CACHE = 400_000
 
 # Where one of these stands, a text isn't cut at white space, as the pre-tokeniser may see a blank there differently.
-_ODD = tuple(map(chr, (0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F, 0x85)))
+_ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85]")
+_PUNCTUATION = "!#$%&()*+,-./:;<=>?@[\\]^_`{|}~\""  # runs of these are one piece; an apostrophe can begin another
+_END_OF_WORD = b"\xff"  # no byte of UTF-8
+
+
+def _byte_letters() -> dict[str, int]:
+    """The letters that byte-level vocabularies write for bytes."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in plain)}
+
+
+def ranked_vocabulary(path: str) -> dict[bytes, int] | None:
+    """Tokens as bytes by rank, if greedy merging by rank gives what the file's merge list gives, else None.
+
+    Let all tokens of a vocabulary be reached when they stand alone, each by one pair. Inside a token's bounds, merging
+    goes on as if it stood alone for as long as nothing merges across them; so two neighbours that together make a token
+    are the very pair that its merge names, and merging by the rank of the result is merging by the list. Ends of words
+    are a byte of their own, which joins its neighbour before anything else does."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    letters, vocab = _byte_letters(), model["vocab"]
+    merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    rank = {pair: k for k, pair in enumerate(merges)}
+    first = len(vocab) - len(merges) - sum(t.startswith("<|") for t in vocab)
+    if model.get("end_of_word_suffix") != "</w>" or len({a + b for a, b in merges}) != len(merges) or any(vocab.get(a + b) != first + k for k, (a, b) in enumerate(merges)):
+        return None
+    out = {}
+    for token, number in vocab.items():
+        if token.startswith("<|"):
+            continue
+        body, end = (token[:-4], True) if token.endswith("</w>") else (token, False)
+        parts = list(body)
+        if not parts or any(c not in letters for c in parts):
+            return None
+        if end:
+            parts[-1] += "</w>"
+        while len(parts) > 1:
+            k = min(range(len(parts) - 1), key=lambda i: rank.get((parts[i], parts[i + 1]), 1 << 30))
+            if (parts[k], parts[k + 1]) not in rank:
+                return None
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        out[bytes(letters[c] for c in body) + _END_OF_WORD * end] = number
+    return out if sorted(out.values())[: len(out)] == list(range(len(out))) else None
 
 
 class Encoder:
     """Ids of whole texts as little-endian 32-bit bytes.
 
     The pre-tokeniser drops white space and never joins what it parts, so a text's ids are those of its chunks between
-    white space, and chunks recur. What a worker remembers is bounded; it changes speed only."""
+    white space, and chunks recur. A chunk of letters, with marks after them at most, is merged by rank (see
+    ranked_vocabulary); all others go through the tokenizer. What a worker remembers is bounded; it changes speed only."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok, self.known = Tokenizer.from_file(path), {}
+        self.tok, self.known, self.merge = Tokenizer.from_file(path), {}, None
+        ranks = ranked_vocabulary(path)
+        if ranks:
+            import tiktoken
+
+            core = tiktoken.Encoding("words", pat_str=r"(?s:.)+", mergeable_ranks=ranks, special_tokens={})
+            self.merge = getattr(core, "_encode_single_piece", None)
+        self.marks = {"": b""}
+
+    def _slow(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for k in range(0, len(texts), 1000) for e in self.tok.encode_batch_fast(texts[k : k + 1000], add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        rest, known, merge, marks = [], self.known, self.merge, self.marks
+        if len(marks) > 10_000:
+            marks.clear()
+        for word in words:
+            stem = word.rstrip(_PUNCTUATION)
+            tail = word[len(stem) :]
+            if tail not in marks:
+                marks[tail] = self._slow([tail])[0]
+            # Composed letters only; a capital sigma's small letter depends on its place in str.lower().
+            if merge and stem.isalpha() and (stem.isascii() or "\u03a3" not in stem and unicodedata.is_normalized("NFC", stem) and stem.lower().isalpha()):
+                ids = merge(stem.lower().encode() + _END_OF_WORD)
+                known[word] = struct.pack(f"<{len(ids)}I", *ids) + marks[tail]
+            else:
+                rest.append(word)
+        self.known.update(zip(rest, self._slow(rest)))
+
+    def __call__(self, text: str) -> bytes:
+        if _ODD.search(text):
+            return self._slow([text])[0]
+        words, known = text.split(), self.known
+        new = {w for w in words if w not in known}
+        if new:
+            if len(known) + len(new) > CACHE:
+                known.clear()
+                new = set(words)
+            self._learn(list(new))
+        return b"".join(map(known.__getitem__, words))
+
+
+_encoders: dict[str, Encoder] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [None if any(c in t for c in _ODD) else t.split() for t in texts]
-        new = list({w for words in split if words for w in words} - self.known.keys())
-        if new and len(self.known) + len(new) > CACHE:
-            self.known = {}
-            new = list({w for words in split if words for w in words})
-        for k in range(0, len(new), 20_000):
-            self.known.update(zip(new[k : k + 20_000], self._encode(new[k : k + 20_000])))
-        whole = iter(self._encode([t for t, words in zip(texts, split) if words is None]))
-        get = self.known.__getitem__
-        return [next(whole) if words is None else b"".join(map(get, words)) for words in split]
+def encoder(path: str) -> Encoder:
+    """One for each worker process."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -66,22 +149,20 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, id
     last = np.array([end], "<u4").tobytes()
 
     def run(batches):
-        encode = Encoder(tokenizer)
+        encode = encoder(tokenizer)
         for batch in batches:
-            docs, keys = batch.column("doc_id").to_pylist(), batch.column("key").to_pylist()
-            texts = batch.column("text").to_pylist()
-            for k in range(0, len(texts), 256):
-                rows = []
-                for d, key, ids in zip(docs[k : k + 256], keys[k : k + 256], encode(texts[k : k + 256])):
-                    ids += last
+            for k in range(0, batch.num_rows, 256):
+                part, rows = batch.slice(k, 256), []
+                for d, key, text in zip(part.column("doc_id").to_pylist(), part.column("key").to_pylist(), part.column("text").to_pylist()):
+                    ids = encode(text) + last
                     for n, at in enumerate(range(0, len(ids), 4 * size)):
-                        part = ids[at : at + 4 * size]
-                        rows.append((d, n, at // 4, len(part) // 4, zlib.crc32(part), key, part if with_ids else None))
-                d, n, at, length, crc, key, part = zip(*rows)
+                        piece = ids[at : at + 4 * size]
+                        rows.append((d, n, at // 4, len(piece) // 4, zlib.crc32(piece), key, piece if with_ids else None))
+                d, n, at, length, crc, key, parts = zip(*rows)
                 cols = [pa.array(d, pa.int64()), pa.array(n, pa.int32()), pa.array(at, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(key, pa.int64())]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "key"]
                 if with_ids:
-                    cols.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in part], pa.list_(pa.int32())))
+                    cols.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in parts], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
 
