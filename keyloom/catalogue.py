@@ -122,8 +122,8 @@ _text("fuse_out", "g:v(supplier).fuseout(based_in)", "SELECT 'supplier/' || s_su
 _B, _M = "v(customer).has(c_mktsegment,BUILDING)", "v(customer).gt(c_acctbal,5000)"
 _sb, _sm = "c_mktsegment = 'BUILDING'", "c_acctbal > 5000"
 for _name, _op, _where in (("or", "|", f"{_sb} OR {_sm}"), ("and", "&", f"{_sb} AND {_sm}"), ("xor", "|&", f"({_sb}) <> ({_sm})"), ("not", "!", f"{_sb} AND NOT {_sm}")):
-    _text(f"set_{_name}", f"g:{_B} {_op} {_M}", f"SELECT 'customer/' || c_custkey AS key FROM customer WHERE {_where}")
-_text("or_and_precedence", f"g:{_B} & {_M} | v(customer).lt(c_acctbal,0)", f"SELECT 'customer/' || c_custkey AS key FROM customer WHERE {_sb} AND ({_sm} OR c_acctbal < 0)")
+    _text(f"set_{_name}", f"g:{_B} {_op} ({_M})", f"SELECT 'customer/' || c_custkey AS key FROM customer WHERE {_where}")
+_text("or_and_precedence", f"g:{_B} & ({_M}) | (v(customer).lt(c_acctbal,0))", f"SELECT 'customer/' || c_custkey AS key FROM customer WHERE {_sb} AND ({_sm} OR c_acctbal < 0)")
 _text("as_use_and", "g:v(nation).in(lives_in).as(ws).has(c_mktsegment,BUILDING).in(placed_by).out(placed_by).use(ws) &", "SELECT DISTINCT 'customer/' || c_custkey AS key FROM customer WHERE c_mktsegment = 'BUILDING' AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 _text("merge_join_steps", "g:merge(v(party),v(supplier))", "SELECT 'supplier/' || s_suppkey AS key FROM supplier")
 
@@ -182,9 +182,9 @@ def _ft(name: str, query: str, sql: str) -> None:
 
 _sum = lambda where: f"SELECT key, kind, sum(score) AS score FROM p WHERE {where} GROUP BY key, kind"
 _out = lambda body, where="true": f" SELECT key, kind, round(score, 6) AS score FROM ({body}) WHERE {where}"
-_keep("postings_weighted", lambda s, d: analyse.postings(driver_graph(s, d).documents).withColumn("score", F.round("score", 6)), _P + " SELECT key, kind, field, token, round(score, 6) AS score FROM p")
-_keep("postings_unweighted", lambda s, d: analyse.postings(driver_graph(s, d).documents, "unweighted").withColumn("score", F.round("score", 6)), _P + " SELECT key, kind, field, token, round(w, 6) AS score FROM p")
-_keep("token_tally", lambda s, d: analyse.tally(analyse.fields(driver_graph(s, d).documents)).groupBy("field", "token").agg(F.sum("n").alias("n"), F.round(F.sum("weight"), 4).alias("weight")), _P + " SELECT field, token, CAST(sum(n) AS BIGINT) AS n, round(sum(w), 4) AS weight FROM p GROUP BY ALL")
+_keep("postings_weighted", lambda s, d: analyse.postings(driver_graph(s, d).documents).withColumn("score", F.round(F.col("score") + 1e-9, 6)), _P + " SELECT key, kind, field, token, round(score + 1e-9, 6) AS score FROM p")
+_keep("postings_unweighted", lambda s, d: analyse.postings(driver_graph(s, d).documents, "unweighted").withColumn("score", F.round(F.col("score") + 1e-9, 6)), _P + " SELECT key, kind, field, token, round(w + 1e-9, 6) AS score FROM p")
+_keep("token_tally", lambda s, d: analyse.tally(analyse.fields(driver_graph(s, d).documents)).groupBy("field", "token").agg(F.sum("n").alias("n"), F.round(F.sum("weight") + 1e-9, 4).alias("weight")), _P + " SELECT field, token, CAST(sum(n) AS BIGINT) AS n, round(sum(w) + 1e-9, 4) AS weight FROM p GROUP BY ALL")
 _ft("ft_term", "idiot", _out(_sum("token = 'IDIOT'")))
 _ft("ft_glob", "'anti*'", _out(_sum("token LIKE 'ANTI%'")))
 _ft("ft_field_eq", "lang == de", _out(_sum("field = 'LANG' AND token = 'DE'")))

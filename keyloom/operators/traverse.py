@@ -101,8 +101,13 @@ def endpoints(graph: Graph, rel: Relation, side: str) -> Relation:
 
 
 def _is_predicate(graph: Graph, name: str) -> bool:
-    known = name in graph.ends or ("E", name) in graph._children or any(c in name for c in "*?[")
-    return known or graph.edges.where(F.col("predicate") == name).limit(1).count() > 0
+    if name in graph.ends or ("E", name) in graph._children:
+        return True
+    test = glob(F.col("predicate"), name) if any(c in name for c in "*?[") else F.col("predicate") == name
+    if graph.ends:
+        names = graph.spark.createDataFrame([(n,) for n in graph.ends], "predicate string")
+        return names.where(test).limit(1).count() > 0
+    return graph.edges.where(test).limit(1).count() > 0
 
 
 def edge_scan(graph: Graph, words: list[str]) -> Relation:
