@@ -46,6 +46,7 @@ class Context:
     edge: PendingEdge | None = None
     queues: list[tuple[str, Relation, str]] = field(default_factory=list)
     wrote: bool = False
+    links: list = field(default_factory=list)  # edges that were added, as frames
     extra: dict[str, Callable] = field(default_factory=dict)
 
     # -- operands ---------------------------------------------------------------------------------------------------
@@ -429,6 +430,7 @@ def _commit(c: Context) -> bool:
         return False
     c.graph, rel = mutate.add_edges(c.graph, mutate.pairs(e.subject.keys(), e.object.keys()), e.predicate, e.inverse)
     c.edge, c.wrote = None, True
+    c.links.append(rel.df)
     c.push(rel)
     return True
 
@@ -446,6 +448,7 @@ def _add_edge(c, op, dialect):
         rows = mutate.edges_from_property(c.graph, rel, name)
         c.graph, made = mutate.add_edges(c.graph, rows, predicate, rest[0] if rest else None, weight)
         c.wrote = True
+        c.links.append(made.df)
         c.push(rel if rel.kind != EDGE else made)
         return
     if len(words) >= 3:
@@ -454,6 +457,7 @@ def _add_edge(c, op, dialect):
         pairs = mutate.pairs(c.resolve(subject).keys(), c.resolve(obj).keys())
         c.graph, rel = mutate.add_edges(c.graph, pairs, predicate, inverse[0] if inverse else None, weight)
         c.wrote = True
+        c.links.append(rel.df)
         c.push(rel)
         return
     c.edge = PendingEdge(words[0], words[1] if len(words) > 1 else None)

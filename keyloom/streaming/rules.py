@@ -1,8 +1,9 @@
 """Standing rules: traversal queries over the keys that changed, set at a time.
 
-A rule starts from the touched keys that are vertices. A touched key that is in the rule's result is a hit and gets the
-posting (key, RULE, name); the others lose it. Rules run in the order of their names and see what those before them
-wrote. What a round's writes touch goes into the next round, up to `max_rounds`.
+A rule starts from the touched keys that are vertices. What it comes to are its hits, which get the posting
+(key, RULE, name); touched keys that it doesn't come to lose it, and count as misses. Rules run in the order of their names and see what those before them
+wrote. Property writes don't come back as changes; new edges touch both their ends, which go into the next round, up to
+`max_rounds`.
 """
 
 from __future__ import annotations
@@ -67,11 +68,16 @@ class Rules:
             r.applies = r.skips = r.hits = r.misses = 0
 
     def _once(self, rule: Rule, touched: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-        """(hits as keys, keys that its writes touched)."""
+        """(hits as keys, ends of the edges that it added)."""
         e = self.engine
         keys = touched.join(e.graph.vertices.select(F.col("id").alias("key")), "key", "left_semi")
         rel, c = e.relation(rule.text, Relation(keys, VERTEX), "traversal")
         found = stored(rel.df.select("key").distinct())
+        ends = None
+        for links in c.links:
+            own = links.select(F.explode(F.array("subject", "object")).alias("key")).distinct()
+            ends = own if ends is None else ends.unionByName(own)
+        ends = stored(ends) if ends is not None else None
         if c.wrote:
             e.graph = c.graph.changed(vertices=stored(c.graph.vertices), edges=stored(c.graph.edges))
         for name, rows, what in c.queues:
@@ -82,7 +88,7 @@ class Rules:
         rule.skips += edges
         rule.hits += hits
         rule.misses += total - edges - hits
-        return found, found if c.wrote else None
+        return found, ends
 
     def apply(self, keys: DataFrame) -> DataFrame:
         """Runs all rules on the keys; gives (key, kind, rule, score) of the hits and updates the index."""
