@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import stored, texts_of
 
 SHINGLE, MAX_BITS, LIST_CAP = 4, 4, 4096
+#: Largest number of ids (8 bytes each, about 100 MB as a hash table) that is broadcast.
+BROADCAST_IDS = 1_000_000
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -193,7 +195,9 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     Documents without an id cannot be told apart and stay. Rows that repeat a kept id are one document and stay once."""
     groups = stored(simhash_components(docs, **options).select("doc_id", "component_id"))
     gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    out = docs.join(gone, docs.doc_id == F.col("_gone"), "left_anti")
+    gone = stored(gone)
+    # Texts stay where they are while the ids that go are few enough to send to all; beyond that they are joined.
+    out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, docs.doc_id == F.col("_gone"), "left_anti")
     if groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
         first = Window.partitionBy("doc_id").orderBy("text")
         named = out.where("doc_id IS NOT NULL").withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
