@@ -164,7 +164,10 @@ def _found(docs: DataFrame, id_col: str, text_col: str, options: dict) -> DataFr
     """The scan's columns with terms, an array of (s, z, share)."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     scanned = stored(texts.withColumn("key", F.xxhash64("text")).mapInArrow(_scan, _SCAN))
-    given = disclosures(scanned, texts.select("text"), **options)
+    return _with_terms(scanned, disclosures(scanned, texts.select("text"), **options))
+
+
+def _with_terms(scanned: DataFrame, given: DataFrame) -> DataFrame:
     spots = scanned.select("doc_id", "key", F.explode("near").alias("x")).select("doc_id", "key", "x.e", "x.t", "x.s", "x.z").distinct()
     terms = spots.join(given, ["e", "t"]).groupBy("doc_id", "key", "s", "z").agg(F.max("share").alias("share"))
     terms = terms.groupBy(F.col("doc_id").alias("_i"), F.col("key").alias("_k")).agg(F.sort_array(F.collect_list(F.struct("s", "z", "share"))).alias("terms"))
@@ -196,17 +199,45 @@ def _rewrite(text: str, base: str, terms: list) -> str:
     return "".join([*out, text[at:]])
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The columns of docs with their texts rewritten; a text without findings stays as it is, null included."""
+def _apply(text: str, given: dict) -> str | None:
+    """The text rewritten with disclosing pairs known, or None if there is nothing to do."""
+    spans = base_spans(text)
+    if not spans:
+        return None
+    shares: dict[tuple[int, int], float] = {}
+    for e, t, s, z, _ in _contexts(text, spans) if given else ():
+        if (e, t) in given:
+            shares[s, z] = max(given[e, t], shares.get((s, z), 0.0))
+    return _rewrite(text, _joined(spans), [{"s": s, "z": z, "share": share} for (s, z), share in sorted(shares.items())])
+
+
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pair_set: int = TERM_SET, **options) -> DataFrame:
+    """The columns of docs with their texts rewritten; a text without findings stays as it is, null included.
+
+    Up to `pair_set` disclosing (value, word) pairs are broadcast, and texts are rewritten where they are; with more, the
+    findings are joined to the documents."""
     names = docs.columns
-    found = _found(docs, id_col, text_col, options).where("base <> '' OR terms IS NOT NULL").select(F.col("doc_id").alias("_i"), F.col("key").alias("_k"), "base", "terms").distinct()
     held = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("_row"), F.col(text_col).cast("string").alias("_text"), F.col(id_col).cast("long").alias("_id"))
-    joined = held.join(found, F.expr("_id <=> _i AND xxhash64(coalesce(_text, '')) = _k"), "left").select("_row", F.when(F.col("base").isNotNull(), F.col("_text")).alias("_text"), "base", "terms")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    scanned = stored(texts.withColumn("key", F.xxhash64("text")).mapInArrow(_scan, _SCAN))
+    given = stored(disclosures(scanned, texts.select("text"), **options))
+    if given.count() <= pair_set:
+        pairs = docs.sparkSession.sparkContext.broadcast({(r.e, r.t): r.share for r in given.toLocalIterator()})
+
+        def run(batches):
+            for batch in batches:
+                new = [None if x is None else _apply(x, pairs.value) for x in batch.column("_text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(new, pa.string())], ["_row", "_new"])
 
-    def run(batches):
-        for batch in batches:
-            new = [None if x is None else _rewrite(x, base, terms) for x, base, terms in zip(batch.column("_text").to_pylist(), batch.column("base").to_pylist(), batch.column("terms").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(new, pa.string())], ["_row", "_new"])
+        out = held.select("_row", "_text").mapInArrow(run, f"_row {docs.schema.simpleString()}, _new string")
+    else:
+        found = _with_terms(scanned, given).where("base <> '' OR terms IS NOT NULL").select(F.col("doc_id").alias("_i"), F.col("key").alias("_k"), "base", "terms").distinct()
+        joined = held.join(found, F.expr("_id <=> _i AND xxhash64(coalesce(_text, '')) = _k"), "left").select("_row", F.when(F.col("base").isNotNull(), F.col("_text")).alias("_text"), "base", "terms")
+
+        def joined_run(batches):
+            for batch in batches:
+                new = [None if x is None else _rewrite(x, base, terms) for x, base, terms in zip(batch.column("_text").to_pylist(), batch.column("base").to_pylist(), batch.column("terms").to_pylist())]
+                yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(new, pa.string())], ["_row", "_new"])
 
-    out = joined.mapInArrow(run, f"_row {docs.schema.simpleString()}, _new string")
+        out = joined.mapInArrow(joined_run, f"_row {docs.schema.simpleString()}, _new string")
     return out.select(*[F.coalesce("_new", F.col(f"_row.`{n}`")).alias(n) if n == text_col else F.col(f"_row.`{n}`").alias(n) for n in names])
