@@ -32,7 +32,7 @@ from .common import stored, texts_of
 
 SIZE, END, MAX_STEPS = 2048, 0, 20_000
 #: Chunks of text whose ids a worker remembers.
-CACHE = 400_000
+CACHE = 250_000
 
 # Where one of these stands, a text isn't cut at white space, as the pre-tokeniser may see a blank there differently.
 _ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85]")
