@@ -73,6 +73,17 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.Record
     return df.mapInArrow(run, schema)
 
 
+def nullable(kind: pa.DataType) -> pa.DataType:
+    """The type with all of its parts nullable, as schemas written in text are."""
+    if pa.types.is_struct(kind):
+        return pa.struct([pa.field(f.name, nullable(f.type)) for f in kind])
+    if pa.types.is_list(kind):
+        return pa.list_(pa.field(kind.value_field.name, nullable(kind.value_type)))
+    if pa.types.is_map(kind):
+        return pa.map_(kind.key_type, pa.field(kind.item_field.name, nullable(kind.item_type)))
+    return kind
+
+
 def texts_of(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """UTF-8 texts of a column; null counts as empty."""
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]

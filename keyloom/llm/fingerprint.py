@@ -66,8 +66,9 @@ def with_successor(docs: DataFrame) -> DataFrame:
     whole = None
     if ids.groupBy("doc_id").count().where("count > 1").limit(1).count():  # repeated ids: one text stands for each
         whole, ids = ids, ids.groupBy("doc_id").agg(F.min("text").alias("text"))
-    bits = max(1, (int(high) - int(low)).bit_length() + 1 - BUCKET_BITS)
-    bucket = F.shiftright("doc_id", BUCKET_BITS)
+    # Buckets are numbered from the lowest, so that all of them have one ancestor.
+    bits = max(1, ((int(high) >> BUCKET_BITS) - (int(low) >> BUCKET_BITS)).bit_length())
+    bucket = F.shiftright("doc_id", BUCKET_BITS) - F.lit(int(low) >> BUCKET_BITS)
     heads = stored(ids.groupBy(bucket.alias("b")).agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("tail")))
     links = _next_heads(heads.select("b", "head"), bits).join(heads.select("b", "tail"), "b").select("tail", F.coalesce("follow", F.lit(low).cast("long")).alias("succ_id"))
     links = stored(links)

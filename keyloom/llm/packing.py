@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import stored, texts_of
 
-SIZE, END, MAX_STEPS = 2048, 0, 20_000
+SIZE, END, MAX_STEPS = 2048, 0, 5_000
 #: Chunks of text whose ids a worker remembers.
 CACHE = 250_000
 
@@ -285,7 +285,7 @@ def local_search(bins: Counter, size: int, max_steps: int = MAX_STEPS, width: in
             bins[rest] += n
         else:
             count -= n
-        stuck -= {rest, fuller}
+        stuck.clear()
     return bins
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_dir, stored
+from .common import nullable, scratch_dir, stored
 
 BUCKET_BYTES = 16 << 20
 SHARDS = 8
@@ -52,7 +52,8 @@ def external_shuffle(docs: DataFrame, path: str, seed: int = 0, bucket_bytes: in
         order = np.lexsort((crc, np.array(sizes), tab.column("_key").to_numpy()))
         order = order[fisher_yates(n, seed * 1_000_003 + number)]
         take = pa.array(order)
-        return pa.table({"_row": tab.column("_row").take(take), "_bucket": tab.column("_bucket").take(take), "_place": pa.array(np.arange(n)), "_size": pa.array(np.array(sizes, np.int64)[order] + 1), "_crc": pa.array(crc[order])})
+        rows = tab.column("_row").take(take)
+        return pa.table({"_row": rows.cast(nullable(rows.type)), "_bucket": tab.column("_bucket").take(take), "_place": pa.array(np.arange(n)), "_size": pa.array(np.array(sizes, np.int64)[order] + 1), "_crc": pa.array(crc[order])})
 
     held.groupBy("_bucket").applyInArrow(bucket, types).select(*[F.col(f"_row.`{n}`").alias(n) for n in names], "_bucket", "_place", "_size", "_crc").write.parquet(path)
     return spark.read.parquet(path)
