@@ -173,7 +173,7 @@ def test_components(spark, cap):
 
 def test_keep_one(spark):
     df = docs(spark, awkward(), extra=True)
-    got = simhash.keep_one(df, shingle=5)
+    got = simhash.keep_one(df)
     assert got.columns == df.columns
     ids = [r.doc_id for r in got.collect()]
     assert ids.count(5) == 0 and 4 in ids and 7 in ids and ids.count(None) == 2
@@ -181,6 +181,34 @@ def test_keep_one(spark):
     assert simhash.keep_one(docs(spark, [(1, "a b"), (1, "a b")])).count() == 1
 
 
+def test_near_groups(spark):
+    """Copies with 1 word in 100 changed (similarity 0.9) join; halves of one text (0.33) and strangers don't."""
+    rng = random.Random(8)
+    text = lambda n: [rng.choice("bcdfg") + rng.choice("aeiou") + str(rng.randint(0, 400)) for _ in range(n)]
+    rows, n = [], 0
+    for g in range(20):
+        base = text(300)
+        for c in range(4):
+            w = list(base)
+            for k in range(3 if c else 0):
+                w[rng.randrange(300)] = f"new{g}{c}{k}"
+            rows.append((100 * g + c, " ".join(w)))
+        rows.append((100 * g + 50, " ".join(base[:150] + text(150))))
+        n += 1
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(docs(spark, rows)).collect()}
+    assert sum(got[100 * g + c] == 100 * g for g in range(n) for c in range(4)) >= 76
+    assert all(got[100 * g + 50] == 100 * g + 50 for g in range(n))
+
+
+def test_one_long_list(spark):
+    """Many near copies of one text are one group, and few comparisons are needed for it."""
+    rng = random.Random(9)
+    base = [str(rng.randint(0, 9999)) for _ in range(200)]
+    rows = [(i, " ".join(base[:k] + ["x" + str(i)] + base[k:])) for i, k in enumerate(rng.choices(range(200), k=400))]
+    got = [r.component_id for r in simhash.near_groups(docs(spark, rows)).collect()]
+    assert got.count(0) >= 396
+
+
 # -- 9 ----------------------------------------------------------------------------------------------------------------
 def base_by_hand(t):
     def luhn(d):
