@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -63,16 +63,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch."""
-
-    def run(batches):
-        for batch in batches:
-            yield from fn(batch)
-
-    return df.mapInArrow(run, schema)
-
-
 def nullable(kind: pa.DataType) -> pa.DataType:
     """The type with all of its parts nullable, as schemas written in text are."""
     if pa.types.is_struct(kind):

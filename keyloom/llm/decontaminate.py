@@ -13,8 +13,6 @@ tables: no rows, or rows without hits. Repeated documents are judged alike. Othe
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame

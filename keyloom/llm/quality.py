@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, windows
+from .common import Words, mix
 from .supervised import collect_features, score, training_sample
 
 MODULUS, HELD, THRESHOLD = 4, 2, 0.7
