@@ -19,7 +19,6 @@ from .plans.parser import Parser, dialect_of, postfix_text
 from .sources.graph import Graph
 
 _MODIFIERS = re.compile(r"\s+(?:(?P<ranked>ranked)|(?P<reset>reset)|over\s+(?P<over>-?[0-9.]+)|under\s+(?P<under>-?[0-9.]+)|as\s+(?P<as>\w+))\s*$", re.IGNORECASE)
-LIST_VALUES = 101
 
 
 @dataclass(frozen=True)
@@ -124,7 +123,13 @@ class Engine:
 
     def _enqueue(self, name: str, rel: Relation, what: str) -> None:
         rows = rel.df
-        value = {"@key": lambda: F.col("key"), "@tuple": lambda: F.to_json(F.struct(*rows.columns))}.get(what, lambda: F.lit(what))()
+        if what == "@graph":  # the row with the edges that touch it
+            ends = self.graph.edges.select(F.explode(F.array_distinct(F.array("subject", "object"))).alias("key"), F.struct("subject", "predicate", "object", "weight").alias("t"))
+            rows = rows.select("key").distinct().join(ends, "key", "left").groupBy("key").agg(F.sort_array(F.collect_list("t")).alias("triplets"))
+        elif what.startswith("@") and what not in ("@key", "@tuple"):
+            raise QuerySyntaxError(f"{what} is none of @key, @tuple and @graph")
+        whole = lambda: F.to_json(F.struct(*rows.columns))
+        value = {"@key": lambda: F.col("key"), "@tuple": whole, "@graph": whole}.get(what, lambda: F.lit(what))()
         new = rows.select(F.lit(name).alias("name"), value.alias("value"))
         self.queues[name] = self.queues[name].unionByName(new) if name in self.queues else new
 

@@ -147,6 +147,15 @@ def test_sale_rule(shop, spark):
     assert rules.list() == []
 
 
+def test_queue_values(shop):
+    shop.query("g:v(bambam).redis(rpush,q,'@graph')")
+    shop.query("g:v(bambam).redis(rpush,q,'@tuple')")
+    graph, row = (json.loads(r.value) for r in shop.queues["q"].collect())
+    assert [t["predicate"] for t in graph["triplets"]] == ["Buyer", "bought"] and row["key"] == "bambam"
+    with pytest.raises(QuerySyntaxError):
+        shop.query("g:v(bambam).redis(rpush,q,'@all')")
+
+
 def test_load_text(spark, tmp_path):
     (tmp_path / "p.tsv").write_bytes('key\ttype\tfull (name)\tage\r\nfred\tperson\t"Fred  "\t47\r\nwilma\tperson\tWilma\t\r\n'.encode())
     rows = {r.key: r for r in load_text(spark, str(tmp_path / "p.tsv")).collect()}
