@@ -16,6 +16,7 @@ named by its smallest id that isn't null. No words: fingerprint 0, linked like a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix, stored, texts_of
+from .common import Words, cut, mix, stored, texts_of, windows
 
 SHINGLE, MAX_BITS, LIST_CAP = 4, 4, 4096
 #: Largest number of ids (8 bytes each, about 100 MB as a hash table) that is broadcast.
@@ -189,112 +190,207 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, max_bits: int =
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: For near groups: words of an indexed shingle and of a compared one, and the bits of 256 that may differ. Shingle sets
-#: with a Jaccard similarity of 0.8 have a cosine of 8/9, so 39 bits differ on average.
-INDEX_SHINGLE, NEAR_SHINGLE, NEAR_BITS = 2, 5, 40
-
-
-def _majority(values: np.ndarray) -> np.ndarray:
-    """(n, k) hashes -> k fingerprints."""
-    raw = np.ascontiguousarray(values.astype(">u8")).view(np.uint8)
-    counts = np.zeros(raw.shape[1] * 8, np.int64)
-    for k in range(0, len(raw), 32768):
-        counts += np.unpackbits(raw[k : k + 32768], axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(counts * 2 > len(raw)).view(">u8").astype(np.uint64)
-
-
-def signature(text: bytes) -> np.ndarray:
-    """Six 64-bit fingerprints: two of word pairs for the index, four of five-word shingles to compare."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(6, np.uint64)
-    line = b" ".join(words)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(sizes + 1) - 1
-    starts, ends = (ends - sizes).tolist(), ends.tolist()
-    digest, out = xxhash.xxh3_128_digest, []
-    for n in (INDEX_SHINGLE, NEAR_SHINGLE):
-        n = min(n, len(words))
-        values = np.frombuffer(b"".join([digest(line[a:b]) for a, b in zip(starts, ends[n - 1 :])]), ">u8").astype(np.uint64).reshape(-1, 2)
-        out.append(values)
-    return np.concatenate((_majority(out[0]), _majority(np.hstack((out[1], mix(out[1], 5))))))
-
-
-def _near_forest(nodes: np.ndarray, signs: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links that span each component of a list's members, as _forest does."""
-    out, rest = [], np.arange(len(nodes))
-    while len(rest) > 1:
-        front, rest = [rest[0]], rest[1:]
-        while front and len(rest):
-            one = front.pop()
-            near = np.bitwise_count(signs[rest] ^ signs[one]).sum(axis=1, dtype=np.int64) <= bits
-            if near.any():
-                new = rest[near]
-                out.append((np.full(len(new), nodes[one]), nodes[new]))
-                front.extend(new.tolist())
-                rest = rest[~near]
-    return out
-
-
-def near_groups(docs: DataFrame, bits: int = NEAR_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) of documents with similar sets of five-word shingles, about 0.8 or more.
-
-    The index holds word-pair fingerprints, which an edit disturbs less, so that pairs of that similarity share three
-    bytes in place far more often than by five-word ones; members of a list are linked by 256 bits over five-word
-    shingles. Equal texts are one member. Unlike simhash_components, pairs near the limit can be missed."""
+#: Near groups: words of a shingle, bits of a parity sketch, documents sampled for shingles met often, and how many count.
+NEAR_SHINGLE, SKETCH_BITS, SAMPLE_DOCS, OFTEN, OFTEN_MOST = 5, 512, 4000, 3, 200_000
+#: Distinct texts a task remembers, so as not to send copies.
+SEEN = 100_000
+
+
+def shingle_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """Sorted hashes of each text's five-word shingles; a shorter text is one shingle."""
+    for low, high in cut(texts):
+        w = Words(texts[low:high], lower=True)
+        hashes = w.hashes()
+        for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist()):
+            yield np.unique(windows(hashes[a:b], min(NEAR_SHINGLE, b - a))) if b > a else np.zeros(1, np.uint64)
+
+
+def _prefix(values: np.ndarray, often: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """So many of the rarest shingles that any two sets of similarity 0.8 share one of them."""
+    seen = np.zeros(len(values), np.int64)
+    if len(often):
+        at = np.minimum(np.searchsorted(often, values), len(often) - 1)
+        seen = np.where(often[at] == values, counts[at], 0)
+    m = len(values)
+    return values[np.lexsort((values, seen))[: m - (4 * m + 4) // 5 + 1]]
+
+
+def _fresh(batch: pa.RecordBatch, seen: set) -> tuple[list[int], list[bytes]]:
+    """Nodes and texts of a batch that the task has not sent yet."""
+    rows = []
+    for i, node in enumerate(batch.column("node").to_pylist()):
+        if node not in seen:
+            if len(seen) >= SEEN:
+                seen.clear()
+            seen.add(node)
+            rows.append(i)
+    part = batch.take(pa.array(rows, pa.int64()))
+    return part.column("node").to_pylist(), texts_of(part, "text")
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Runs of equal keys; those of a single row are left out."""
+    key, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column("key").to_numpy()
+        cuts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
+        for i in np.unique(np.concatenate(([0], np.flatnonzero(np.diff(cuts) > 1), [len(cuts) - 2]))).tolist():
+            if keys[cuts[i]] != key:
+                if sum(map(len, held)) > 1:
+                    yield pa.Table.from_batches(held)
+                key, held = keys[cuts[i]], []
+            held.append(batch.slice(cuts[i], cuts[i + 1] - cuts[i]))
+    if sum(map(len, held)) > 1:
+        yield pa.Table.from_batches(held)
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of two and more nodes, named by their members: shingles with the same members are one list."""
+
+    def lists(keys, nodes):
+        new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])))
+        keys, nodes = keys[new], nodes[new]
+        starts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1))
+        sizes = np.diff(np.concatenate((starts, [len(keys)])))
+        names = mix(np.add.reduceat(mix(nodes.view(np.uint64), 3), starts), 4)
+        many = np.repeat(sizes > 1, sizes)
+        out = np.unique(np.column_stack((np.repeat(names.view(np.int64), sizes)[many], nodes[many])), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(out[:, 0])), pa.array(np.ascontiguousarray(out[:, 1]))], ["key", "node"])
+
+    rest, size = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys, nodes = batch.column("key").to_numpy(), batch.column("node").to_numpy()
+        last = int(np.searchsorted(keys, keys[-1]))
+        if size and rest[0][0][0] != keys[-1]:  # what was held ends in this batch
+            k, n = (np.concatenate(x) for x in zip(*rest, (keys[:last], nodes[:last])))
+            rest, size = [], 0
+            yield lists(k, n)
+            rest.append((keys[last:], nodes[last:]))
+        elif size or not last:
+            rest.append((keys, nodes))
+        else:
+            yield lists(keys[:last], nodes[:last])
+            rest.append((keys[last:], nodes[last:]))
+        size += len(keys)
+    if size:
+        yield lists(*(np.concatenate(x) for x in zip(*rest)))
+
+
+def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links that span the members of each list that can have similarity 0.8 by their sizes and sketches."""
+    for run in _runs(batches):
+        node, m = run.column("node").to_numpy(), run.column("m").to_numpy()
+        sketch = np.frombuffer(b"".join(run.column("sketch").to_pylist()), np.uint64).reshape(len(node), -1)
+        rest = np.arange(len(node))
+        while len(rest) > 1:
+            front, rest = [rest[0]], rest[1:]
+            while front and len(rest):
+                one = front.pop()
+                # A shingle in one set only turns one bit, so sketches differ in no more bits than sets in shingles.
+                near = np.bitwise_count(sketch[rest] ^ sketch[one]).sum(axis=1, dtype=np.int64) * 9 <= m[rest] + m[one]
+                near &= 5 * np.minimum(m[rest], m[one]) >= 4 * np.maximum(m[rest], m[one])
+                if near.any():
+                    new = rest[near]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(new), node[one])), pa.array(node[new])], ["a", "b"])
+                    front.extend(new.tolist())
+                    rest = rest[~near]
+
+
+def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root): components of each group's nodes by the similarity of their shingle sets."""
+    for run in _runs(batches):
+        node, first = np.unique(run.column("node").to_numpy(), return_index=True)
+        held = run.column("values").to_pylist()
+        sets = [np.frombuffer(held[i], np.uint64) for i in first]
+        del held
+        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        root, rest = np.arange(len(node)), np.arange(len(node))
+        while len(rest) > 1:
+            head, front, rest, flat = rest[0], [rest[0]], rest[1:], None
+            while front and len(rest):
+                one = front.pop()
+                if flat is None:
+                    flat, starts = np.concatenate([sets[i] for i in rest]), np.concatenate(([0], np.cumsum(sizes[rest])[:-1]))
+                at = np.minimum(np.searchsorted(sets[one], flat), sizes[one] - 1)
+                near = np.add.reduceat(sets[one][at] == flat, starts, dtype=np.int64) * 9 >= 4 * (sizes[rest] + sizes[one])
+                if near.any():
+                    root[rest[near]] = head
+                    front.extend(rest[near].tolist())
+                    rest, flat = rest[~near], None
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(node[root])], ["node", "root"])
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id): components of documents whose sets of five-word shingles have a similarity of 0.8 or more.
+
+    Exact, up to collisions of 64-bit hashes: two such sets share one of the first fifth of their shingles in any one
+    order (here by how often a sample of texts holds them, then by hash), so the lists of those shingles hold all pairs.
+    Within a list, sizes and parity sketches rule out only what can't reach 0.8; the rest forms groups, and in a group
+    the sets themselves are compared. A group is held by one task, 8 bytes a shingle. Equal texts are one node."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    names = ["f0", "f1", "s0", "s1", "s2", "s3"]
+    source = source.withColumn("node", F.xxhash64("text"))
+    spark, texts = docs.sparkSession, source.select("node", "text")
+    rows = stored(source.select("doc_id", "node"))
 
-    def sign(batches):
+    def sampled(batches):
+        found, seen = [], set()
         for batch in batches:
-            values = np.array([signature(x) for x in texts_of(batch, "text")], np.uint64).reshape(-1, 6).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), *[pa.array(values[:, k]) for k in range(6)]], ["doc_id", "node", *names])
-
-    rows = stored(source.withColumn("node", F.xxhash64("text")).mapInArrow(sign, "doc_id long, node long, " + ", ".join(f"{n} long" for n in names)))
-    nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("low"), *[F.first(n).alias(n) for n in names]))
-    keys, sets = [], position_sets(4)
-    for f in ("f0", "f1"):
-        for k, places in enumerate(sets):
-            key = F.lit(k + (len(sets) if f == "f1" else 0)).cast("long")
-            for p in places:
-                key = F.shiftleft(key, 8).bitwiseOR(F.shiftrightunsigned(f, 8 * p).bitwiseAND(F.lit(255)))
-            keys.append(key)
-    posted = nodes.select("node", *names[2:], F.explode(F.array(*keys)).alias("key")).repartition("key").sortWithinPartitions("key", "node")
-
-    def links(batches):
-        key, held = None, []
-
-        def flush():
-            if not held or sum(len(n) for n, _ in held) < 2:
-                return []
-            return _near_forest(np.concatenate([n for n, _ in held]), np.concatenate([s for _, s in held]), bits)
-
-        def sent(pairs):
-            if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x for x, _ in pairs])), pa.array(np.concatenate([y for _, y in pairs]))], ["a", "b"])
-
+            found += shingle_sets(_fresh(batch, seen)[1])
+        values, counts = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
+        for k in range(0, len(values), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(values[k : k + 100_000].view(np.int64)), pa.array(counts[k : k + 100_000])], ["h", "n"])
+
+    every = max(1, rows.count() // SAMPLE_DOCS)
+    often = texts.where(F.pmod("node", F.lit(every)) == 0).mapInArrow(sampled, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    often = often.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "h").limit(OFTEN_MOST).collect()
+    values = np.array([r.h for r in often], np.int64).view(np.uint64)
+    order = np.argsort(values)
+    ranked = spark.sparkContext.broadcast((values[order], np.array([r.n for r in often], np.int64)[order]))
+
+    def posts(batches):
+        seen = set()
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys, node = batch.column("key").to_numpy(), batch.column("node").to_numpy()
-            signs = np.column_stack([batch.column(n).to_numpy() for n in names[2:]]).view(np.uint64)
-            cuts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
-            pairs, last = [], len(cuts) - 2
-            for i in np.unique(np.concatenate(([0], np.flatnonzero(np.diff(cuts) > 1), [last]))).tolist():
-                if keys[cuts[i]] != key:
-                    pairs += flush()
-                    key, held = keys[cuts[i]], []
-                held.append((node[cuts[i] : cuts[i + 1]], signs[cuts[i] : cuts[i + 1]]))
-                if i < last:
-                    pairs += flush()
-                    key, held = None, []
-            yield from sent(pairs)
-        yield from sent(flush())
-
-    roots = components(stored(posted.mapInArrow(links, "a long, b long")))
-    named = nodes.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
+            nodes, found = _fresh(batch, seen)
+            keys = [_prefix(x, *ranked.value) for x in shingle_sets(found)]
+            sizes = [len(k) for k in keys]
+            flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), sizes))], ["key", "node"])
+
+    def sketches(batches):
+        seen = set()
+        for batch in batches:
+            nodes, found = _fresh(batch, seen)
+            sizes, out = [], []
+            for x in shingle_sets(found):
+                sizes.append(len(x))
+                out.append(np.packbits((np.bincount((mix(x, 6) & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(out, pa.binary())], ["node", "m", "sketch"])
+
+    def sets(batches):
+        for batch in batches:
+            out = [x.tobytes() for x in shingle_sets(texts_of(batch, "text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("root"), batch.column("node"), pa.array(out, pa.binary())], ["key", "node", "values"])
+
+    def holding(nodes):  # texts stay where they are while the nodes are few enough to send to all
+        return texts.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes, "node")
+
+    posted = texts.mapInArrow(posts, "key long, node long").repartition("key").sortWithinPartitions("key", "node")
+    lists = stored(posted.mapInArrow(_members, "key long, node long").distinct())
+    known = holding(stored(lists.select("node").distinct())).select("node", "text").mapInArrow(sketches, "node long, m long, sketch binary")
+    known = stored(known.dropDuplicates(["node"]))
+    links = lists.join(known, "node").select("key", "node", "m", "sketch").repartition("key").sortWithinPartitions("key", "node")
+    groups = components(stored(links.mapInArrow(_plausible, "a long, b long")))
+    groups = stored(groups.unionByName(groups.select(F.col("root").alias("node"), "root")).distinct())
+    compared = holding(groups).select("root", "node", "text").mapInArrow(sets, "key long, node long, values binary")
+    roots = compared.dropDuplicates(["key", "node"]).repartition("key").sortWithinPartitions("key", "node").mapInArrow(_exact, "node long, root long")
+    lows = rows.groupBy("node").agg(F.min("doc_id").alias("low"))
+    named = stored(lows.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root")))
     ids = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    return rows.select("doc_id", "node").join(named.join(ids, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    return rows.join(named.join(ids, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, grouping=near_groups, **options) -> DataFrame:

@@ -209,6 +209,30 @@ def test_one_long_list(spark):
     assert got.count(0) >= 396
 
 
+def test_near_groups_are_those_of_brute_force(spark):
+    """Changed words scattered over a text put pairs on both sides of 0.8; groups are those of the exact similarity."""
+    rng = random.Random(12)
+    rows = []
+    for g in range(60):
+        base = [rng.choice("bcdfg") + str(rng.randint(0, 3000)) for _ in range(rng.choice((40, 120, 300, 900)))]
+        rows.append((10 * g, " ".join(base)))
+        for c in range(1, 4):
+            w = list(base)
+            for k in rng.sample(range(len(w)), max(1, round(len(w) * rng.uniform(0.018, 0.035)))):
+                w[k] = f"new{g}{c}{k}"
+            rows.append((10 * g + c, " ".join(w)))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    want, close = {i: i for i in sets}, 0
+    for a, b in itertools.combinations(sorted(sets), 2):
+        share = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+        close += 0.75 <= share < 0.85
+        if share >= 0.8 and want[a] != want[b]:
+            low, high = sorted((want[a], want[b]))
+            want = {i: low if r == high else r for i, r in want.items()}
+    assert close > 60
+    assert {r.doc_id: r.component_id for r in simhash.near_groups(docs(spark, rows)).collect()} == want
+
+
 # -- 9 ----------------------------------------------------------------------------------------------------------------
 def base_by_hand(t):
     def luhn(d):
