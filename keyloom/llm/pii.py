@@ -1,12 +1,14 @@
 """Operator 9: personal data, and terms that disclose it.
 
 Base spans (code points) are e-mail addresses, IPv4 addresses, card and phone numbers. The method adds spans of kind
-`term`: for a base value e and a word t near it, the pointwise mutual information log2(p(e,t) / (p(e) p(t))) is compared
-with the value's information content log2(1 / p(e)). At a share of DISCLOSE or more the word gives the value away and
-is generalised; at REMOVE or more it is removed.
+`term`: for a base value e and a word t of the same documents, the pointwise mutual information
+log2(p(e,t) / (p(e) p(t))) is compared with the value's information content log2(1 / p(e)). At a share of DISCLOSE or
+more the word gives the value away and is generalised; at REMOVE or more it is removed: wherever it stands, in all
+documents, except inside base spans.
 
-p(t) counts documents of the whole corpus with the word. p(e,t) and p(e) count distinct contexts (the REACH words at
-each side of a value), so copies of one passage are one piece of evidence; a pair needs MIN_CONTEXTS of them.
+p(t), p(e) and p(e,t) count documents, the last two one for each distinct text. Evidence is counted apart: a pair needs
+MIN_CONTEXTS documents that differ in the REACH words at each side of the value, and as many that differ in those around
+the word, so copies of one passage are one piece of it.
 
 Patterns run in linear time on texts of any length. Words that disclose are broadcast in sets of TERM_SET at most; more
 words take more passes. Nulls: a null text is empty, a null id is kept. Repeated rows give equal rows. An empty table
@@ -26,8 +28,10 @@ from pyspark.sql import functions as F
 from .common import stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
-DISCLOSE, REMOVE, MIN_CONTEXTS, REACH, MIN_LETTERS = 0.8, 0.95, 3, 10, 4
+DISCLOSE, REMOVE, MIN_CONTEXTS, REACH = 0.8, 0.95, 3, 10
 TERM_SET = 500_000
+#: (value, word) pairs that a task tallies before it sends them.
+TALLIES = 100_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -86,25 +90,44 @@ def _value(text: str, span: tuple[int, int, str]) -> str:
     return f"{KINDS[kind]}:{text[a:b].lower() if kind < 2 else _digits(text[a:b])}"
 
 
-def _contexts(text: str, spans: list) -> list[tuple[str, str, int, int, int]]:
-    """(value, word, start, end, context) for the words near each value; words inside base spans don't count."""
-    out = []
-    busy = [(a, b) for a, _, b in spans]
-    for span in spans:
-        a, _, b = span
-        words = []
-        for low, high, forward in ((max(0, a - 40 * REACH), a, False), (b, min(len(text), b + 40 * REACH), True)):
-            near = [m for m in _WORD.finditer(text, low, high) if not any(x < m.end() and m.start() < y for x, y in busy[max(0, bisect_right(busy, (m.start(),)) - 4) : bisect_right(busy, (m.end(),)) + 1])]
-            # A word cut by the edge of the stretch isn't one.
-            near = [m for m in near if (m.start() == 0 or m.start() > low or not (text[m.start() - 1].isalpha())) and (m.end() == len(text) or m.end() < high or not text[m.end()].isalpha())]
-            words += near[:REACH] if forward else near[-REACH:]
-        context = int.from_bytes(hashlib.blake2b(" ".join(m[0].lower() for m in words).encode(), digest_size=8).digest(), "big", signed=True)
-        value = _value(text, span)
-        out += [(value, m[0].lower(), m.start(), m.end(), context) for m in words if m.end() - m.start() >= MIN_LETTERS]
+def _digest(words: list[str]) -> int:
+    return int.from_bytes(hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def _words(text: str, spans: list) -> list[tuple[int, int, str]]:
+    """(start, end, word) outside of base spans."""
+    out, k, past = [], 0, 0
+    for m in _WORD.finditer(text):
+        while k < len(spans) and spans[k][0] < m.end():
+            past = max(past, spans[k][2])
+            k += 1
+        if past <= m.start():
+            out.append((m.start(), m.end(), m[0].lower()))
     return out
 
 
-_SCAN = "doc_id long, key long, base string, n_email long, n_ip long, n_card long, n_phone long, near array<struct<e: string, t: string, s: int, z: int, c: long>>"
+def _contexts(text: str, spans: list) -> dict[str, int]:
+    """The values of a text, each with a digest of the words near all its places."""
+    if not spans:
+        return {}
+    words, near = _words(text, spans), {}
+    starts = [w[0] for w in words]
+    for span in spans:
+        k = bisect_right(starts, span[0])
+        near.setdefault(_value(text, span), []).extend(["|", *(w[2] for w in words[max(0, k - REACH) : k + REACH])])
+    return {e: _digest(w) for e, w in near.items()}
+
+
+def _lowered(text: str) -> set[str]:
+    return {w.lower() for w in set(_WORD.findall(text))}
+
+
+_SCAN = "doc_id long, key long, base string, n_email long, n_ip long, n_card long, n_phone long, near array<struct<e: string, c: long>>"
+
+
+_TERMS = pa.list_(pa.struct([("s", pa.int32()), ("z", pa.int32()), ("share", pa.float64())]))
+#: Largest number of copied texts (16 bytes each) that is broadcast.
+COPIES = 1_000_000
 
 
 def _joined(spans) -> str:
@@ -120,8 +143,8 @@ def _scan(batches):
             cols[0].append(_joined(spans))
             for k in range(4):
                 cols[k + 1].append(sum(x[1] == k for x in spans))
-            cols[5].append([dict(zip("etszc", x)) for x in _contexts(text, spans)])
-        near = pa.array(cols[5], pa.list_(pa.struct([("e", pa.string()), ("t", pa.string()), ("s", pa.int32()), ("z", pa.int32()), ("c", pa.int64())])))
+            cols[5].append([{"e": e, "c": c} for e, c in _contexts(text, spans).items()])
+        near = pa.array(cols[5], pa.list_(pa.struct([("e", pa.string()), ("c", pa.int64())])))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(cols[0], pa.string()), *[pa.array(c, pa.int64()) for c in cols[1:5]], near], ["doc_id", "key", "base", "n_email", "n_ip", "n_card", "n_phone", "near"])
 
 
@@ -138,7 +161,7 @@ def _document_counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
             counts: dict[str, int] = {}
             for batch in batches:
                 for text in batch.column("text").to_pylist():
-                    for t in known.intersection(_WORD.findall((text or "").lower())):
+                    for t in known & _lowered(text or ""):
                         counts[t] = counts.get(t, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["t", "n"])
 
@@ -147,30 +170,110 @@ def _document_counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
     return out.groupBy("t").agg(F.sum("n").alias("n")) if out is not None else terms.select("t", F.lit(0).cast("long").alias("n"))
 
 
+def _held(values: DataFrame, name: str):
+    """Broadcast sets of a column's values, of TERM_SET at most."""
+    parts = -(-values.count() // TERM_SET)
+    for k in range(parts):
+        yield values.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in values.where(F.pmod(F.xxhash64(name), F.lit(parts)) == k).select(name).toLocalIterator()))
+
+
+def _pairs(texts: DataFrame, values: DataFrame, min_contexts: int) -> DataFrame:
+    """(e, t, n_et): values and words of the same documents that have the evidence."""
+    out = None
+    for held in _held(values, "e"):
+
+        def run(batches, held=held):
+            known, tally = held.value, {}
+
+            def sent():
+                rows = [[e, t, *x] for (e, t), x in tally.items()]
+                kinds = (pa.string(), pa.string(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                tally.clear()
+                return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["e", "t", "n", "c", "d"])
+
+            for batch in batches:
+                for text, part in zip(batch.column("text").to_pylist(), batch.column("part").to_pylist()):
+                    spans = base_spans(text)
+                    near = {e: c for e, c in _contexts(text, spans).items() if e in known}
+                    if not near:
+                        continue
+                    words, around = _words(text, spans), {}
+                    for k, (_, _, t) in enumerate(words):
+                        if t not in around:
+                            around[t] = _digest([w[2] for w in words[max(0, k - REACH) : k + REACH + 1]])
+                    for e, c in near.items():
+                        for t, d in around.items():
+                            x = tally.setdefault((e, t), [0.0, [], []])
+                            x[0] += part
+                            for seen, one in ((x[1], c), (x[2], d)):
+                                if len(seen) < min_contexts and one not in seen:
+                                    seen.append(one)
+                        if len(tally) > TALLIES:
+                            yield sent()
+            yield sent()
+
+        found = texts.mapInArrow(run, "e string, t string, n double, c array<long>, d array<long>")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return values.select("e", F.lit("").alias("t"), F.lit(0.0).alias("n_et"))
+    many = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c)))) >= min_contexts
+    return out.groupBy("e", "t").agg(F.round(F.sum("n")).alias("n_et"), many("c").alias("far"), many("d").alias("wide")).where("far AND wide").select("e", "t", "n_et")
+
+
 def disclosures(scanned: DataFrame, texts: DataFrame, disclose: float = DISCLOSE, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
     """(e, t, share): words whose information about a value reaches the share `disclose` of the value's own."""
-    near = scanned.select(F.explode("near").alias("x")).select("x.e", "x.t", "x.c")
-    pairs = stored(near.distinct().groupBy("e", "t").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= min_contexts))
-    values = near.select("e", "c").distinct().groupBy("e").agg(F.count("*").alias("n_e"))
+    near = scanned.select("key", F.explode("near").alias("x")).select("key", "x.e", "x.c")
+    values = near.groupBy("e").agg(F.countDistinct("key").cast("double").alias("n_e"), F.countDistinct("c").alias("far"))
+    values = stored(values.where(F.col("far") >= min_contexts).select("e", "n_e"))
+    copies = stored(scanned.groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1"))
+    few = F.broadcast(copies) if copies.count() <= COPIES else copies
+    # A text's copies share the weight of one, so that sums over documents count texts.
+    texts = texts.withColumn("key", F.xxhash64("text")).join(few, "key", "left").select("text", (1 / F.coalesce("copies", F.lit(1))).alias("part"))
+    pairs = stored(_pairs(texts, values, min_contexts))
     total = scanned.count()
-    terms = pairs.select("t").distinct()
-    counts = _document_counts(texts, terms)
+    counts = _document_counts(texts, pairs.select("t").distinct())
     n = F.lit(float(max(total, 1)))
     rows = pairs.join(values, "e").join(counts, "t").withColumn("n_t", F.greatest("n", "n_et"))
     return rows.select("e", "t", (F.log2(F.col("n_et") * n / (F.col("n_e") * F.col("n_t"))) / F.log2(n / F.col("n_e"))).alias("share")).where(F.col("share") >= disclose)
 
 
+def _spots(text: str, spans: list, shares: dict[str, float]) -> list[dict]:
+    """All places of disclosing words."""
+    if not shares or shares.keys().isdisjoint(_lowered(text)):
+        return []
+    return [{"s": s, "z": z, "share": shares[t]} for s, z, t in _words(text, spans) if t in shares]
+
+
 def _found(docs: DataFrame, id_col: str, text_col: str, options: dict) -> DataFrame:
     """The scan's columns with terms, an array of (s, z, share)."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    scanned = stored(texts.withColumn("key", F.xxhash64("text")).mapInArrow(_scan, _SCAN))
-    return _with_terms(scanned, disclosures(scanned, texts.select("text"), **options))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    scanned = stored(texts.mapInArrow(_scan, _SCAN))
+    return _with_terms(scanned, texts, _shares(scanned, texts, options))
+
+
+def _shares(scanned: DataFrame, texts: DataFrame, options: dict) -> DataFrame:
+    """(t, share): disclosing words, each with its largest share."""
+    return stored(disclosures(scanned, texts.select("text"), **options).groupBy("t").agg(F.max("share").alias("share")))
+
 
+def _with_terms(scanned: DataFrame, texts: DataFrame, given: DataFrame) -> DataFrame:
+    parts, spots = -(-given.count() // TERM_SET), None
+    for k in range(parts):
+        held = given.sparkSession.sparkContext.broadcast({r.t: r.share for r in given.where(F.pmod(F.xxhash64("t"), F.lit(parts)) == k).toLocalIterator()})
 
-def _with_terms(scanned: DataFrame, given: DataFrame) -> DataFrame:
-    spots = scanned.select("doc_id", "key", F.explode("near").alias("x")).select("doc_id", "key", "x.e", "x.t", "x.s", "x.z").distinct()
-    terms = spots.join(given, ["e", "t"]).groupBy("doc_id", "key", "s", "z").agg(F.max("share").alias("share"))
-    terms = terms.groupBy(F.col("doc_id").alias("_i"), F.col("key").alias("_k")).agg(F.sort_array(F.collect_list(F.struct("s", "z", "share"))).alias("terms"))
+        def run(batches, held=held):
+            for batch in batches:
+                texts = batch.column("text").to_pylist()
+                found = [[] if held.value.keys().isdisjoint(_lowered(x)) else _spots(x, base_spans(x), held.value) for x in texts]
+                some = pa.array([bool(x) for x in found])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(found, _TERMS)], ["_i", "_k", "terms"]).filter(some)
+
+        found = texts.mapInArrow(run, "_i long, _k long, terms array<struct<s: int, z: int, share: double>>")
+        spots = found if spots is None else spots.unionByName(found)
+    if spots is None:
+        return scanned.drop("near").withColumn("terms", F.expr("cast(array() as array<struct<s: int, z: int, share: double>>)"))
+    # Rows that repeat an id and a text have the same places.
+    terms = spots.groupBy("_i", "_k").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set("terms")))).alias("terms"))
     return scanned.join(terms, F.expr("doc_id <=> _i AND key = _k"), "left").drop("_i", "_k", "near")
 
 
@@ -199,30 +302,25 @@ def _rewrite(text: str, base: str, terms: list) -> str:
     return "".join([*out, text[at:]])
 
 
-def _apply(text: str, given: dict) -> str | None:
-    """The text rewritten with disclosing pairs known, or None if there is nothing to do."""
+def _apply(text: str, shares: dict[str, float]) -> str | None:
+    """The text rewritten with disclosing words known, or None if there is nothing to do."""
     spans = base_spans(text)
-    if not spans:
-        return None
-    shares: dict[tuple[int, int], float] = {}
-    for e, t, s, z, _ in _contexts(text, spans) if given else ():
-        if (e, t) in given:
-            shares[s, z] = max(given[e, t], shares.get((s, z), 0.0))
-    return _rewrite(text, _joined(spans), [{"s": s, "z": z, "share": share} for (s, z), share in sorted(shares.items())])
+    terms = _spots(text, spans, shares)
+    return _rewrite(text, _joined(spans), terms) if spans or terms else None
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pair_set: int = TERM_SET, **options) -> DataFrame:
     """The columns of docs with their texts rewritten; a text without findings stays as it is, null included.
 
-    Up to `pair_set` disclosing (value, word) pairs are broadcast, and texts are rewritten where they are; with more, the
+    Up to `pair_set` disclosing words are broadcast, and texts are rewritten where they are; with more, the
     findings are joined to the documents."""
     names = docs.columns
     held = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("_row"), F.col(text_col).cast("string").alias("_text"), F.col(id_col).cast("long").alias("_id"))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    scanned = stored(texts.withColumn("key", F.xxhash64("text")).mapInArrow(_scan, _SCAN))
-    given = stored(disclosures(scanned, texts.select("text"), **options))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    scanned = stored(texts.mapInArrow(_scan, _SCAN))
+    given = _shares(scanned, texts, options)
     if given.count() <= pair_set:
-        pairs = docs.sparkSession.sparkContext.broadcast({(r.e, r.t): r.share for r in given.toLocalIterator()})
+        pairs = docs.sparkSession.sparkContext.broadcast({r.t: r.share for r in given.toLocalIterator()})
 
         def run(batches):
             for batch in batches:
@@ -231,7 +329,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
 
         out = held.select("_row", "_text").mapInArrow(run, f"_row {docs.schema.simpleString()}, _new string")
     else:
-        found = _with_terms(scanned, given).where("base <> '' OR terms IS NOT NULL").select(F.col("doc_id").alias("_i"), F.col("key").alias("_k"), "base", "terms").distinct()
+        found = _with_terms(scanned, texts, given).where("base <> '' OR size(terms) > 0").select(F.col("doc_id").alias("_i"), F.col("key").alias("_k"), "base", "terms").distinct()
         joined = held.join(found, F.expr("_id <=> _i AND xxhash64(coalesce(_text, '')) = _k"), "left").select("_row", F.when(F.col("base").isNotNull(), F.col("_text")).alias("_text"), "base", "terms")
 
         def joined_run(batches):

@@ -277,6 +277,19 @@ def test_disclosing_terms(spark):
     assert not any("term" in r.spans for r in pii.find(docs(spark, copies)).collect())
 
 
+def test_terms_are_marked_in_all_places(spark):
+    """A disclosing word far from the value, in short letters, and in documents without the value."""
+    far = lambda i: " ".join("pad" + "".join(chr(97 + int(c)) for c in str(1000 * k + i)) for k in range(15))
+    rows = [(i, f"{far(i)} Bo went {far(i + 50)} by bob@x.org {far(i + 99)}") for i in range(4)]
+    rows += [(4, "bo is alone here")] + [(10 + i, f"nothing {far(200 + i)}") for i in range(400)]
+    got = {r.doc_id: r.spans for r in pii.find(docs(spark, rows)).collect()}
+    at = rows[0][1].index("Bo")
+    assert f"term:{at}:{at + 2}" in got[0].split(",") and got[4] == "term:0:2" and got[10] == ""
+    for pair_set in (10, 0):
+        clean = {r.doc_id: r.text for r in pii.sanitise(docs(spark, rows), pair_set=pair_set).collect()}
+        assert clean[4] == " is alone here" and " Bo " not in clean[1] and "<EMAIL>" in clean[1] and clean[10] == rows[5][1]
+
+
 def test_pii_edges(spark):
     rows = [*awkward(), (50, "call +1 (202) 555-0123 or 4111 1111 1111 1111 8, ip 1.2.3.4.5")]
     got = pii.find(docs(spark, rows, extra=True)).collect()
