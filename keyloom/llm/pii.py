@@ -6,8 +6,8 @@ log2(p(e,t) / (p(e) p(t))) is compared with the value's information content log2
 more the word gives the value away and is generalised; at REMOVE or more it is removed: wherever it stands, in all
 documents, except inside base spans.
 
-p(t), p(e) and p(e,t) count documents, the last two one for each distinct text. Evidence is counted apart: a pair needs
-MIN_CONTEXTS documents that differ in the REACH words at each side of the value, and as many that differ in those around
+p(t), p(e) and p(e,t) count distinct texts of the whole corpus. Evidence is counted apart: a pair needs MIN_CONTEXTS
+documents that differ in the REACH words at each side of the value, and as many that differ in those around
 the word, so copies of one passage are one piece of it.
 
 Patterns run in linear time on texts of any length. Words that disclose are broadcast in sets of TERM_SET at most; more
@@ -149,7 +149,7 @@ def _scan(batches):
 
 
 def _document_counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(t, n): documents of the corpus that hold each term, counted in each task before they meet."""
+    """(t, n): distinct texts of the corpus that hold each term (the sum of their parts), counted in each task before they meet."""
     spark, size = texts.sparkSession, terms.count()
     parts = -(-size // TERM_SET)
     out = None
@@ -158,16 +158,16 @@ def _document_counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
 
         def run(batches, held=held):
             known = held.value
-            counts: dict[str, int] = {}
+            counts: dict[str, float] = {}
             for batch in batches:
-                for text in batch.column("text").to_pylist():
+                for text, part in zip(batch.column("text").to_pylist(), batch.column("part").to_pylist()):
                     for t in known & _lowered(text or ""):
-                        counts[t] = counts.get(t, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["t", "n"])
+                        counts[t] = counts.get(t, 0.0) + part
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.float64())], ["t", "n"])
 
-        found = texts.mapInArrow(run, "t string, n long")
+        found = texts.mapInArrow(run, "t string, n double")
         out = found if out is None else out.unionByName(found)
-    return out.groupBy("t").agg(F.sum("n").alias("n")) if out is not None else terms.select("t", F.lit(0).cast("long").alias("n"))
+    return out.groupBy("t").agg(F.round(F.sum("n")).alias("n")) if out is not None else terms.select("t", F.lit(0.0).alias("n"))
 
 
 def _held(values: DataFrame, name: str):
@@ -230,7 +230,7 @@ def disclosures(scanned: DataFrame, texts: DataFrame, disclose: float = DISCLOSE
     # A text's copies share the weight of one, so that sums over documents count texts.
     texts = texts.withColumn("key", F.xxhash64("text")).join(few, "key", "left").select("text", (1 / F.coalesce("copies", F.lit(1))).alias("part"))
     pairs = stored(_pairs(texts, values, min_contexts))
-    total = scanned.count()
+    total = scanned.select("key").distinct().count()
     counts = _document_counts(texts, pairs.select("t").distinct())
     n = F.lit(float(max(total, 1)))
     rows = pairs.join(values, "e").join(counts, "t").withColumn("n_t", F.greatest("n", "n_et"))

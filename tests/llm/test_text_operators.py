@@ -290,6 +290,17 @@ def test_terms_are_marked_in_all_places(spark):
         assert clean[4] == " is alone here" and " Bo " not in clean[1] and "<EMAIL>" in clean[1] and clean[10] == rows[5][1]
 
 
+def test_copies_do_not_hide_a_term(spark):
+    """Every text with the word holds the value; copies and near copies of one of them change nothing."""
+    letters = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    said = [f"{letters(i)} saw zorblatt {letters(i + 20)} bob@x.org {letters(i + 40)}" for i in range(10, 13)]
+    rest = [(1000 + i, f"plain {letters(2000 + i)} words saw") for i in range(500)]
+    for more in ([said[0]] * 60, [f"{said[0]} end {letters(5000 + i)}" for i in range(60)]):
+        got = {r.doc_id: r.spans for r in pii.find(docs(spark, [*enumerate([*said, *more]), *rest])).collect()}
+        assert all(f"term:{t.index('zorblatt')}:" in got[i] for i, t in enumerate([*said, *more]))
+        assert not any("term" in got[i] for i, _ in rest)
+
+
 def test_pii_edges(spark):
     rows = [*awkward(), (50, "call +1 (202) 555-0123 or 4111 1111 1111 1111 8, ip 1.2.3.4.5")]
     got = pii.find(docs(spark, rows, extra=True)).collect()
