@@ -14,7 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: With one byte more for each text, a chunk's powers of the hash base take 2 x 8 MB.
 CHUNK_BYTES = (1 << 20) - 1024
@@ -63,6 +64,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+#: Rows of 64 bits in the largest bitmap that joins broadcast, and in the largest that goes to Python workers (32 MB).
+JOIN_WORDS, WORKER_WORDS = 1 << 20, 1 << 22
+_BIT = "shiftleft(1L, cast(shiftrightunsigned({}, 58) AS int))"
+
+
+def _words_for(n: int, most: int) -> int:
+    """Rows of 64 bits for n hashes at 16 bits each, a power of two up to the bound; beyond it more hashes pass."""
+    return min(most, 1 << max(6, (n // 4).bit_length()))
+
+
+def _bitmap(hashes: DataFrame, words: int) -> DataFrame:
+    """(_w, _b): rows of 64 bits for a table with a column `h`, built by one aggregation."""
+    return hashes.where("h IS NOT NULL").groupBy(F.col("h").bitwiseAND(F.lit(words - 1)).alias("_w")).agg(F.expr(f"bit_or({_BIT.format('h')})").alias("_b"))
+
+
+def flagged(rows: DataFrame, hashed: str, wanted: DataFrame, words: int | None = None) -> DataFrame:
+    """Adds _maybe: true for each row whose `hashed` is among wanted.h, and for few others.
+
+    What is broadcast is a bitmap of JOIN_WORDS rows at most, whatever the tables hold; callers join only the rows that
+    pass with `wanted` itself, so texts of all others stay where they are at every size."""
+    words = words or _words_for(wanted.count(), JOIN_WORDS)
+    bits = F.broadcast(_bitmap(wanted, words))
+    joined = rows.withColumn("_at", F.col(hashed).bitwiseAND(F.lit(words - 1))).join(bits, F.expr("_at = _w"), "left")
+    return joined.withColumn("_maybe", F.expr(f"coalesce((_b & {_BIT.format(hashed)}) != 0, false)")).drop("_at", "_w", "_b")
+
+
+class Bits:
+    """A bitmap of 64-bit hashes for Python workers; `in` is never wrong for what was put in."""
+
+    def __init__(self, wanted: DataFrame, words: int | None = None):
+        self.words = words or _words_for(wanted.count(), WORKER_WORDS)
+        found = _bitmap(wanted, self.words).toArrow()  # at most WORKER_WORDS rows
+        self.table = np.zeros(self.words, np.int64)
+        self.table[found.column("_w").to_numpy()] = found.column("_b").to_numpy()
+        self.table = self.table.view(_U)
+
+    def __contains__(self, h: int) -> bool:
+        """h: the hash as an unsigned number."""
+        return bool(int(self.table[h & (self.words - 1)]) >> (h >> 58) & 1)
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        return (self.table[(h & _U(self.words - 1)).astype(np.int64)] >> (h >> _U(58))) & _U(1) == 1
+
+
+def packed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """The rows as one struct `_row` beside the given columns, so that no name of theirs can clash."""
+    return docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("_row"), *[c.alias(n) for n, c in columns.items()])
+
+
+def unpacked(rows: DataFrame, names: list[str]) -> DataFrame:
+    return rows.select(*[F.col(f"_row.`{n}`").alias(n) for n in names])
+
+
 def nullable(kind: pa.DataType) -> pa.DataType:
     """The type with all of its parts nullable, as schemas written in text are."""
     if pa.types.is_struct(kind):

@@ -26,11 +26,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, cut, mix, stored, texts_of, windows
+from .common import Words, cut, flagged, mix, packed, stored, texts_of, unpacked, windows
 
 SHINGLE, MAX_BITS, LIST_CAP = 4, 4, 4096
-#: Largest number of ids (8 bytes each, about 100 MB as a hash table) that is broadcast.
-BROADCAST_IDS = 1_000_000
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -190,8 +188,10 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, max_bits: int =
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Near groups: words of a shingle, bits of a parity sketch, documents sampled for shingles met often, and how many count.
-NEAR_SHINGLE, SKETCH_BITS, SAMPLE_DOCS, OFTEN, OFTEN_MOST = 5, 512, 4000, 3, 200_000
+#: Near groups: words of a shingle, bits of a parity sketch (at least and at most), cells of the tally, cells of a block.
+NEAR_SHINGLE, SKETCH_LOW, SKETCH_HIGH, TALLY_BITS, BLOCK_BITS = 5, 512, 1 << 16, 26, 18
+#: Bytes of shingle sets that a task holds; a larger group is compared by several tasks, in rounds.
+GROUP_BYTES = 16 << 20
 #: Distinct texts a task remembers, so as not to send copies.
 SEEN = 100_000
 
@@ -205,16 +205,6 @@ def shingle_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
             yield np.unique(windows(hashes[a:b], min(NEAR_SHINGLE, b - a))) if b > a else np.zeros(1, np.uint64)
 
 
-def _prefix(values: np.ndarray, often: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """So many of the rarest shingles that any two sets of similarity 0.8 share one of them."""
-    seen = np.zeros(len(values), np.int64)
-    if len(often):
-        at = np.minimum(np.searchsorted(often, values), len(often) - 1)
-        seen = np.where(often[at] == values, counts[at], 0)
-    m = len(values)
-    return values[np.lexsort((values, seen))[: m - (4 * m + 4) // 5 + 1]]
-
-
 def _fresh(batch: pa.RecordBatch, seen: set) -> tuple[list[int], list[bytes]]:
     """Nodes and texts of a batch that the task has not sent yet."""
     rows = []
@@ -228,6 +218,81 @@ def _fresh(batch: pa.RecordBatch, seen: set) -> tuple[list[int], list[bytes]]:
     return part.column("node").to_pylist(), texts_of(part, "text")
 
 
+def _cell(values: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(values, 5) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _tally(texts: DataFrame, bits: int) -> np.ndarray:
+    """How many texts hold the shingles of each of 2^bits cells, 255 at most: 64 MB whatever the corpus.
+
+    Copies in one task count once. The counts only order shingles, and every task sees the same ones."""
+    block_bits = min(BLOCK_BITS, bits)
+
+    def tasks(batches):
+        counts, seen = np.zeros(1 << bits, np.uint8), set()
+        for batch in batches:
+            for x in _joined(shingle_sets(_fresh(batch, seen)[1])):
+                cells, n = np.unique(_cell(x, bits), return_counts=True)
+                counts[cells] = np.minimum(255, counts[cells].astype(np.int64) + n)
+        for block in range(1 << (bits - block_bits)):
+            part = counts[block << block_bits : (block + 1) << block_bits]
+            at = np.flatnonzero(part)
+            if len(at):
+                yield pa.RecordBatch.from_pydict({"block": [block], "at": [at.astype("<u4").tobytes()], "n": [part[at].tobytes()]})
+
+    def merge(batches):
+        now, total = None, None
+        for batch in batches:
+            for block, at, n in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if block != now:
+                    if now is not None:
+                        yield pa.RecordBatch.from_pydict({"block": [now], "n": [np.minimum(total, 255).astype(np.uint8).tobytes()]})
+                    now, total = block, np.zeros(1 << block_bits, np.int64)
+                total[np.frombuffer(at, "<u4")] += np.frombuffer(n, np.uint8)
+        if now is not None:
+            yield pa.RecordBatch.from_pydict({"block": [now], "n": [np.minimum(total, 255).astype(np.uint8).tobytes()]})
+
+    parts = texts.mapInArrow(tasks, "block long, at binary, n binary").repartition("block").sortWithinPartitions("block")
+    out = np.zeros(1 << bits, np.uint8)
+    for r in stored(parts.mapInArrow(merge, "block long, n binary")).toLocalIterator():
+        out[r.block << block_bits : (r.block + 1) << block_bits] = np.frombuffer(r.n, np.uint8)
+    return out
+
+
+def _joined(sets: Iterator[np.ndarray], most: int = 1 << 19) -> Iterator[np.ndarray]:
+    held, size = [], 0
+    for x in sets:
+        held.append(x)
+        size += len(x)
+        if size > most:
+            yield np.concatenate(held)
+            held, size = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
+def _prefix(values: np.ndarray, counts: np.ndarray, bits: int) -> np.ndarray:
+    """The rarest fifth of a set's shingles: two sets of similarity 0.8 share one of them. Those in no other text go."""
+    n, m = counts[_cell(values, bits)], len(values)
+    first = np.lexsort((values, n))[: m - (4 * m + 4) // 5 + 1]
+    return values[first[n[first] > 1]]
+
+
+def _sketch(values: np.ndarray) -> bytes:
+    """The parity of the shingles in each of so many cells; a shingle in one of two sets only turns one bit."""
+    bits = min(SKETCH_HIGH, max(SKETCH_LOW, 1 << (len(values) - 1).bit_length()))
+    cells = (mix(values, 6) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(cells, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def _folded(sketch: bytes, size: int) -> np.ndarray:
+    """A sketch with fewer cells: halves are added up."""
+    x = np.frombuffer(sketch, np.uint64)
+    while x.nbytes > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Runs of equal keys; those of a single row are left out."""
     key, held = None, []
@@ -246,164 +311,313 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists of two and more nodes, named by their members: shingles with the same members are one list."""
+def _members(list_cap: int):
+    """Lists of two and more nodes, named by their members: shingles with the same members are one list. A list that is
+    longer than the cap is not held: `star` is its first node, to which all others are linked."""
 
-    def lists(keys, nodes):
+    def names(keys, nodes):
         new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])))
         keys, nodes = keys[new], nodes[new]
         starts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1))
         sizes = np.diff(np.concatenate((starts, [len(keys)])))
-        names = mix(np.add.reduceat(mix(nodes.view(np.uint64), 3), starts), 4)
+        sums = mix(np.add.reduceat(mix(nodes.view(np.uint64), 3), starts), 4)
         many = np.repeat(sizes > 1, sizes)
-        out = np.unique(np.column_stack((np.repeat(names.view(np.int64), sizes)[many], nodes[many])), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(out[:, 0])), pa.array(np.ascontiguousarray(out[:, 1]))], ["key", "node"])
+        out = np.unique(np.column_stack((np.repeat(sums.view(np.int64), sizes)[many], nodes[many])), axis=0)
+        return batch_of(np.ascontiguousarray(out[:, 0]), np.ascontiguousarray(out[:, 1]), None)
 
-    rest, size = [], 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys, nodes = batch.column("key").to_numpy(), batch.column("node").to_numpy()
-        last = int(np.searchsorted(keys, keys[-1]))
-        if size and rest[0][0][0] != keys[-1]:  # what was held ends in this batch
-            k, n = (np.concatenate(x) for x in zip(*rest, (keys[:last], nodes[:last])))
-            rest, size = [], 0
-            yield lists(k, n)
-            rest.append((keys[last:], nodes[last:]))
-        elif size or not last:
-            rest.append((keys, nodes))
-        else:
-            yield lists(keys[:last], nodes[:last])
-            rest.append((keys[last:], nodes[last:]))
-        size += len(keys)
-    if size:
-        yield lists(*(np.concatenate(x) for x in zip(*rest)))
+    def batch_of(keys, nodes, star):
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(nodes), pa.array([star] * len(keys), pa.int64())], ["key", "node", "star"])
+
+    def run(batches):
+        rest, size, star = [], 0, None  # of the last key, which may go on
+
+        def flush():
+            out = []
+            if size and star is None:
+                out.append(names(*(np.concatenate(x) for x in zip(*rest))))
+            return out
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, nodes = batch.column("key").to_numpy(), batch.column("node").to_numpy()
+            low = 0
+            if rest and rest[0][0][0] == keys[0]:  # the held list goes on
+                low = int(np.searchsorted(keys, keys[0], "right"))
+                rest.append((keys[:low], nodes[:low]))
+                size += low
+            last = int(np.searchsorted(keys, keys[-1]))
+            if low <= last:
+                yield from flush()
+                if low < last:
+                    yield names(keys[low:last], nodes[low:last])
+                rest, size, star = [(keys[last:], nodes[last:])], len(keys) - last, None
+            if size > list_cap:
+                star = int(rest[0][1][0]) if star is None else star
+                for k, n in rest:
+                    yield batch_of(k, n, star)
+                rest, size = [(keys[-1:], nodes[:0])], list_cap
+        yield from flush()
+
+    return run
 
 
 def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links that span the members of each list that can have similarity 0.8 by their sizes and sketches."""
     for run in _runs(batches):
         node, m = run.column("node").to_numpy(), run.column("m").to_numpy()
-        sketch = np.frombuffer(b"".join(run.column("sketch").to_pylist()), np.uint64).reshape(len(node), -1)
+        order = np.argsort(m, kind="stable")
+        node, m, held = node[order], m[order], [run.column("sketch")[int(i)].as_py() for i in order]
+        folded: dict[int, np.ndarray] = {}  # by size: sketches of members that differ in size are folded to the smallest
         rest = np.arange(len(node))
         while len(rest) > 1:
-            front, rest = [rest[0]], rest[1:]
+            front, rest = [int(rest[0])], rest[1:]
             while front and len(rest):
                 one = front.pop()
-                # A shingle in one set only turns one bit, so sketches differ in no more bits than sets in shingles.
-                near = np.bitwise_count(sketch[rest] ^ sketch[one]).sum(axis=1, dtype=np.int64) * 9 <= m[rest] + m[one]
-                near &= 5 * np.minimum(m[rest], m[one]) >= 4 * np.maximum(m[rest], m[one])
-                if near.any():
-                    new = rest[near]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(new), node[one])), pa.array(node[new])], ["a", "b"])
-                    front.extend(new.tolist())
-                    rest = rest[~near]
+                near = 5 * np.minimum(m[rest], m[one]) >= 4 * np.maximum(m[rest], m[one])
+                some = rest[near]
+                if not len(some):
+                    continue
+                size = min(len(held[one]), min(len(held[i]) for i in (some[0], some[-1])))
+                if size not in folded:
+                    folded[size] = np.zeros((len(node), size // 8), np.uint64)
+                    for i, x in enumerate(held):
+                        if len(x) >= size:
+                            folded[size][i] = _folded(x, size)
+                table = folded[size]
+                differ = np.bitwise_count(table[some] ^ table[one]).sum(axis=1, dtype=np.int64)
+                some = some[differ * 9 <= m[some] + m[one]]
+                if len(some):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), node[one])), pa.array(node[some])], ["a", "b"])
+                    front.extend(some.tolist())
+                    rest = rest[~np.isin(rest, some)]
+
+
+class _Index:
+    """Which of some sets hold a shingle."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(flat, kind="stable")
+        self.flat, self.owner = flat[order], owner[order]
+
+    def keep(self, alive: np.ndarray) -> None:
+        held = alive[self.owner]
+        self.flat, self.owner = self.flat[held], self.owner[held]
+
+    def near(self, values: np.ndarray) -> np.ndarray:
+        """Flags of the sets that have similarity 0.8 or more with this one."""
+        low, high = np.searchsorted(self.flat, values), np.searchsorted(self.flat, values, "right")
+        n = high - low
+        at = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        shared = np.bincount(self.owner[at], minlength=len(self.sizes))
+        return shared * 9 >= 4 * (self.sizes + len(values))
+
+
+def _roots(sets: list[np.ndarray]) -> np.ndarray:
+    """The first member of each set's component."""
+    index, root, rest = _Index(sets), np.arange(len(sets)), np.ones(len(sets), bool)
+    alive = len(sets)
+    for head in range(len(sets)):
+        if not rest[head]:
+            continue
+        rest[head] = False
+        front = [head]
+        while front and rest.any():
+            new = np.flatnonzero(index.near(sets[front.pop()]) & rest)
+            root[new] = head
+            rest[new] = False
+            front.extend(new.tolist())
+            if rest.sum() * 2 < alive:  # what is settled is looked up no more
+                alive = int(rest.sum())
+                index.keep(rest)
+    return root
 
 
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, root): components of each group's nodes by the similarity of their shingle sets."""
-    for run in _runs(batches):
-        node, first = np.unique(run.column("node").to_numpy(), return_index=True)
-        held = run.column("values").to_pylist()
-        sets = [np.frombuffer(held[i], np.uint64) for i in first]
-        del held
-        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-        root, rest = np.arange(len(node)), np.arange(len(node))
-        while len(rest) > 1:
-            head, front, rest, flat = rest[0], [rest[0]], rest[1:], None
-            while front and len(rest):
-                one = front.pop()
-                if flat is None:
-                    flat, starts = np.concatenate([sets[i] for i in rest]), np.concatenate(([0], np.cumsum(sizes[rest])[:-1]))
-                at = np.minimum(np.searchsorted(sets[one], flat), sizes[one] - 1)
-                near = np.add.reduceat(sets[one][at] == flat, starts, dtype=np.int64) * 9 >= 4 * (sizes[rest] + sizes[one])
-                if near.any():
-                    root[rest[near]] = head
-                    front.extend(rest[near].tolist())
-                    rest, flat = rest[~near], None
-        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(node[root])], ["node", "root"])
 
+    def sent():
+        root = _roots(sets)
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.array(nodes, np.int64)[root])], ["node", "root"])
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id): components of documents whose sets of five-word shingles have a similarity of 0.8 or more.
+    key, nodes, sets = None, [], []
+    for batch in batches:
+        for k, node, values in zip(batch.column("key").to_pylist(), batch.column("node").to_pylist(), batch.column("values")):
+            if k != key:
+                if nodes:
+                    yield sent()
+                key, nodes, sets = k, [], []
+            if not nodes or nodes[-1] != node:  # the set of a text that several tasks sent counts once
+                nodes.append(node)
+                sets.append(np.frombuffer(values.as_py(), np.uint64))
+    if nodes:
+        yield sent()
+
+
+def _pivot_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between a part of a group and the group's pivots, which come first; enough of them to join what they join."""
+    part, pivots, names, index, up = None, [], [], None, []
+
+    def top(i):
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for batch in batches:
+        a, b = [], []
+        for key, salt, pivot, node, values in zip(*(batch.column(k).to_pylist() for k in ("key", "salt", "pivot", "node", "values"))):
+            if (key, salt) != part:
+                part, pivots, names, index = (key, salt), [], [], None
+            x = np.frombuffer(values, np.uint64)
+            if pivot:
+                pivots.append(x)
+                names.append(node)
+                continue
+            if not pivots:
+                continue
+            if index is None:
+                index, up = _Index(pivots), list(range(len(pivots)))
+            found = np.flatnonzero(index.near(x)).tolist()
+            tops = {}
+            for i in found:
+                if names[i] != node:
+                    tops.setdefault(top(i), i)
+            for i in tops.values():
+                a.append(node)
+                b.append(names[i])
+            own = [top(i) for i in found]
+            for i in own:  # the member itself joins them
+                up[i] = own[0]
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _in_rounds(sets: DataFrame, group_bytes: int) -> DataFrame:
+    """(node, root) for groups of any size: a table (key, node, values), stored.
+
+    A round takes pivots of a group, as many as a task can hold, and compares them with all of the group, in parts of
+    that size; what a pivot links is exact, as it has then met every member. Members that hang together already need not
+    meet, so only those outside of their group's largest component become pivots, until there are none: a dense group
+    takes one pivot."""
+    sizes = stored(sets.groupBy("key").agg(F.sum(F.octet_length("values")).alias("bytes")).withColumn("parts", F.ceil(F.col("bytes") / group_bytes).cast("int")))
+    nodes = stored(sets.select("key", "node", F.octet_length("values").alias("size")))
+    links, done, roots = None, None, None
+    while True:
+        if links is None:
+            pivots = nodes.groupBy("key").agg(F.min("node").alias("node"))
+        else:
+            roots = components(links)
+            named = stored(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+            counts = named.groupBy("key", "root").agg(F.count("*").alias("n"))
+            largest = counts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("x")).select("key", F.col("x.root").alias("most"))
+            left = named.join(largest, "key").where("root <> most").join(done, ["key", "node"], "left_anti").select("key", "node", "size")
+            left = stored(left)
+            if left.limit(1).count() == 0:
+                return named.select("node", "root")
+            share = left.groupBy("key").agg(F.sum("size").alias("total"), F.min("node").alias("first"))
+            dealt = left.join(share, "key").where(f"node = first OR pmod(xxhash64(node), greatest(1, ceil(total / {group_bytes}))) = 0")
+            pivots = dealt.select("key", "node")
+        pivots = stored(pivots)
+        done = pivots if done is None else stored(done.unionByName(pivots))
+        held = sets.join(pivots, ["key", "node"], "left_semi").join(sizes, "key")
+        first = held.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(True).alias("pivot"), "node", "values")
+        rest = sets.join(sizes, "key").select("key", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("salt"), F.lit(False).alias("pivot"), "node", "values")
+        met = first.unionByName(rest).repartition("key", "salt").sortWithinPartitions("key", "salt", F.desc("pivot"), "node")
+        found = met.mapInArrow(_pivot_links, "a long, b long")
+        links = stored(found if links is None else links.unionByName(found))
+
+
+def _textual(docs: DataFrame, id_col: str, text_col: str) -> dict:
+    """doc_id, node (the text's hash) and h (that of both), to be computed from any table with the columns of docs."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    number = F.col(id_col).cast("long")
+    return {"doc_id": number, "node": F.xxhash64(text), "h": F.xxhash64(number, F.xxhash64(text), number.isNull()), "text": text}
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", list_cap: int = LIST_CAP, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """(node, root) for the hashes of distinct texts: components of those whose sets of five-word shingles have a
+    similarity of 0.8 or more; texts without a partner are left out.
 
     Exact, up to collisions of 64-bit hashes: two such sets share one of the first fifth of their shingles in any one
-    order (here by how often a sample of texts holds them, then by hash), so the lists of those shingles hold all pairs.
-    Within a list, sizes and parity sketches rule out only what can't reach 0.8; the rest forms groups, and in a group
-    the sets themselves are compared. A group is held by one task, 8 bytes a shingle. Equal texts are one node."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    source = source.withColumn("node", F.xxhash64("text"))
-    spark, texts = docs.sparkSession, source.select("node", "text")
-    rows = stored(source.select("doc_id", "node"))
-
-    def sampled(batches):
-        found, seen = [], set()
-        for batch in batches:
-            found += shingle_sets(_fresh(batch, seen)[1])
-        values, counts = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
-        for k in range(0, len(values), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(values[k : k + 100_000].view(np.int64)), pa.array(counts[k : k + 100_000])], ["h", "n"])
-
-    every = max(1, rows.count() // SAMPLE_DOCS)
-    often = texts.where(F.pmod("node", F.lit(every)) == 0).mapInArrow(sampled, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    often = often.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "h").limit(OFTEN_MOST).collect()
-    values = np.array([r.h for r in often], np.int64).view(np.uint64)
-    order = np.argsort(values)
-    ranked = spark.sparkContext.broadcast((values[order], np.array([r.n for r in often], np.int64)[order]))
+    order (here by how many texts hold them, then by hash), so the lists of those shingles hold all pairs. Within a list,
+    sizes and parity sketches rule out only what can't reach 0.8; the rest forms groups, and in a group the sets
+    themselves are compared. Lists over `list_cap` are linked whole, and groups over `group_bytes` go in rounds."""
+    spark = docs.sparkSession
+    parts = _textual(docs, id_col, text_col)
+    texts = docs.select(parts["node"].alias("node"), parts["text"].alias("text"))
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(TALLY_BITS, max(16, (int(total) // 8).bit_length()))
+    tally = spark.sparkContext.broadcast(_tally(texts, bits))
 
     def posts(batches):
         seen = set()
         for batch in batches:
             nodes, found = _fresh(batch, seen)
-            keys = [_prefix(x, *ranked.value) for x in shingle_sets(found)]
-            sizes = [len(k) for k in keys]
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), sizes))], ["key", "node"])
-
-    def sketches(batches):
-        seen = set()
-        for batch in batches:
-            nodes, found = _fresh(batch, seen)
-            sizes, out = [], []
+            sizes, keys, sketches = [], [], []
             for x in shingle_sets(found):
                 sizes.append(len(x))
-                out.append(np.packbits((np.bincount((mix(x, 6) & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(out, pa.binary())], ["node", "m", "sketch"])
+                keys.append(_prefix(x, tally.value, bits).view(np.int64))
+                sketches.append(_sketch(x))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["node", "m", "sketch", "keys"])
 
     def sets(batches):
+        seen = set()
         for batch in batches:
-            out = [x.tobytes() for x in shingle_sets(texts_of(batch, "text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("root"), batch.column("node"), pa.array(out, pa.binary())], ["key", "node", "values"])
-
-    def holding(nodes):  # texts stay where they are while the nodes are few enough to send to all
-        return texts.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes, "node")
-
-    posted = texts.mapInArrow(posts, "key long, node long").repartition("key").sortWithinPartitions("key", "node")
-    lists = stored(posted.mapInArrow(_members, "key long, node long").distinct())
-    known = holding(stored(lists.select("node").distinct())).select("node", "text").mapInArrow(sketches, "node long, m long, sketch binary")
-    known = stored(known.dropDuplicates(["node"]))
-    links = lists.join(known, "node").select("key", "node", "m", "sketch").repartition("key").sortWithinPartitions("key", "node")
-    groups = components(stored(links.mapInArrow(_plausible, "a long, b long")))
-    groups = stored(groups.unionByName(groups.select(F.col("root").alias("node"), "root")).distinct())
-    compared = holding(groups).select("root", "node", "text").mapInArrow(sets, "key long, node long, values binary")
-    roots = compared.dropDuplicates(["key", "node"]).repartition("key").sortWithinPartitions("key", "node").mapInArrow(_exact, "node long, root long")
+            nodes, found = _fresh(batch, seen)
+            out = [x.tobytes() for x in shingle_sets(found)]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(out, pa.binary())], ["node", "values"])
+
+    posted = stored(texts.mapInArrow(posts, "node long, m long, sketch binary, keys array<long>").where("size(keys) > 0"))
+    listed = posted.select(F.explode("keys").alias("key"), "node").repartition("key").sortWithinPartitions("key", "node")
+    lists = stored(listed.mapInArrow(_members(list_cap), "key long, node long, star long").distinct())
+    known = posted.select("node", "m", "sketch").join(lists.where("star IS NULL").select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    short = lists.where("star IS NULL").join(known, "node").select("key", "node", "m", "sketch").repartition("key").sortWithinPartitions("key", "node")
+    stars = lists.where("star IS NOT NULL").select(F.col("node").alias("a"), F.col("star").alias("b"))
+    groups = components(stored(short.mapInArrow(_plausible, "a long, b long").unionByName(stars)))
+    groups = stored(groups.unionByName(groups.select(F.col("root").alias("node"), "root")).distinct().select("node", F.col("root").alias("key")))
+    # Sets are made again for texts that may be in a group, and only those travel.
+    chosen = flagged(texts, "node", groups.select(F.col("node").alias("h"))).where("_maybe").select("node", "text").mapInArrow(sets, "node long, values binary")
+    held = stored(chosen.join(groups, "node").select("key", "node", "values"))
+    sizes = held.groupBy("key").agg(F.sum(F.octet_length("values")).alias("bytes")).where(F.col("bytes") > group_bytes)
+    large = stored(sizes.select("key"))
+    some = large.limit(1).count() > 0
+    near = (held.join(large, "key", "left_anti") if some else held).repartition("key").sortWithinPartitions("key", "node").mapInArrow(_exact, "node long, root long")
+    if some:
+        near = near.unionByName(_in_rounds(stored(held.join(large, "key", "left_semi").dropDuplicates(["key", "node"])), group_bytes))
+    return stored(near)
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(doc_id, component_id), a row for each document; a component is named by the smallest id in it."""
+    parts = _textual(docs, id_col, text_col)
+    rows = docs.select(parts["doc_id"].alias("doc_id"), parts["node"].alias("node"))
     lows = rows.groupBy("node").agg(F.min("doc_id").alias("low"))
-    named = stored(lows.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root")))
+    named = stored(lows.join(near_classes(docs, id_col, text_col, **options), "node", "left").select("node", "low", F.coalesce("root", "node").alias("root")))
     ids = named.groupBy("root").agg(F.min("low").alias("component_id"))
     return rows.join(named.join(ids, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
-def keep_one(docs: DataFrame, grouping=near_groups, **options) -> DataFrame:
-    """The columns of docs: of each group of near-duplicates the document with the smallest id stays.
-
-    Documents without an id cannot be told apart and stay. Rows that repeat a kept id are one document and stay once."""
-    groups = stored(grouping(docs, **options).select("doc_id", "component_id"))
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = stored(gone)
-    # Texts stay where they are while the ids that go are few enough to send to all; beyond that they are joined.
-    out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, docs.doc_id == F.col("_gone"), "left_anti")
-    if groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        first = Window.partitionBy("doc_id").orderBy("text")
-        named = out.where("doc_id IS NOT NULL").withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
-        out = named.unionByName(out.where("doc_id IS NULL"))
-    return out
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes=near_classes, **options) -> DataFrame:
+    """The columns of docs: of each group of near-duplicates one row stays, that with the smallest id, then text hash.
+
+    Documents are told apart by id and text, so unrelated texts under one id are judged each on its own. Rows without an
+    id go if their group has one with an id; a group without ids keeps one row. Of rows alike in id and text one stays.
+    Decisions travel, texts don't: only rows that may be dropped or repeated (a bitmap of bounded size says which) are
+    joined with them."""
+    names, parts = docs.columns, _textual(docs, id_col, text_col)
+    keyed = {k: parts[k] for k in ("doc_id", "node", "h")}
+    rows = stored(docs.select(*[c.alias(k) for k, c in keyed.items()]).groupBy("doc_id", "node", "h").agg(F.count("*").alias("n")))
+    by_text = rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node", "h")).alias("low"))
+    named = stored(by_text.join(classes(docs, id_col, text_col, **options), "node", "left").select("low", F.coalesce("root", "node").alias("root")))
+    kept = stored(named.groupBy("root").agg(F.min("low").alias("low")).select("low.h"))
+    gone = rows.join(kept, "h", "left_anti").select("h")
+    twice = stored(rows.join(kept, "h", "left_semi").where("n > 1").select("h"))
+    doubtful = stored(gone.unionByName(twice))
+    marked = flagged(packed(docs, h=parts["h"]), "h", doubtful)
+    out = marked.where("NOT _maybe").select("_row").unionByName(marked.where("_maybe").join(doubtful, "h", "left_anti").select("_row"))
+    if twice.limit(1).count():
+        again = marked.where("_maybe").join(twice, "h", "left_semi").groupBy("h").agg(F.min_by("_row", F.to_json("_row")).alias("_row"))
+        out = out.unionByName(again.select("_row"))
+    return unpacked(out, names)
