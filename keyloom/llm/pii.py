@@ -2,17 +2,21 @@
 
 Base spans (code points) are e-mail addresses, IPv4 addresses, card and phone numbers. The method adds spans of kind
 `term`: for a base value e and a word t of the same documents, the pointwise mutual information
-log2(p(e,t) / (p(e) p(t))) is compared with the value's information content log2(1 / p(e)). At a share of DISCLOSE or
-more the word gives the value away and is generalised; at REMOVE or more it is removed: wherever it stands, in all
-documents, except inside base spans.
+log2(p(e,t) / (p(e) p(t))) is compared with the value's information content log2(1 / p(e)). What is left between the two,
+log2(1 / p(e|t)), is what stays unknown of the value to one who sees the word. With DISCLOSE bits or fewer the word gives
+the value away and is generalised; with REMOVE bits or fewer it is removed: wherever it stands, in all documents, except
+inside base spans. Bits left do not depend on the size of the corpus, so thresholds mean the same at every size.
 
 p(t), p(e) and p(e,t) count distinct texts of the whole corpus. Evidence is counted apart: a pair needs MIN_CONTEXTS
 documents that differ in the REACH words at each side of the value, and as many that differ in those around
 the word, so copies of one passage are one piece of it.
 
-Patterns run in linear time on texts of any length. Words that disclose are broadcast in sets of TERM_SET at most; more
-words take more passes. Nulls: a null text is empty, a null id is kept. Repeated rows give equal rows. An empty table
-gives no rows. Other columns pass through `sanitise` only.
+Patterns run in linear time on texts of any length. What workers are told of values, words and copies are bitmaps of
+bounded size; they pass all that is wanted and a little more, which joins take out. Texts of documents without findings
+of words stay where they are at every size.
+
+Nulls: a null text is empty, a null id is kept. Repeated rows give equal rows. An empty table gives no rows. Columns of
+any name pass through `sanitise`; `find` reads the id and the text only.
 """
 
 from __future__ import annotations
@@ -22,16 +26,16 @@ import re
 from bisect import bisect_right
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Bits, flagged, packed, stored, unpacked
 
 KINDS = ("email", "ip", "card", "phone", "term")
-DISCLOSE, REMOVE, MIN_CONTEXTS, REACH = 0.8, 0.95, 3, 10
-TERM_SET = 500_000
-#: (value, word) pairs that a task tallies before it sends them.
-TALLIES = 100_000
+DISCLOSE, REMOVE, MIN_CONTEXTS, REACH = 0.5, 0.1, 3, 10
+#: (value, word) pairs or words that a task tallies before it sends them, and texts or words it remembers.
+TALLIES, SEEN = 100_000, 200_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -123,11 +127,22 @@ def _lowered(text: str) -> set[str]:
 
 
 _SCAN = "doc_id long, key long, base string, n_email long, n_ip long, n_card long, n_phone long, near array<struct<e: string, c: long>>"
+_TERMS = "array<struct<s: int, z: int, bits: double>>"
+
+
+class _Known:
+    """Which strings may be in a bitmap of their hashes; remembers the words it has looked up."""
 
+    def __init__(self, bits: Bits):
+        self.bits, self.seen = bits, {}
 
-_TERMS = pa.list_(pa.struct([("s", pa.int32()), ("z", pa.int32()), ("share", pa.float64())]))
-#: Largest number of copied texts (16 bytes each) that is broadcast.
-COPIES = 1_000_000
+    def __call__(self, x: str) -> bool:
+        found = self.seen.get(x)
+        if found is None:
+            if len(self.seen) >= SEEN:
+                self.seen.clear()
+            found = self.seen[x] = xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 42) in self.bits  # as SQL's xxhash64
+        return found
 
 
 def _joined(spans) -> str:
@@ -148,150 +163,166 @@ def _scan(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(cols[0], pa.string()), *[pa.array(c, pa.int64()) for c in cols[1:5]], near], ["doc_id", "key", "base", "n_email", "n_ip", "n_card", "n_phone", "near"])
 
 
+def _bits(values: DataFrame, name: str):
+    return values.sparkSession.sparkContext.broadcast(Bits(values.select(F.xxhash64(name).alias("h"))))
+
+
+def _once(seen: set, key: int) -> bool:
+    if key in seen:
+        return False
+    if len(seen) >= SEEN:
+        seen.clear()
+    seen.add(key)
+    return True
+
+
 def _document_counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(t, n): distinct texts of the corpus that hold each term (the sum of their parts), counted in each task before they meet."""
-    spark, size = texts.sparkSession, terms.count()
-    parts = -(-size // TERM_SET)
-    out = None
-    for k in range(parts):
-        held = spark.sparkContext.broadcast(frozenset(r.t for r in terms.where(F.pmod(F.xxhash64("t"), F.lit(parts)) == k).toLocalIterator()))
-
-        def run(batches, held=held):
-            known = held.value
-            counts: dict[str, float] = {}
-            for batch in batches:
-                for text, part in zip(batch.column("text").to_pylist(), batch.column("part").to_pylist()):
-                    for t in known & _lowered(text or ""):
-                        counts[t] = counts.get(t, 0.0) + part
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.float64())], ["t", "n"])
-
-        found = texts.mapInArrow(run, "t string, n double")
-        out = found if out is None else out.unionByName(found)
-    return out.groupBy("t").agg(F.round(F.sum("n")).alias("n")) if out is not None else terms.select("t", F.lit(0.0).alias("n"))
-
-
-def _held(values: DataFrame, name: str):
-    """Broadcast sets of a column's values, of TERM_SET at most."""
-    parts = -(-values.count() // TERM_SET)
-    for k in range(parts):
-        yield values.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in values.where(F.pmod(F.xxhash64(name), F.lit(parts)) == k).select(name).toLocalIterator()))
+    """(t, n): distinct texts of the corpus that hold each term.
+
+    Texts that have copies are sent by key, so that each counts once; all others are counted in each task first."""
+    held = _bits(terms, "t")
+
+    def run(batches):
+        known, counts, seen = _Known(held.value), {}, set()
+
+        def sent(key, n, words):
+            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(words, pa.list_(pa.string()))], ["key", "n", "words"])
+
+        for batch in batches:
+            keys, lists = [], []
+            for text, key, copied in zip(batch.column("text").to_pylist(), batch.column("key").to_pylist(), batch.column("_maybe").to_pylist()):
+                if copied and not _once(seen, key):
+                    continue
+                found = [t for t in _lowered(text) if known(t)]
+                if copied:
+                    keys.append(key)
+                    lists.append(found)
+                    continue
+                for t in found:
+                    counts[t] = counts.get(t, 0) + 1
+            yield sent(keys, [1] * len(keys), lists)
+            if len(counts) > TALLIES:
+                yield sent([None] * len(counts), list(counts.values()), [[t] for t in counts])
+                counts.clear()
+        yield sent([None] * len(counts), list(counts.values()), [[t] for t in counts])
+
+    found = texts.mapInArrow(run, "key long, n long, words array<string>")
+    each = found.groupBy("key", F.expr("if(key IS NULL, words[0], NULL)").alias("t")).agg(F.sum("n").alias("n"), F.first("words").alias("words"))
+    counted = each.select(F.explode("words").alias("t"), F.expr("if(key IS NULL, n, 1)").alias("n")).groupBy("t").agg(F.sum("n").cast("double").alias("n"))
+    return counted.join(terms, "t", "left_semi")
 
 
 def _pairs(texts: DataFrame, values: DataFrame, min_contexts: int) -> DataFrame:
-    """(e, t, n_et): values and words of the same documents that have the evidence."""
-    out = None
-    for held in _held(values, "e"):
-
-        def run(batches, held=held):
-            known, tally = held.value, {}
-
-            def sent():
-                rows = [[e, t, *x] for (e, t), x in tally.items()]
-                kinds = (pa.string(), pa.string(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-                tally.clear()
-                return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["e", "t", "n", "c", "d"])
-
-            for batch in batches:
-                for text, part in zip(batch.column("text").to_pylist(), batch.column("part").to_pylist()):
-                    spans = base_spans(text)
-                    near = {e: c for e, c in _contexts(text, spans).items() if e in known}
-                    if not near:
-                        continue
-                    words, around = _words(text, spans), {}
-                    for k, (_, _, t) in enumerate(words):
-                        if t not in around:
-                            around[t] = _digest([w[2] for w in words[max(0, k - REACH) : k + REACH + 1]])
-                    for e, c in near.items():
-                        for t, d in around.items():
-                            x = tally.setdefault((e, t), [0.0, [], []])
-                            x[0] += part
-                            for seen, one in ((x[1], c), (x[2], d)):
-                                if len(seen) < min_contexts and one not in seen:
-                                    seen.append(one)
-                        if len(tally) > TALLIES:
-                            yield sent()
-            yield sent()
-
-        found = texts.mapInArrow(run, "e string, t string, n double, c array<long>, d array<long>")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return values.select("e", F.lit("").alias("t"), F.lit(0.0).alias("n_et"))
-    many = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c)))) >= min_contexts
-    return out.groupBy("e", "t").agg(F.round(F.sum("n")).alias("n_et"), many("c").alias("far"), many("d").alias("wide")).where("far AND wide").select("e", "t", "n_et")
+    """(e, t, n_et): values and words of the same documents that have the evidence; n_et counts distinct texts."""
+    held = _bits(values, "e")
+
+    def run(batches):
+        known, tally, seen = _Known(held.value), {}, set()
+
+        def sent():
+            rows = [(None, e, t, n if i == 0 else 0, c, d) for (e, t), (n, places) in tally.items() for i, (c, d) in enumerate(places)]
+            tally.clear()
+            return batch_of(rows)
+
+        def batch_of(rows):
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["key", "e", "t", "n", "c", "d"])
+
+        for batch in batches:
+            copies = []
+            for text, key, copied in zip(batch.column("text").to_pylist(), batch.column("key").to_pylist(), batch.column("_maybe").to_pylist()):
+                spans = base_spans(text)
+                near = {e: c for e, c in _contexts(text, spans).items() if known(e)} if spans else {}
+                if not near or copied and not _once(seen, key):
+                    continue
+                words, around = _words(text, spans), {}
+                for k, (_, _, t) in enumerate(words):
+                    if t not in around:
+                        around[t] = _digest([w[2] for w in words[max(0, k - REACH) : k + REACH + 1]])
+                for e, c in near.items():
+                    for t, d in around.items():
+                        if copied:
+                            copies.append((key, e, t, 1, c, d))
+                            continue
+                        x = tally.setdefault((e, t), [0, []])
+                        x[0] += 1
+                        # A place is kept while it may add evidence of either kind.
+                        if len({p[0] for p in x[1]} | {c}) > len({p[0] for p in x[1]}) <= min_contexts or len({p[1] for p in x[1]} | {d}) > len({p[1] for p in x[1]}) <= min_contexts:
+                            x[1].append((c, d))
+                    if len(tally) > TALLIES:
+                        yield sent()
+            yield batch_of(copies)
+        yield sent()
+
+    found = texts.mapInArrow(run, "key long, e string, t string, n long, c long, d long")
+    once = found.groupBy("key", "e", "t", "c", "d").agg(F.sum("n").alias("s"), F.max("n").alias("m")).select("e", "t", "c", "d", F.expr("if(key IS NULL, s, m)").alias("n"))
+    pairs = once.groupBy("e", "t").agg(F.sum("n").cast("double").alias("n_et"), F.countDistinct("c").alias("far"), F.countDistinct("d").alias("wide"))
+    return pairs.where((F.col("far") >= min_contexts) & (F.col("wide") >= min_contexts)).join(values.select("e"), "e", "left_semi").select("e", "t", "n_et")
 
 
 def disclosures(scanned: DataFrame, texts: DataFrame, disclose: float = DISCLOSE, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
-    """(e, t, share): words whose information about a value reaches the share `disclose` of the value's own."""
+    """(e, t, bits): words that leave `disclose` bits or fewer of a value unknown. texts: (text, key)."""
     near = scanned.select("key", F.explode("near").alias("x")).select("key", "x.e", "x.c")
     values = near.groupBy("e").agg(F.countDistinct("key").cast("double").alias("n_e"), F.countDistinct("c").alias("far"))
     values = stored(values.where(F.col("far") >= min_contexts).select("e", "n_e"))
-    copies = stored(scanned.groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1"))
-    few = F.broadcast(copies) if copies.count() <= COPIES else copies
-    # A text's copies share the weight of one, so that sums over documents count texts.
-    texts = texts.withColumn("key", F.xxhash64("text")).join(few, "key", "left").select("text", (1 / F.coalesce("copies", F.lit(1))).alias("part"))
+    copies = stored(scanned.groupBy(F.col("key").alias("h")).count().where("count > 1").select("h"))
+    texts = flagged(texts.select("text", "key"), "key", copies)
     pairs = stored(_pairs(texts, values, min_contexts))
     total = scanned.select("key").distinct().count()
-    counts = _document_counts(texts, pairs.select("t").distinct())
+    counts = _document_counts(texts, stored(pairs.select("t").distinct()))
     n = F.lit(float(max(total, 1)))
     rows = pairs.join(values, "e").join(counts, "t").withColumn("n_t", F.greatest("n", "n_et"))
-    return rows.select("e", "t", (F.log2(F.col("n_et") * n / (F.col("n_e") * F.col("n_t"))) / F.log2(n / F.col("n_e"))).alias("share")).where(F.col("share") >= disclose)
-
-
-def _spots(text: str, spans: list, shares: dict[str, float]) -> list[dict]:
-    """All places of disclosing words."""
-    if not shares or shares.keys().isdisjoint(_lowered(text)):
-        return []
-    return [{"s": s, "z": z, "share": shares[t]} for s, z, t in _words(text, spans) if t in shares]
+    mutual, content = F.log2(F.col("n_et") * n / (F.col("n_e") * F.col("n_t"))), F.log2(n / F.col("n_e"))
+    return rows.select("e", "t", F.greatest(content - mutual, F.lit(0.0)).alias("bits")).where(F.col("bits") <= disclose + 1e-9)
 
 
-def _found(docs: DataFrame, id_col: str, text_col: str, options: dict) -> DataFrame:
-    """The scan's columns with terms, an array of (s, z, share)."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
-    scanned = stored(texts.mapInArrow(_scan, _SCAN))
-    return _with_terms(scanned, texts, _shares(scanned, texts, options))
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text, key (the text's hash) and h (that of both)."""
+    number, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(number.alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"), F.xxhash64(number, F.xxhash64(text), number.isNull()).alias("h"))
 
 
 def _shares(scanned: DataFrame, texts: DataFrame, options: dict) -> DataFrame:
-    """(t, share): disclosing words, each with its largest share."""
-    return stored(disclosures(scanned, texts.select("text"), **options).groupBy("t").agg(F.max("share").alias("share")))
+    """(t, bits): disclosing words, each with the fewest bits it leaves of a value."""
+    return stored(disclosures(scanned, texts, **options).groupBy("t").agg(F.min("bits").alias("bits")))
 
 
-def _with_terms(scanned: DataFrame, texts: DataFrame, given: DataFrame) -> DataFrame:
-    parts, spots = -(-given.count() // TERM_SET), None
-    for k in range(parts):
-        held = given.sparkSession.sparkContext.broadcast({r.t: r.share for r in given.where(F.pmod(F.xxhash64("t"), F.lit(parts)) == k).toLocalIterator()})
+def _term_places(texts: DataFrame, given: DataFrame) -> DataFrame:
+    """(h, terms): the places of disclosing words for the documents that hold any, stored."""
+    held = _bits(given, "t")
 
-        def run(batches, held=held):
-            for batch in batches:
-                texts = batch.column("text").to_pylist()
-                found = [[] if held.value.keys().isdisjoint(_lowered(x)) else _spots(x, base_spans(x), held.value) for x in texts]
-                some = pa.array([bool(x) for x in found])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(found, _TERMS)], ["_i", "_k", "terms"]).filter(some)
+    def run(batches):
+        known = _Known(held.value)
+        for batch in batches:
+            rows = []
+            for text, h in zip(batch.column("text").to_pylist(), batch.column("h").to_pylist()):
+                if any(map(known, _lowered(text))):
+                    rows += [(h, t, s, z) for s, z, t in _words(text, base_spans(text)) if known(t)]
+            kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["h", "t", "s", "z"])
 
-        found = texts.mapInArrow(run, "_i long, _k long, terms array<struct<s: int, z: int, share: double>>")
-        spots = found if spots is None else spots.unionByName(found)
-    if spots is None:
-        return scanned.drop("near").withColumn("terms", F.expr("cast(array() as array<struct<s: int, z: int, share: double>>)"))
-    # Rows that repeat an id and a text have the same places.
-    terms = spots.groupBy("_i", "_k").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set("terms")))).alias("terms"))
-    return scanned.join(terms, F.expr("doc_id <=> _i AND key = _k"), "left").drop("_i", "_k", "near")
+    found = texts.select("text", "h").mapInArrow(run, "h long, t string, s int, z int").join(given, "t")
+    return stored(found.groupBy("h").agg(F.sort_array(F.collect_set(F.struct("s", "z", "bits"))).alias("terms")))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
-    rows = _found(docs, id_col, text_col, options)
+    texts = _texts(docs, id_col, text_col)
+    scanned = stored(texts.select("doc_id", "text", "key").mapInArrow(_scan, _SCAN))
+    terms = _term_places(texts, _shares(scanned, texts, options))
+    rows = scanned.drop("near").withColumn("h", F.expr("xxhash64(doc_id, key, doc_id IS NULL)")).join(terms, "h", "left")
     base = F.when(F.col("base") == "", F.array().cast("array<string>")).otherwise(F.split("base", ","))
-    terms = F.transform(F.coalesce("terms", F.expr("array()")), lambda t: F.concat(F.lit("term:"), t["s"].cast("string"), F.lit(":"), t["z"].cast("string")))
+    terms = F.transform(F.coalesce("terms", F.expr(f"cast(array() AS {_TERMS})")), lambda t: F.concat(F.lit("term:"), t["s"].cast("string"), F.lit(":"), t["z"].cast("string")))
     # structs compare by start, then by the kind's rank
     rank = lambda x: F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.split(x, ":")[0])
     spans = F.transform(F.array_sort(F.transform(F.concat(base, terms), lambda x: F.struct(F.split(x, ":")[1].cast("int").alias("s"), rank(x).alias("r"), x.alias("x")))), lambda y: y["x"])
     return rows.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), F.array_join(spans, ",").alias("spans"))
 
 
-def _rewrite(text: str, base: str, terms: list) -> str:
+def _rewrite(text: str, base: list, terms: list, remove: float = REMOVE) -> str:
     """Base values become <KIND>; terms are removed, or generalised to <TERM>."""
-    cuts = [(int(a), int(b), f"<{k.upper()}>") for k, a, b in (x.split(":") for x in base.split(",") if x)]
-    cuts += [(t["s"], t["z"], "" if t["share"] >= REMOVE else "<TERM>") for t in terms or ()]
+    cuts = [(a, b, f"<{KINDS[k].upper()}>") for a, k, b in base]
+    cuts += [(t["s"], t["z"], "" if t["bits"] <= remove else "<TERM>") for t in terms or ()]
     out, at = [], 0
     for a, b, new in sorted(cuts):
         if a < at:  # overlaps the one before: what is left of it goes as well
@@ -302,40 +333,28 @@ def _rewrite(text: str, base: str, terms: list) -> str:
     return "".join([*out, text[at:]])
 
 
-def _apply(text: str, shares: dict[str, float]) -> str | None:
-    """The text rewritten with disclosing words known, or None if there is nothing to do."""
-    spans = base_spans(text)
-    terms = _spots(text, spans, shares)
-    return _rewrite(text, _joined(spans), terms) if spans or terms else None
-
-
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pair_set: int = TERM_SET, **options) -> DataFrame:
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove: float = REMOVE, **options) -> DataFrame:
     """The columns of docs with their texts rewritten; a text without findings stays as it is, null included.
 
-    Up to `pair_set` disclosing words are broadcast, and texts are rewritten where they are; with more, the
-    findings are joined to the documents."""
-    names = docs.columns
-    held = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("_row"), F.col(text_col).cast("string").alias("_text"), F.col(id_col).cast("long").alias("_id"))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
-    scanned = stored(texts.mapInArrow(_scan, _SCAN))
-    given = _shares(scanned, texts, options)
-    if given.count() <= pair_set:
-        pairs = docs.sparkSession.sparkContext.broadcast({r.t: r.share for r in given.toLocalIterator()})
-
-        def run(batches):
-            for batch in batches:
-                new = [None if x is None else _apply(x, pairs.value) for x in batch.column("_text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(new, pa.string())], ["_row", "_new"])
-
-        out = held.select("_row", "_text").mapInArrow(run, f"_row {docs.schema.simpleString()}, _new string")
-    else:
-        found = _with_terms(scanned, texts, given).where("base <> '' OR size(terms) > 0").select(F.col("doc_id").alias("_i"), F.col("key").alias("_k"), "base", "terms").distinct()
-        joined = held.join(found, F.expr("_id <=> _i AND xxhash64(coalesce(_text, '')) = _k"), "left").select("_row", F.when(F.col("base").isNotNull(), F.col("_text")).alias("_text"), "base", "terms")
-
-        def joined_run(batches):
-            for batch in batches:
-                new = [None if x is None else _rewrite(x, base, terms) for x, base, terms in zip(batch.column("_text").to_pylist(), batch.column("base").to_pylist(), batch.column("terms").to_pylist())]
-                yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(new, pa.string())], ["_row", "_new"])
-
-        out = joined.mapInArrow(joined_run, f"_row {docs.schema.simpleString()}, _new string")
-    return out.select(*[F.coalesce("_new", F.col(f"_row.`{n}`")).alias(n) if n == text_col else F.col(f"_row.`{n}`").alias(n) for n in names])
+    Base values are found where the texts are. Texts that may hold disclosing words (a bitmap of bounded size says which)
+    are joined with the words' places; no others travel."""
+    names, texts = docs.columns, _texts(docs, id_col, text_col)
+    scanned = stored(texts.select("doc_id", "text", "key").mapInArrow(_scan, _SCAN))
+    places = _term_places(texts, _shares(scanned, texts, options))
+
+    def run(batches):
+        for batch in batches:
+            new = []
+            for text, terms in zip(batch.column("_text").to_pylist(), batch.column("terms").to_pylist()):
+                base = base_spans(text) if text else []
+                new.append(_rewrite(text, base, terms, remove) if base or terms else None)
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(new, pa.string())], ["_row", "_new"])
+
+    number, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    held = packed(docs, _text=text, h=F.xxhash64(number, F.xxhash64(F.coalesce(text, F.lit(""))), number.isNull()))
+    marked = flagged(held, "h", places.select("h"))
+    still = marked.where("NOT _maybe").select("_row", "_text", F.lit(None).cast(_TERMS).alias("terms"))
+    moved = marked.where("_maybe").join(places, "h", "left").select("_row", "_text", "terms")
+    out = still.unionByName(moved).mapInArrow(run, f"_row {docs.schema.simpleString()}, _new string")
+    out = out.select(F.col("_row").withField(f"`{text_col}`", F.coalesce("_new", F.col(f"_row.`{text_col}`").cast("string"))).alias("_row"))
+    return unpacked(out, names)
