@@ -8,12 +8,14 @@ after an executor is lost gives the same rows.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,9 +71,9 @@ JOIN_WORDS, WORKER_WORDS = 1 << 20, 1 << 22
 _BIT = "shiftleft(1L, cast(shiftrightunsigned({}, 58) AS int))"
 
 
-def _words_for(n: int, most: int) -> int:
-    """Rows of 64 bits for n hashes at 16 bits each, a power of two up to the bound; beyond it more hashes pass."""
-    return min(most, 1 << max(6, (n // 4).bit_length()))
+def _words_for(n: int, most: int, least: int = 6) -> int:
+    """Rows of 64 bits for n hashes, a power of two up to the bound; beyond it more hashes pass."""
+    return min(most, 1 << max(least, n.bit_length()))
 
 
 def _bitmap(hashes: DataFrame, words: int) -> DataFrame:
@@ -91,21 +93,26 @@ def flagged(rows: DataFrame, hashed: str, wanted: DataFrame, words: int | None =
 
 
 class Bits:
-    """A bitmap of 64-bit hashes for Python workers; `in` is never wrong for what was put in."""
+    """A bitmap of 64-bit hashes for Python workers, with two bits for each hash; never wrong for what was put in."""
 
     def __init__(self, wanted: DataFrame, words: int | None = None):
-        self.words = words or _words_for(wanted.count(), WORKER_WORDS)
-        found = _bitmap(wanted, self.words).toArrow()  # at most WORKER_WORDS rows
-        self.table = np.zeros(self.words, np.int64)
-        self.table[found.column("_w").to_numpy()] = found.column("_b").to_numpy()
-        self.table = self.table.view(_U)
-
-    def __contains__(self, h: int) -> bool:
-        """h: the hash as an unsigned number."""
-        return bool(int(self.table[h & (self.words - 1)]) >> (h >> 58) & 1)
+        self.words = words or _words_for(4 * wanted.count(), WORKER_WORDS, 14)
+        both = wanted.select("h").unionByName(wanted.select(F.xxhash64("h").alias("h")))
+        found = _bitmap(both, self.words).toArrow()  # at most WORKER_WORDS rows
+        table = np.zeros(self.words, np.int64)
+        table[found.column("_w").to_numpy()] = found.column("_b").to_numpy()
+        self.table = table.view(_U)
+
+    def _one(self, h: np.ndarray) -> np.ndarray:
+        return (self.table[(h & _U(self.words - 1)).astype(np.int64)] >> (h >> _U(58))) & _U(1) == 1
 
     def has(self, h: np.ndarray) -> np.ndarray:
-        return (self.table[(h & _U(self.words - 1)).astype(np.int64)] >> (h >> _U(58))) & _U(1) == 1
+        """Flags of unsigned hashes."""
+        out = self._one(h)
+        at = np.flatnonzero(out)
+        again = np.array([xxhash.xxh64_intdigest(x, 42) for x in (h[at].astype("<u8").tobytes()[k : k + 8] for k in range(0, 8 * len(at), 8))], _U)  # as SQL's xxhash64
+        out[at] = self._one(again)
+        return out
 
 
 def packed(docs: DataFrame, **columns: Column) -> DataFrame:
@@ -209,6 +216,67 @@ def windows(hashes: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     return mix((sums[n:] - sums[:-n]) * inverse[: k - n + 1], seed)
 
 
+_WORD = re.compile(r"[^\W\d_]+")
+_letter = _lower = None
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """By code point: is it a letter, and its small letter (0 where that is no single one or depends on its place)."""
+    global _letter, _lower
+    if _letter is None:
+        every = "".join(map(chr, range(0x110000)))
+        letter, lower = np.zeros(0x110000, bool), np.zeros(0x110000, np.uint32)
+        for m in _WORD.finditer(every):
+            letter[m.start() : m.end()] = True
+        for i in np.flatnonzero(letter).tolist():
+            x = every[i].lower()
+            if len(x) == 1 and i != 0x3A3:
+                lower[i] = ord(x)
+        _letter, _lower = letter, lower
+    return _letter, _lower
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def word_hash(word: str) -> int:
+    """The hash that letter_words gives a word that is `word` in small letters."""
+    x = _points(word)
+    power, _ = _powers(len(x) + 1)
+    with np.errstate(over="ignore"):
+        return int(mix(((x.astype(_U) + _U(1)) * power[: len(x)]).sum(keepdims=True, dtype=_U))[0])
+
+
+def letter_words(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(number of the first text, hashes, text numbers, starts, ends) of all runs of letters in small letters, by chunks;
+    places are code points within the text."""
+    letter, lower = _tables()
+    low = 0
+    while low < len(texts):
+        high, size = low + 1, len(texts[low])
+        while high < len(texts) and size + len(texts[high]) < CHUNK_BYTES:
+            size += len(texts[high]) + 1
+            high += 1
+        whole = "\n".join(texts[low:high]) + "\n"
+        x = _points(whole)
+        within = np.concatenate(([False], letter[x]))
+        edges = np.flatnonzero(within[1:] != within[:-1])
+        starts, ends = edges[0::2], edges[1::2]
+        small = lower[x]
+        power, inverse = _powers(len(x) + 1)
+        sums = np.zeros(len(x) + 1, _U)
+        np.cumsum((small.astype(_U) + _U(1)) * power[: len(x)], out=sums[1:])
+        hashes = mix((sums[ends] - sums[starts]) * inverse[starts])
+        odd = np.flatnonzero((small == 0) & letter[x])  # words with such letters are lowered one by one
+        for k in np.unique(np.searchsorted(ends, odd, "right")).tolist():
+            hashes[k] = word_hash(whole[starts[k] : ends[k]].lower())
+        offsets = np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts[low:high]), np.int64, high - low) + 1)))
+        doc = np.searchsorted(offsets, starts, "right") - 1
+        yield low, hashes, doc, starts - offsets[doc], ends - offsets[doc]
+        low = high
+
+
 def runs_to_mask(starts: np.ndarray, n: int, length: int) -> np.ndarray:
     """True where a position is covered by a window of n from one of the starts."""
     steps = np.zeros(length + 1, np.int32)

@@ -25,12 +25,13 @@ import hashlib
 import re
 from bisect import bisect_right
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bits, flagged, packed, stored, unpacked
+from .common import Bits, flagged, letter_words, packed, stored, unpacked, word_hash
 
 KINDS = ("email", "ip", "card", "phone", "term")
 DISCLOSE, REMOVE, MIN_CONTEXTS, REACH = 0.5, 0.1, 3, 10
@@ -122,29 +123,10 @@ def _contexts(text: str, spans: list) -> dict[str, int]:
     return {e: _digest(w) for e, w in near.items()}
 
 
-def _lowered(text: str) -> set[str]:
-    return {w.lower() for w in set(_WORD.findall(text))}
-
-
 _SCAN = "doc_id long, key long, base string, n_email long, n_ip long, n_card long, n_phone long, near array<struct<e: string, c: long>>"
 _TERMS = "array<struct<s: int, z: int, bits: double>>"
 
 
-class _Known:
-    """Which strings may be in a bitmap of their hashes; remembers the words it has looked up."""
-
-    def __init__(self, bits: Bits):
-        self.bits, self.seen = bits, {}
-
-    def __call__(self, x: str) -> bool:
-        found = self.seen.get(x)
-        if found is None:
-            if len(self.seen) >= SEEN:
-                self.seen.clear()
-            found = self.seen[x] = xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 42) in self.bits  # as SQL's xxhash64
-        return found
-
-
 def _joined(spans) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
@@ -163,8 +145,20 @@ def _scan(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(cols[0], pa.string()), *[pa.array(c, pa.int64()) for c in cols[1:5]], near], ["doc_id", "key", "base", "n_email", "n_ip", "n_card", "n_phone", "near"])
 
 
-def _bits(values: DataFrame, name: str):
-    return values.sparkSession.sparkContext.broadcast(Bits(values.select(F.xxhash64(name).alias("h"))))
+def _bits(values: DataFrame):
+    """A broadcast bitmap of the column h."""
+    return values.sparkSession.sparkContext.broadcast(Bits(values))
+
+
+def _hashed(terms: DataFrame) -> DataFrame:
+    """Adds h, the hash by which workers find a word."""
+
+    def run(batches):
+        for batch in batches:
+            found = [word_hash(t) for t in batch.column("t").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(found, np.uint64).view(np.int64))], [*batch.schema.names, "h"])
+
+    return stored(terms.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in terms.dtypes) + ", h long"))
 
 
 def _once(seen: set, key: int) -> bool:
@@ -177,47 +171,64 @@ def _once(seen: set, key: int) -> bool:
 
 
 def _document_counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(t, n): distinct texts of the corpus that hold each term.
+    """(h, n): distinct texts of the corpus that hold each term, and maybe some other words.
 
     Texts that have copies are sent by key, so that each counts once; all others are counted in each task first."""
-    held = _bits(terms, "t")
+    held = _bits(terms)
 
     def run(batches):
-        known, counts, seen = _Known(held.value), {}, set()
+        known, counts, seen = held.value, [], set()
 
         def sent(key, n, words):
-            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(words, pa.list_(pa.string()))], ["key", "n", "words"])
+            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(words, pa.list_(pa.int64()))], ["key", "n", "words"])
+
+        def tallied():
+            h, at = np.unique(np.concatenate([x for x, _ in counts]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([n for _, n in counts])).astype(np.int64)
+            for k in range(0, len(h), TALLIES):
+                part = h[k : k + TALLIES].view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32)), pa.array(part))
+                yield sent([None] * len(part), n[k : k + TALLIES], lists)
 
         for batch in batches:
-            keys, lists = [], []
-            for text, key, copied in zip(batch.column("text").to_pylist(), batch.column("key").to_pylist(), batch.column("_maybe").to_pylist()):
-                if copied and not _once(seen, key):
-                    continue
-                found = [t for t in _lowered(text) if known(t)]
-                if copied:
-                    keys.append(key)
-                    lists.append(found)
-                    continue
-                for t in found:
-                    counts[t] = counts.get(t, 0) + 1
-            yield sent(keys, [1] * len(keys), lists)
-            if len(counts) > TALLIES:
-                yield sent([None] * len(counts), list(counts.values()), [[t] for t in counts])
+            copied = batch.column("_maybe").to_numpy(zero_copy_only=False)
+            keys = batch.column("key").to_pylist()
+            fresh = np.array([not c or _once(seen, k) for k, c in zip(keys, copied.tolist())], bool)
+            own, lists = [], []
+            for low, hashes, doc, _, _ in letter_words(batch.column("text").to_pylist()):
+                at = np.flatnonzero(known.has(hashes))
+                at = at[fresh[low + doc[at]]]
+                order = np.lexsort((hashes[at], doc[at]))
+                doc, hashes = doc[at][order], hashes[at][order]
+                new = np.ones(len(doc), bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
+                doc, hashes = doc[new], hashes[new]
+                single = ~copied[low + doc]
+                counts.append(np.unique(hashes[single], return_counts=True))
+                for d in np.unique(doc[~single]).tolist():
+                    own.append(keys[low + d])
+                    lists.append(hashes[doc == d].view(np.int64))
+            yield sent(own, [1] * len(own), lists)
+            if sum(len(x) for x, _ in counts) > 20 * TALLIES:
+                yield from tallied()
                 counts.clear()
-        yield sent([None] * len(counts), list(counts.values()), [[t] for t in counts])
+        if counts:
+            yield from tallied()
 
-    found = texts.mapInArrow(run, "key long, n long, words array<string>")
-    each = found.groupBy("key", F.expr("if(key IS NULL, words[0], NULL)").alias("t")).agg(F.sum("n").alias("n"), F.first("words").alias("words"))
-    counted = each.select(F.explode("words").alias("t"), F.expr("if(key IS NULL, n, 1)").alias("n")).groupBy("t").agg(F.sum("n").cast("double").alias("n"))
-    return counted.join(terms, "t", "left_semi")
+    found = texts.mapInArrow(run, "key long, n long, words array<long>")
+    each = found.groupBy("key", F.expr("if(key IS NULL, words[0], NULL)").alias("h")).agg(F.sum("n").alias("n"), F.first("words").alias("words"))
+    return each.select(F.explode("words").alias("h"), F.expr("if(key IS NULL, n, 1)").alias("n")).groupBy("h").agg(F.sum("n").cast("double").alias("n"))
 
 
 def _pairs(texts: DataFrame, values: DataFrame, min_contexts: int) -> DataFrame:
     """(e, t, n_et): values and words of the same documents that have the evidence; n_et counts distinct texts."""
-    held = _bits(values, "e")
+    held = _bits(values.select(F.xxhash64("e").alias("h")))
 
     def run(batches):
-        known, tally, seen = _Known(held.value), {}, set()
+        bits, tally, seen = held.value, {}, set()
+
+        def known(e):
+            return bits.has(np.array([xxhash.xxh64_intdigest(e.encode("utf-8", "surrogatepass"), 42)], np.uint64))[0]  # as SQL's xxhash64
 
         def sent():
             rows = [(None, e, t, n if i == 0 else 0, c, d) for (e, t), (n, places) in tally.items() for i, (c, d) in enumerate(places)]
@@ -269,7 +280,8 @@ def disclosures(scanned: DataFrame, texts: DataFrame, disclose: float = DISCLOSE
     texts = flagged(texts.select("text", "key"), "key", copies)
     pairs = stored(_pairs(texts, values, min_contexts))
     total = scanned.select("key").distinct().count()
-    counts = _document_counts(texts, stored(pairs.select("t").distinct()))
+    terms = _hashed(pairs.select("t").distinct())
+    counts = terms.join(_document_counts(texts, terms), "h").select("t", "n")
     n = F.lit(float(max(total, 1)))
     rows = pairs.join(values, "e").join(counts, "t").withColumn("n_t", F.greatest("n", "n_et"))
     mutual, content = F.log2(F.col("n_et") * n / (F.col("n_e") * F.col("n_t"))), F.log2(n / F.col("n_e"))
@@ -289,15 +301,17 @@ def _shares(scanned: DataFrame, texts: DataFrame, options: dict) -> DataFrame:
 
 def _term_places(texts: DataFrame, given: DataFrame) -> DataFrame:
     """(h, terms): the places of disclosing words for the documents that hold any, stored."""
-    held = _bits(given, "t")
+    held = _bits(_hashed(given))
 
     def run(batches):
-        known = _Known(held.value)
         for batch in batches:
-            rows = []
-            for text, h in zip(batch.column("text").to_pylist(), batch.column("h").to_pylist()):
-                if any(map(known, _lowered(text))):
-                    rows += [(h, t, s, z) for s, z, t in _words(text, base_spans(text)) if known(t)]
+            rows, texts, ids = [], batch.column("text").to_pylist(), batch.column("h").to_pylist()
+            for low, hashes, doc, starts, ends in letter_words(texts):
+                at = np.flatnonzero(held.value.has(hashes))
+                for d in np.unique(doc[at]).tolist():
+                    text, own = texts[low + d], at[doc[at] == d]
+                    free = {(s, z) for s, z, _ in _words(text, base_spans(text))}
+                    rows += [(ids[low + d], text[s:z].lower(), s, z) for s, z in zip(starts[own].tolist(), ends[own].tolist()) if (s, z) in free]
             kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["h", "t", "s", "z"])
 

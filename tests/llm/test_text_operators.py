@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from keyloom.llm import decontaminate, fingerprint, pii, simhash, substrings
+from keyloom.llm import common, decontaminate, fingerprint, pii, simhash, substrings
 
 from .helpers import DOCS, awkward, docs
 
@@ -309,6 +309,16 @@ def test_copies_do_not_hide_a_term(spark):
         assert not any("term" in got[i] for i, _ in rest)
 
 
+def test_letter_words():
+    """Hashes and places are those of each word lowered on its own, with letters that lower to two or by their place."""
+    texts = ["One twO_three4five  \u0130stanbul ΣΑΣ été", "", "7", "日本 STRASSE ß", "a" * 3, "Ǆ x\u0301y end"]
+    got = []
+    for low, hashes, doc, starts, ends in common.letter_words(texts * 2):
+        got += list(zip((low + doc).tolist(), hashes.tolist(), starts.tolist(), ends.tolist()))
+    want = [(i, common.word_hash(m[0].lower()), m.start(), m.end()) for i, t in enumerate(texts * 2) for m in re.finditer(r"[^\W\d_]+", t)]
+    assert got == want and len({h for _, h, _, _ in want}) == len({m[0].lower() for t in texts for m in re.finditer(r"[^\W\d_]+", t)})
+
+
 def test_disclosing_terms_are_those_of_brute_force(spark):
     """All counts, contexts and bits by hand, on a small vocabulary with copies; also a term in documents without values."""
     rng = random.Random(31)
