@@ -15,7 +15,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,7 +96,8 @@ class Bits:
 
     def __init__(self, wanted: DataFrame, words: int | None = None):
         self.words = words or _words_for(4 * wanted.count(), WORKER_WORDS, 14)
-        both = wanted.select("h").unionByName(wanted.select(F.xxhash64("h").alias("h")))
+        other = F.expr("shiftrightunsigned(h, 22) | shiftleft(shiftrightunsigned(h, 52), 58)")  # bits that the first leaves out
+        both = wanted.select("h").unionByName(wanted.select(other.alias("h")))
         found = _bitmap(both, self.words).toArrow()  # at most WORKER_WORDS rows
         table = np.zeros(self.words, np.int64)
         table[found.column("_w").to_numpy()] = found.column("_b").to_numpy()
@@ -108,11 +108,7 @@ class Bits:
 
     def has(self, h: np.ndarray) -> np.ndarray:
         """Flags of unsigned hashes."""
-        out = self._one(h)
-        at = np.flatnonzero(out)
-        again = np.array([xxhash.xxh64_intdigest(x, 42) for x in (h[at].astype("<u8").tobytes()[k : k + 8] for k in range(0, 8 * len(at), 8))], _U)  # as SQL's xxhash64
-        out[at] = self._one(again)
-        return out
+        return self._one(h) & self._one(h >> _U(22) | h >> _U(52) << _U(58))
 
 
 def packed(docs: DataFrame, **columns: Column) -> DataFrame:

@@ -205,9 +205,10 @@ def _document_counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
                 doc, hashes = doc[new], hashes[new]
                 single = ~copied[low + doc]
                 counts.append(np.unique(hashes[single], return_counts=True))
-                for d in np.unique(doc[~single]).tolist():
-                    own.append(keys[low + d])
-                    lists.append(hashes[doc == d].view(np.int64))
+                doc, hashes = doc[~single], hashes[~single]
+                for part in np.split(np.arange(len(doc)), np.flatnonzero(np.diff(doc)) + 1) if len(doc) else ():
+                    own.append(keys[low + doc[part[0]]])
+                    lists.append(hashes[part].view(np.int64))
             yield sent(own, [1] * len(own), lists)
             if sum(len(x) for x, _ in counts) > 20 * TALLIES:
                 yield from tallied()
