@@ -189,7 +189,7 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, max_bits: int =
 
 
 #: Near groups: words of a shingle, bits of a parity sketch (at least and at most), cells of the tally, cells of a block.
-NEAR_SHINGLE, SKETCH_LOW, SKETCH_HIGH, TALLY_BITS, BLOCK_BITS = 5, 512, 1 << 16, 26, 18
+NEAR_SHINGLE, SKETCH_LOW, SKETCH_HIGH, TALLY_BITS, BLOCK_BITS = 5, 512, 1 << 16, 24, 18
 #: Bytes of shingle sets that a task holds; a larger group is compared by several tasks, in rounds.
 GROUP_BYTES = 16 << 20
 #: Distinct texts a task remembers, so as not to send copies.
@@ -223,22 +223,25 @@ def _cell(values: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _tally(texts: DataFrame, bits: int) -> np.ndarray:
-    """How many texts hold the shingles of each of 2^bits cells, 255 at most: 64 MB whatever the corpus.
-
-    Copies in one task count once. The counts only order shingles, and every task sees the same ones."""
+    """How many texts hold the shingles of each of 2^bits cells, as 1 for one and by sixteenths of a power of two above:
+    16 MB whatever the corpus. Copies in one task count once. This only orders shingles, and every task sees the same."""
     block_bits = min(BLOCK_BITS, bits)
 
     def tasks(batches):
-        counts, seen = np.zeros(1 << bits, np.uint8), set()
+        counts, seen = np.zeros(1 << bits, np.uint16), set()
         for batch in batches:
             for x in _joined(shingle_sets(_fresh(batch, seen)[1])):
                 cells, n = np.unique(_cell(x, bits), return_counts=True)
-                counts[cells] = np.minimum(255, counts[cells].astype(np.int64) + n)
+                counts[cells] = np.minimum(65535, counts[cells] + n)
         for block in range(1 << (bits - block_bits)):
             part = counts[block << block_bits : (block + 1) << block_bits]
             at = np.flatnonzero(part)
             if len(at):
-                yield pa.RecordBatch.from_pydict({"block": [block], "at": [at.astype("<u4").tobytes()], "n": [part[at].tobytes()]})
+                yield pa.RecordBatch.from_pydict({"block": [block], "at": [at.astype("<u4").tobytes()], "n": [part[at].astype("<u2").tobytes()]})
+
+    def level(block, total):
+        steps = np.where(total > 0, 1 + 16 * np.log2(np.maximum(total, 1)), 0)
+        return pa.RecordBatch.from_pydict({"block": [block], "n": [np.minimum(steps, 255).astype(np.uint8).tobytes()]})
 
     def merge(batches):
         now, total = None, None
@@ -246,11 +249,11 @@ def _tally(texts: DataFrame, bits: int) -> np.ndarray:
             for block, at, n in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 if block != now:
                     if now is not None:
-                        yield pa.RecordBatch.from_pydict({"block": [now], "n": [np.minimum(total, 255).astype(np.uint8).tobytes()]})
+                        yield level(now, total)
                     now, total = block, np.zeros(1 << block_bits, np.int64)
-                total[np.frombuffer(at, "<u4")] += np.frombuffer(n, np.uint8)
+                total[np.frombuffer(at, "<u4")] += np.frombuffer(n, "<u2")
         if now is not None:
-            yield pa.RecordBatch.from_pydict({"block": [now], "n": [np.minimum(total, 255).astype(np.uint8).tobytes()]})
+            yield level(now, total)
 
     parts = texts.mapInArrow(tasks, "block long, at binary, n binary").repartition("block").sortWithinPartitions("block")
     out = np.zeros(1 << bits, np.uint8)
