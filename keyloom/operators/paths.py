@@ -1,9 +1,13 @@
 """Shortest paths over the undirected graph: match, nomatch, several stops, and costs to minimise or maximise.
 
 A hop goes vertex - edge - vertex in two halves; its cost is the weight of the edge or a property or expression of it.
-`minimize` gives a true shortest path (ties: fewer hops, then the smaller path). All sources are solved in one loop of
-relaxations keyed by (source, node); each round is stored, so that its plan doesn't grow. `maximize` is a heuristic, as
-the longest simple path is NP-hard: the same loop keeps the costliest simple path of up to `max_hops` hops for each node.
+`minimize` gives a true shortest path of any number of hops. Ties go to fewer hops, then, from the end back, to the
+smaller edge. All sources are solved in one loop of relaxations keyed by (source, node) on narrow rows, until no node
+gains; a source whose targets are all reached goes no further than the costliest of them. A round writes what gained in
+it only. Paths are then followed back from the targets, so no row of the loop carries one.
+
+`nomatch` asks for components, not for paths. `maximize` is a heuristic, as the longest simple path is NP-hard: a loop
+keeps the costliest simple path of up to `max_hops` hops for each node.
 """
 
 from __future__ import annotations
@@ -18,7 +22,10 @@ from ..sources.graph import Graph
 from .relation import TRIPLET, Relation
 from .traverse import edges_of
 
+#: Hops of a path that `maximize` looks for.
 MAX_HOPS = 32
+#: Rounds of the loop after which what they gained is merged.
+MERGE_ROUNDS = 12
 PATH = "array<struct<key: string, increment: double>>"
 
 
@@ -37,42 +44,118 @@ def half_edges(graph: Graph, include: list[str], exclude: list[str], cost: Colum
     return both.where("a <> b").groupBy("a", "b").agg(F.min(F.struct("w", "edge_id")).alias("m")).select("a", "b", F.col("m.edge_id").alias("edge_id"), F.col("m.w").alias("w"))
 
 
-def shortest(graph: Graph, sources: DataFrame, half: DataFrame, max_hops: int = MAX_HOPS, maximize: bool = False) -> DataFrame:
-    """(source, node, cost, hops, path) for all nodes that the sources reach within max_hops."""
+def _best(rounds: list[DataFrame]) -> DataFrame:
+    """(source, node, cost, hops): the least of what the rounds gained."""
+    least = F.min(F.struct(F.round("cost", 9).alias("c"), "hops", "cost")).alias("m")
+    return reduce(DataFrame.unionByName, rounds).groupBy("source", "node").agg(least).select("source", "node", "m.cost", "m.hops")
+
+
+def reached(sources: DataFrame, half: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """(source, node, cost, hops) of the nodes that the sources reach; all that matter for the targets, if there are any.
+
+    half: stored. Ends as soon as no node gains, which non-negative costs make sure of."""
+    front = stored(sources.select(F.col("key").alias("source"), F.col("key").alias("node"), F.lit(0.0).alias("cost"), F.lit(0).alias("hops")).distinct())
+    rounds = [front]
+    n = targets.count() if targets is not None else 0
+    while True:
+        moved = front.join(half, front.node == half.a).select("source", F.col("b").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), (F.col("hops") + 1).alias("hops"))
+        known = _best(rounds)
+        if n:
+            ends = known.join(targets.select(F.col("key").alias("node")), "node").groupBy("source").agg(F.count("*").alias("n"), F.max("cost").alias("most"))
+            moved = moved.join(ends.where(F.col("n") >= n).select("source", "most"), "source", "left").where("most IS NULL OR round(cost, 9) <= round(most, 9)").drop("most")
+        moved = _best([moved])
+        old = known.select("source", "node", F.col("cost").alias("_c"), F.col("hops").alias("_h"))
+        gain = "_c IS NULL OR round(cost, 9) < round(_c, 9) OR round(cost, 9) = round(_c, 9) AND hops < _h"
+        front = stored(moved.join(old, ["source", "node"], "left").where(gain).select("source", "node", "cost", "hops"))
+        if front.limit(1).count() == 0:
+            return _best(rounds)
+        rounds.append(front)
+        if len(rounds) > MERGE_ROUNDS:
+            rounds = [stored(_best(rounds))]
+
+
+def _step(key: Column, increment: Column) -> Column:
+    return F.struct(key.alias("key"), increment.cast("double").alias("increment"))
+
+
+def shortest(graph: Graph, sources: DataFrame, half: DataFrame, targets: DataFrame) -> DataFrame:
+    """(source, node, cost, hops, path) for all pairs of a source and another node among the targets with a path."""
+    half = stored(half)
+    if half.where("w < 0").limit(1).count():
+        raise ValueError("costs to minimise can't be negative")
+    best = stored(reached(sources, half, targets))
+    pairs = best.join(targets.select(F.col("key").alias("node")), "node", "left_semi").where("source <> node")
+    start = F.array(_step(F.col("source"), F.lit(0.0)), ).cast(PATH)
+    at = stored(pairs.select("source", F.col("node").alias("target"), F.col("cost").alias("total"), F.col("hops").alias("length"), "node", "cost", "hops", F.lit(None).cast(PATH).alias("path")))
+    done = []
+    before = best.select(F.col("source").alias("s"), F.col("node").alias("a"), F.col("cost").alias("_c"), F.col("hops").alias("_h"))
+    while at.limit(1).count():
+        back = at.join(half, at.node == half.b).join(before, ["a"]).where("source = s AND _h + 1 = hops AND round(_c + w, 9) = round(cost, 9)")
+        added = F.array(_step(F.col("edge_id"), F.col("w") / 2), _step(F.col("node"), F.col("w") / 2))
+        chosen = F.min_by(F.struct("a", "_c", "_h", F.concat(added, F.coalesce("path", F.array().cast(PATH))).alias("path")), F.struct("edge_id", "a"))
+        at = stored(back.groupBy("source", "target", "total", "length").agg(chosen.alias("m")).select("source", "target", "total", "length", F.col("m.a").alias("node"), F.col("m._c").alias("cost"), F.col("m._h").alias("hops"), "m.path"))
+        done.append(at.where("hops = 0"))
+        at = at.where("hops > 0")
+    rows = reduce(DataFrame.unionByName, done) if done else at
+    return rows.select("source", F.col("target").alias("node"), F.col("total").alias("cost"), F.col("length").alias("hops"), F.concat(start, "path").alias("path"))
+
+
+def costliest(graph: Graph, sources: DataFrame, half: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
+    """(source, node, cost, hops, path): the costliest simple paths found within max_hops."""
     half = stored(half)
-    start = F.array(F.struct(F.col("key").alias("key"), F.lit(0.0).alias("increment"))).cast(PATH)
+    start = F.array(_step(F.col("key"), F.lit(0.0))).cast(PATH)
     best = stored(sources.select(F.col("key").alias("source"), F.col("key").alias("node"), F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), start.alias("path")).distinct())
     front = best
-    step = lambda key, inc: F.struct(key.alias("key"), inc.cast("double").alias("increment"))
     for _ in range(max_hops):
-        moved = front.join(half, front.node == half.a)
-        if maximize:
-            moved = moved.where(~F.exists("path", lambda s: s["key"] == F.col("b")))
-        moved = moved.select("source", F.col("b").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), (F.col("hops") + 1).alias("hops"), F.concat("path", F.array(step(F.col("edge_id"), F.col("w") / 2), step(F.col("b"), F.col("w") / 2))).alias("path"))
-        sign = -1 if maximize else 1
-        rank = F.struct((F.round("cost", 9) * sign).alias("c"), "hops", "path", "cost")
+        moved = front.join(half, front.node == half.a).where(~F.exists("path", lambda s: s["key"] == F.col("b")))
+        moved = moved.select("source", F.col("b").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), (F.col("hops") + 1).alias("hops"), F.concat("path", F.array(_step(F.col("edge_id"), F.col("w") / 2), _step(F.col("b"), F.col("w") / 2))).alias("path"))
+        rank = F.struct((-F.round("cost", 9)).alias("c"), "hops", "path", "cost")
         moved = moved.groupBy("source", "node").agg(F.min(rank).alias("m")).select("source", "node", "m.cost", "m.hops", "m.path")
         old = best.select("source", "node", F.col("cost").alias("_c"), F.col("hops").alias("_h"), F.col("path").alias("_p"))
-        both = moved.join(old, ["source", "node"], "left")
-        worse = lambda a, b: F.round(a, 9) * sign > F.round(b, 9) * sign
-        gain = F.col("_c").isNull() | worse(F.col("_c"), F.col("cost")) | ((F.round("_c", 9) == F.round("cost", 9)) & ((F.col("_h") > F.col("hops")) | ((F.col("_h") == F.col("hops")) & (F.struct(F.col("_p").alias("p")) > F.struct(F.col("path").alias("p"))))))
-        front = stored(both.where(gain).select("source", "node", "cost", "hops", "path"))
+        same = F.round("_c", 9) == F.round("cost", 9)
+        gain = F.col("_c").isNull() | (F.round("_c", 9) < F.round("cost", 9)) | (same & ((F.col("_h") > F.col("hops")) | ((F.col("_h") == F.col("hops")) & (F.struct(F.col("_p").alias("p")) > F.struct(F.col("path").alias("p"))))))
+        front = stored(moved.join(old, ["source", "node"], "left").where(gain).select("source", "node", "cost", "hops", "path"))
         if front.limit(1).count() == 0:
             break
         best = stored(best.join(front.select("source", "node"), ["source", "node"], "left_anti").unionByName(front))
     return best
 
 
+def components(half: DataFrame) -> DataFrame:
+    """(node, root): the smallest node of each component with an edge, by large-star and small-star rounds."""
+    edges = stored(half.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    mark = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    seen = mark(edges)
+    while seen[0]:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
+        edges = stored(small.select("x.*").where("u <> v").distinct())
+        now = mark(edges)
+        if now == seen:
+            break
+        seen = now
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+
+
 def match(graph: Graph, sets: list[DataFrame], include: list[str] | None = None, exclude: list[str] | None = None, cost: Column | None = None, maximize: bool = False, max_hops: int = MAX_HOPS) -> Relation:
     """match(A, B): one path for each reachable pair. match(A, B, C, ..): combinations of distinct stops for which each
     neighbouring pair and the last with the first have a path; the paths are joined and the longest leg is dropped."""
     half = half_edges(graph, include or [], exclude or [], cost)
     sets = [s.select("key").distinct() for s in sets]
+
+    def legs_of(starts: DataFrame, targets: DataFrame) -> DataFrame:
+        if maximize:
+            return costliest(graph, starts, half, max_hops).join(targets.select(F.col("key").alias("node")), "node").where("source <> node")
+        return shortest(graph, starts, half, stored(targets))
+
     if len(sets) == 2:
-        found = shortest(graph, sets[0], half, max_hops, maximize).join(sets[1].withColumnRenamed("key", "node"), "node").where("source <> node")
+        found = legs_of(*sets)
         return Relation(found.select(F.col("node").alias("key"), F.col("source").alias("subject"), F.col("node").alias("object"), F.col("cost").alias("length"), "path"), TRIPLET)
-    starts = reduce(DataFrame.unionByName, sets).distinct()
-    legs = stored(shortest(graph, starts, half, max_hops, maximize).where("source <> node"))
+    every_stop = stored(reduce(DataFrame.unionByName, sets).distinct())
+    legs = stored(legs_of(every_stop, every_stop))
     n = len(sets)
     out = None
     for i in range(n):
@@ -90,11 +173,11 @@ def match(graph: Graph, sets: list[DataFrame], include: list[str] | None = None,
     return Relation(out.select(F.col(f"s{n - 1}").alias("key"), F.col("s0").alias("subject"), F.col(f"s{n - 1}").alias("object"), length.alias("length"), path.alias("path"), F.array(*stops).alias("stops")), TRIPLET)
 
 
-def nomatch(graph: Graph, a: DataFrame, b: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None, max_hops: int = MAX_HOPS) -> Relation:
+def nomatch(graph: Graph, a: DataFrame, b: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None) -> Relation:
     """Pairs of the two sets without a path; the sets are named by the query, and their product is its result."""
-    found = shortest(graph, a, half_edges(graph, include or [], exclude or [], None), max_hops).select(F.col("source").alias("subject"), F.col("node").alias("object"))
-    pairs = a.select(F.col("key").alias("subject")).distinct().crossJoin(b.select(F.col("key").alias("object")).distinct()).where("subject <> object")
-    out = pairs.join(found, ["subject", "object"], "left_anti")
+    roots = components(half_edges(graph, include or [], exclude or [], None))
+    side = lambda df, name: df.select(F.col("key").alias("node")).distinct().join(roots, "node", "left").select(F.col("node").alias(name), F.coalesce("root", "node").alias(f"{name}_root"))
+    out = side(a, "subject").join(side(b, "object"), F.expr("subject <> object AND subject_root <> object_root"))
     return Relation(out.select(F.col("object").alias("key"), "subject", "object", F.lit(0.0).alias("length"), F.array().cast(PATH).alias("path")), TRIPLET)
 
 

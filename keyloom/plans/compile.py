@@ -413,7 +413,7 @@ def _match(c, op, dialect):
     if op == "match":
         c.push(paths.match(c.graph, frames, c.include, c.exclude, _cost_column(c), c.maximize, c.max_hops))
     else:
-        c.push(paths.nomatch(c.graph, *frames[:2], c.include, c.exclude, c.max_hops))
+        c.push(paths.nomatch(c.graph, *frames[:2], c.include, c.exclude))
     c.include, c.exclude, c.cost, c.maximize = [], [], None, False
 
 

@@ -1,6 +1,7 @@
 """Small graphs with known answers: incident and strict steps, paths, renames, drops, rules."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,6 +83,39 @@ def test_weighted_path_takes_the_cheaper_way(spark):
         eng.query("g:include(r).exclude(x).match(v(a),v(c))")
 
 
+def test_paths_of_any_length(spark):
+    """A chain of 40 edges: its ends are connected, with all stops in order, and nomatch knows it."""
+    e = edges(spark, [("r", "r_", f"k{i}", f"k{i + 1}", 1.0) for i in range(40)] + [("r", "r_", "far", "away", 1.0)])
+    eng = Engine(spark, Graph.of(spark, vertices(spark, [(f"k{i}", "n", {}) for i in range(41)] + [("far", "n", {})]), e))
+    row = eng.query("g:match(v(k0),v(k40))").first()
+    assert row.length == 40.0 and [s.key for s in row.path][0::2] == [f"k{i}" for i in range(41)]
+    assert keys(eng.query("g:nomatch(v(k0),v(k40,k35,far))").select("object")) == ["far"]
+
+
+def test_paths_are_those_of_brute_force(spark):
+    """All pairs of a random weighted graph: costs, and paths whose edges exist and add up to them."""
+    rng = random.Random(3)
+    names = [f"n{i}" for i in range(14)]
+    weights = {}
+    for _ in range(26):
+        a, b = sorted(rng.sample(names, 2))
+        weights[a, b] = float(rng.randint(1, 9))
+    best = {(a, b): 0.0 if a == b else weights.get((min(a, b), max(a, b)), float("inf")) for a in names for b in names}
+    for k in names:
+        for a in names:
+            for b in names:
+                best[a, b] = min(best[a, b], best[a, k] + best[k, b])
+    eng = Engine(spark, Graph.of(spark, vertices(spark, [(n, "n", {}) for n in names]), edges(spark, [("r", "r_", a, b, w) for (a, b), w in weights.items()])))
+    rows = eng.query("g:minimize(weight).match(v(n),v(n))").collect()
+    assert {(r.subject, r.object): r.length for r in rows} == {p: c for p, c in best.items() if p[0] != p[1] and c < float("inf")}
+    for r in rows:
+        stops = [s.key for s in r.path][0::2]
+        assert (stops[0], stops[-1]) == (r.subject, r.object)
+        assert sum(weights[min(p), max(p)] for p in zip(stops, stops[1:])) == r.length == sum(s.increment for s in r.path)
+    lost = {p for p, c in best.items() if c == float("inf")}
+    assert {(r.subject, r.object) for r in eng.query("g:nomatch(v(n),v(n))").collect()} == lost
+
+
 def test_multi_match(spark):
     e = edges(spark, [("r", "r_", "a", "b", 1.0), ("r", "r_", "b", "c", 1.0)])
     eng = Engine(spark, Graph.of(spark, vertices(spark, [(k, "n", {}) for k in "abc"]), e))
