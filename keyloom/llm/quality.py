@@ -1,14 +1,15 @@
 """Operator 5: a quality classifier on supervised subword embeddings.
 
 A document is the average of learned vectors of its features, hashed into BUCKETS rows: words, pairs of neighbouring
-words (hashed by their difference, so that any word said twice is one feature) and runs of NGRAM bytes. A softmax layer
+words (one and the same pair for any word that follows itself) and runs of NGRAM letters inside words. A softmax layer
 on the average gives the classes; vectors and layer are trained together by numpy stochastic gradient descent, one
 document at a time. As all is linear up to the softmax, a feature's share of the logit is worked out once, and scoring
 is one table look-up for each feature of the whole text.
 
 Labels come from a bounded sample (PER_CLASS rows a class). Nulls and empty texts have no features and score the layer's
-bias; without usable labels, or with one class only, every score is the (smoothed) share of class 1. Repeated rows score
-alike. An empty table gives no rows. Columns of any name pass through `accepted`.
+bias; without usable labels, or with one class only, every score is the (smoothed) share of class 1, and `accepted`, which
+cannot judge then, keeps all rows. Repeated rows score alike. An empty table gives no rows. Columns of any name pass
+through `accepted`.
 """
 
 from __future__ import annotations
@@ -26,22 +27,43 @@ BUCKETS, DIM, NGRAM, PER_CLASS, EPOCHS, RATE = 1 << 17, 12, 4, 1500, 8, 40.0
 _U = np.uint64
 
 
+def _blank(x: np.ndarray) -> np.ndarray:
+    return (x == 0x20) | (x >= 0x09) & (x <= 0x0D)
+
+
 def features(texts: list[bytes]) -> list[np.ndarray]:
-    w = Words(texts)
+    """Feature numbers of each text: its words, pairs of neighbouring words, and runs of NGRAM letters inside words."""
     low = lambda h: (h & _U(BUCKETS - 1)).astype(np.int32)
-    words = w.hashes()
-    pairs = low(mix(words[1:] - words[:-1], 7)) if len(words) else np.zeros(0, np.int32)
-    singles = low(words)
-    n = len(w.buf) - NGRAM + 1
-    if n > 0:  # four bytes fit a 32-bit number
-        b = w.buf.astype(np.uint32)
-        grams = low(mix((b[:n] | b[1 : n + 1] << 8 | b[2 : n + 2] << 16 | b[3 : n + 3] << 24).astype(_U), 3))
-    out = []
-    for k in range(w.n):
-        a, z = w.first[k], w.first[k + 1]
-        start, end = w.offsets[k], w.offsets[k + 1] - NGRAM  # within the text
-        out.append(np.concatenate((singles[a:z], pairs[a : max(a, z - 1)], grams[start : max(start, end)] if n > 0 else singles[:0])))
-    return out
+    w = Words(texts)
+    words, owner = w.hashes(), w.doc()
+    found, docs = [low(words)], [owner]
+    if len(words) > 1:
+        same = owner[1:] == owner[:-1]
+        second = np.where(words[1:] == words[:-1], _U(1), words[1:])  # a pair of the same word is one feature whatever the word
+        first = np.where(words[1:] == words[:-1], _U(1), words[:-1])
+        found.append(low(mix(first * _U(3) + second, 7))[same])
+        docs.append(owner[1:][same])
+    # Letters are code points; blanks in a row are one, and a run may begin or end with it but not go across it.
+    strings = [t.decode("utf-8", "replace") for t in texts]
+    x = np.frombuffer(("\n" + "\n".join(strings) + "\n").encode("utf-32-le"), np.uint32)
+    blank = _blank(x)
+    kept = np.flatnonzero(~(blank & np.concatenate(([False], blank[:-1]))))
+    letters, blank = np.where(blank, 0x20, x)[kept].astype(_U), blank[kept]
+    n = len(letters) - NGRAM + 1
+    if n > 0:
+        h, inside = np.zeros(n, _U), np.ones(n, bool)
+        for k in range(NGRAM):
+            h = h * _U(0x9E3779B97F4A7C15) + letters[k : k + n]
+            if 0 < k < NGRAM - 1:
+                inside &= ~blank[k : k + n]
+        at = np.flatnonzero(inside)
+        begins = np.cumsum(np.concatenate(([1], np.fromiter(map(len, strings), np.int64, len(strings)) + 1)))
+        found.append(low(mix(h[at], 3)))
+        docs.append(np.searchsorted(begins, kept[at + 1], "right") - 1)
+    every, doc = np.concatenate(found), np.concatenate(docs)
+    order = np.argsort(doc, kind="stable")
+    cuts = np.searchsorted(doc[order], np.arange(len(texts) + 1))
+    return [every[order[a:z]] for a, z in zip(cuts[:-1], cuts[1:])]
 
 
 def train(rows: list[np.ndarray], counts: list[np.ndarray], y: np.ndarray, seed: int = 1) -> tuple[np.ndarray, float]:
@@ -93,6 +115,9 @@ def classify(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, thr
 
 
 def accepted(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
-    """The columns of docs, for the documents that the classifier accepts."""
-    found = score(docs, fit(docs, labels, per_class), logits, MODULUS, HELD, threshold)
+    """The columns of docs, for the documents that the classifier accepts; all of them if the labels hold no two classes."""
+    rows, counts, y = collect_features(training_sample(docs, labels, "quality", MODULUS, HELD, per_class), features)
+    if len(set(y.tolist())) < 2:
+        return docs
+    found = score(docs, train(rows, counts, y), logits, MODULUS, HELD, threshold)
     return found.where("predicted = 1").select(*[F.col(f"_row.`{n}`").alias(n) for n in docs.columns])

@@ -21,12 +21,13 @@ def remainder(modulus: int, id_col: str = "doc_id") -> Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, per_class: int) -> DataFrame:
-    """(text, y) for at most 2 * per_class labelled rows that aren't held out. Contradicting labels of an id count as 0."""
+    """(doc_id, text, y) for at most 2 * per_class labelled ids that aren't held out. Contradicting labels of an id count
+    as 0; of several texts under one id the smallest counts, so that the sample keeps its bound."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)").where(remainder(modulus) != held)
     known = known.groupBy("doc_id").agg(F.min("y").alias("y"))
     parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     chosen = parts[0].unionByName(parts[1])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
 
 
 def collect_features(sample: DataFrame, features: Callable[[list[bytes]], list[np.ndarray]]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:

@@ -5,8 +5,10 @@ endings), hashed into BUCKETS. With x = 1 for the terms a text holds, the machin
     y(x) = w0 + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j,
 so that two terms can say together what neither says alone, such as an insult and the mention of a group. The pair sum is
 taken as half of |sum v|^2 - sum |v|^2. Weights are learned by numpy AdaGrad on the logistic loss from a bounded sample
-(PER_CLASS rows a class). Terms whose presence tells nothing of the class (a likelihood-ratio statistic under MIN_G2)
-stay at zero: in long texts, the sum over thousands of them would drown the few that matter.
+(PER_CLASS rows a class). A term takes part if its presence tells of the class (a likelihood-ratio statistic of MIN_G2 or
+more) or if it does so with another term only (the same for the four cases of two terms, PAIR_G2 or more above what each
+tells alone; PAIR_TERMS terms are looked at). All others stay at zero: in long texts, the sum over thousands of them
+would drown the few that matter.
 
 Nulls and empty texts have no terms and score w0. Without usable labels, or with one class only, every score is the
 (smoothed) share of class 1. Repeated rows score alike. An empty table gives no rows. Only doc_id and text are read.
@@ -22,7 +24,8 @@ from .supervised import collect_features, score, training_sample
 
 MODULUS, HELD, THRESHOLD = 3, 1, 0.7
 BUCKETS, DIM, PREFIXES = 1 << 20, 4, (4, 5, 6)
-PER_CLASS, MIN_G2, EPOCHS, RATE, DECAY = 3000, 14.0, 30, 0.3, 1e-5
+PER_CLASS, MIN_G2, EPOCHS, RATE, DECAY, START, CLASS_WEIGHT = 3000, 14.0, 30, 0.3, 1e-5, 0.1, 20.0
+PAIR_TERMS, PAIR_SHARE, PAIR_G2 = 1000, 0.01, 60.0
 
 _U = np.uint64
 _LETTERS = np.zeros(256, bool)
@@ -84,19 +87,59 @@ def _g2(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     return g2
 
 
+def _log_ratio(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    return 2 * seen * np.log(np.where(seen > 0, seen, 1) / np.where(seen > 0, expected, 1))
+
+
+def _in_pairs(rows: list[np.ndarray], y: np.ndarray, taken: np.ndarray) -> np.ndarray:
+    """Buckets of terms that tell of the class only together with another: the same ratio for the four cases of two
+    terms, less what each tells alone, is PAIR_G2 or more. Looks at the PAIR_TERMS terms nearest to half of the texts
+    among those in PAIR_SHARE of them or more; all pairs of these are tallied by one matrix product for each class."""
+    n = len(y)
+    held = np.bincount(np.concatenate(rows), minlength=BUCKETS)
+    often = np.flatnonzero((held >= PAIR_SHARE * n) & (held <= (1 - PAIR_SHARE) * n))
+    often = np.sort(often[np.argsort(np.abs(held[often] - n / 2), kind="stable")][:PAIR_TERMS])
+    if len(often) < 2:
+        return np.zeros(0, np.int64)
+    place = np.full(BUCKETS, -1, np.int64)
+    place[often] = np.arange(len(often))
+    x = np.zeros((n, len(often)), np.float32)
+    for i, f in enumerate(rows):
+        p = place[f]
+        x[i, p[p >= 0]] = 1
+    total = np.zeros((len(often), len(often)))
+    shares = y.sum() / n, 1 - y.sum() / n
+    by_class = [x[y == c] for c in (1, 0)]
+    both = [(part.T @ part).astype(float) for part in by_class]
+    ones = [part.sum(axis=0).astype(float) for part in by_class]
+    for at, (pair, one, part) in enumerate(zip(both, ones, by_class)):
+        other, lone, size = both[1 - at], ones[1 - at], len(part)
+        cells = ((pair, pair + other), (one[:, None] - pair, (one + lone)[:, None] - pair - other), (one[None, :] - pair, (one + lone)[None, :] - pair - other), (size - one[:, None] - one[None, :] + pair, n - (one + lone)[:, None] - (one + lone)[None, :] + pair + other))
+        for seen, all_seen in cells:
+            total += _log_ratio(seen, all_seen * shares[at])
+    alone = _g2(rows, y)[often]
+    gain = total - alone[:, None] - alone[None, :]
+    np.fill_diagonal(gain, 0)
+    found = often[(gain >= PAIR_G2).any(axis=1)]
+    return np.setdiff1d(found, taken)
+
+
 def train(rows: list[np.ndarray], counts: list[np.ndarray], y: np.ndarray, seed: int = 1) -> Machine:
+    """counts aren't used: a text holds a term or doesn't. The rarer class weighs more, up to CLASS_WEIGHT times."""
     del counts
     share = (y.sum() + 0.5) / (len(y) + 1)
     prior = float(np.log(share / (1 - share)))
     none = np.zeros(0, np.int32)
     if len(set(y.tolist())) < 2:
         return Machine(prior, none, np.zeros(0), np.zeros((0, DIM)))
-    buckets = np.flatnonzero(_g2(rows, y) >= MIN_G2).astype(np.int32)
+    buckets = np.flatnonzero(_g2(rows, y) >= MIN_G2)
+    buckets = np.sort(np.concatenate((buckets, _in_pairs(rows, y, buckets)))).astype(np.int32)
     place = np.full(BUCKETS, -1, np.int32)
     place[buckets] = np.arange(len(buckets))
     data = [p[p >= 0] for p in (place[f] for f in rows)]
     rng = np.random.default_rng(seed)
-    w0, w, v = prior, np.zeros(len(buckets)), rng.normal(0, 0.01, (len(buckets), DIM))
+    weight = np.clip(np.array([y.mean(), 1 - y.mean()]) / np.array([1 - y.mean(), y.mean()]), 1, CLASS_WEIGHT)
+    w0, w, v = 0.0, np.zeros(len(buckets)), rng.normal(0, START, (len(buckets), DIM))
     gw, gv, g0 = np.full(len(buckets), 1e-8), np.full((len(buckets), DIM), 1e-8), 1e-8
     for _ in range(EPOCHS):
         for i in rng.permutation(len(y)):
@@ -104,7 +147,7 @@ def train(rows: list[np.ndarray], counts: list[np.ndarray], y: np.ndarray, seed:
             own = v[f]
             total = own.sum(axis=0)
             z = w0 + w[f].sum() + 0.5 * ((total**2).sum() - (own**2).sum())
-            slope = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[i]
+            slope = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[i]) * weight[y[i]]
             g0 += slope * slope
             w0 -= RATE * slope / np.sqrt(g0)
             step = slope + DECAY * w[f]

@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from keyloom.llm import packing, quality, shuffle, toxicity, warc
+from keyloom.llm import packing, quality, shuffle, supervised, toxicity, warc
 
 from .helpers import awkward, docs
 
@@ -80,6 +80,61 @@ def test_pairs_of_terms_count():
     assert np.abs(model.v).max() > 0.1
 
 
+def test_terms_that_tell_in_pairs_only():
+    """One of two words is toxic, both or none aren't: each alone says nothing of the class. Words around are noise."""
+    rng = random.Random(6)
+    noise = [a + b for a in "bcdfghklmn" for b in "aeiou"]
+    texts, y = [], []
+    for _ in range(1500):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        words = rng.choices(noise, k=25) + ["vermin"] * a + ["group"] * b
+        rng.shuffle(words)
+        texts.append(" ".join(words).encode())
+        y.append(int(a != b))
+    model = toxicity.train(toxicity.features(texts[:1000]), [], np.array(y[:1000]))
+    assert np.mean((model.logits(texts[1000:]) > 0) == np.array(y[1000:])) > 0.99
+
+
+def test_logits_are_the_explicit_sum_over_pairs():
+    rng = np.random.default_rng(3)
+    texts = [b"", b"one two two three", b"three four", " \u00e9t\u00e9 one".encode()]
+    rows = [np.unique(f) for f in toxicity.features(texts)]
+    buckets = np.unique(np.concatenate(rows))[1:]  # one of the terms isn't in use
+    model = toxicity.Machine(0.3, buckets.astype(np.int32), rng.normal(size=len(buckets)), rng.normal(size=(len(buckets), 4)))
+    for x, got in zip(rows, model.logits(texts)):
+        at = [int(np.searchsorted(buckets, f)) for f in x.tolist() if f in buckets]
+        want = 0.3 + sum(model.w[i] for i in at) + sum(model.v[i] @ model.v[j] for k, i in enumerate(at) for j in at[k + 1 :])
+        assert abs(got - want) < 1e-9
+
+
+def test_quality_scores_are_the_mean_over_features():
+    """Features by hand: words, pairs, letters in runs of four with a blank at the ends of words at most."""
+    texts = ["", " \n", "one two  two", "\u00e9t\u00e9 \u65e5\u672c\u8a9e", "a", "for for for"]
+    found = quality.features([t.encode() for t in texts])
+    for t, f in zip(texts, found):
+        words = t.split()
+        runs = [s[k : k + 4] for s in (f" {w} " for w in words) for k in range(len(s) - 3)]
+        assert len(f) == len(words) + max(0, len(words) - 1) + len(runs)
+    alone = [set(f.tolist()) for f in quality.features([b"for for", b"bar bar", b"bar for"])]
+    assert len(alone[0] & alone[1]) == 1 and not (alone[0] & alone[1] & alone[2])  # a word that follows itself
+    shares = np.random.default_rng(1).normal(size=quality.BUCKETS).astype(np.float32)
+    for f, z in zip(found, quality.logits((shares, 0.5), [t.encode() for t in texts])):
+        assert abs(z - (0.5 + (np.mean([float(shares[i]) for i in f]) if len(f) else 0))) < 1e-6
+
+
+def test_samples_keep_their_bound(spark):
+    rows = [(i, f"text {i} {k}") for i in range(30) for k in range(5)]
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(30)] * 3, "doc_id long, quality int, toxic int")
+    got = supervised.training_sample(docs(spark, rows), labels, "toxic", 3, 1, 4).collect()
+    assert len(got) == 8 and all(r.text.endswith(" 0") for r in got)
+
+
+def test_stage_without_labels_keeps_all(spark):
+    df = docs(spark, awkward(), extra=True)
+    for labels in ([], [(4, 1, 1)], [(4, 0, 0), (300, 0, 0)]):
+        assert quality.accepted(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == len(awkward())
+
+
 # -- 4 ----------------------------------------------------------------------------------------------------------------
 def pages(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string")
