@@ -2,10 +2,9 @@
 
 Documents are tokenised and ended by id 0; only those longer than a sequence are cut. All that packing needs of the
 pieces is how many there are of each length, at most `size` counts whatever the corpus. The driver packs these counts:
-a bin type is a multiset of lengths with the number of bins that are alike. Best fit, longest first, is followed by a
-local search over underfull bins: moving a piece, exchanging one for one, or two for one, always so that the fuller bin
-gains (the sum of squared fills grows) until bins are empty and go, or no exchange is left or MAX_STEPS are done. The
-pieces are then numbered within their length, in two levels so that a length with a third of all pieces is no single
+a bin type is a multiset of lengths with the number of bins that are alike. Best fit within parts is followed by a
+local search over all underfull bins: moving a piece, exchanging one for one, two for one or one for two, always so that
+the fuller bin gains (the sum of squared fills grows) until bins are empty and go, or no exchange is left. The pieces are then numbered within their length, in two levels so that a length with a third of all pieces is no single
 group, and each number has its place in a bin type.
 
 Nulls: a null text is empty and gives the one token 0; a null id is kept. Repeated rows are packed each on its own.
@@ -15,6 +14,7 @@ An empty table gives no rows. Other columns are not read.
 from __future__ import annotations
 
 import json
+import logging
 import os
 import re
 import struct
@@ -22,6 +22,7 @@ import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-SIZE, END, MAX_STEPS = 2048, 0, 5_000
+SIZE, END, PARTS = 2048, 0, 8
+log = logging.getLogger(__name__)
 #: Chunks of text whose ids a worker remembers.
 CACHE = 250_000
 
@@ -169,6 +171,20 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, id
     return source.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, key long" + (", ids array<int>" if with_ids else ""))
 
 
+def _sorted(kind: dict[int, int]) -> tuple:
+    return tuple(sorted(((a, n) for a, n in kind.items() if n), reverse=True))
+
+
+def parts_of(counts: dict[int, int], parts: int = PARTS, seed: int = 1) -> list[dict[int, int]]:
+    """The counts dealt to parts that are packed on their own, each length's odd pieces from a seeded part on."""
+    out: list[dict[int, int]] = [{} for _ in range(parts)]
+    first = np.random.Generator(np.random.PCG64(seed)).integers(0, parts, len(counts))
+    for (a, n), at in zip(sorted(counts.items()), first.tolist()):
+        for k in range(min(n, parts)):
+            out[(at + k) % parts][a] = (n + parts - 1 - k) // parts
+    return out
+
+
 def best_fit(counts: dict[int, int], size: int) -> Counter:
     """Best fit, longest first, on counts: a Counter of bin types, each a tuple of (length, pieces) by falling length."""
     open_at: dict[int, Counter] = {}  # by room: bin types and how many
@@ -184,8 +200,7 @@ def best_fit(counts: dict[int, int], size: int) -> Counter:
             insort(rooms, room)
         open_at[room][kind] += n
 
-    for length in sorted(counts, reverse=True):
-        left = counts[length]
+    for length, left in sorted(counts.items(), reverse=True):
         while left:
             i = bisect_left(rooms, length)
             if i == len(rooms):
@@ -220,73 +235,127 @@ def _fill(kind: tuple) -> int:
     return sum(a * n for a, n in kind)
 
 
+class _Underfull:
+    """Underfull bin types by room, and a table with a row for each thing that one of them can give back: nothing, a
+    piece, or two of them. Rows of types that are gone are marked and cleared out in time."""
+
+    def __init__(self, size: int):
+        self.size, self.rows, self.n = size, np.zeros((1024, 5), np.int64), 0  # given back, room, number of the type, its fill, pieces
+        self.kinds: list[tuple | None] = []
+        self.back: list[tuple[int, ...]] = []
+        self.number: dict[tuple, int] = {}
+        self.span: dict[tuple, tuple[int, int]] = {}
+
+    def add(self, kind: tuple) -> None:
+        fill, k = _fill(kind), len(self.kinds)
+        self.kinds.append(kind)
+        self.number[kind] = k
+        own = [a for a, _ in kind]
+        gifts = [(), *((b,) for b in own), *((b, c) for i, b in enumerate(own) for c in own[i:] if b != c or kind[i][1] > 1)]
+        if self.n + len(gifts) > len(self.rows):
+            self.rows = np.concatenate((self.rows, np.zeros((max(len(self.rows), len(gifts)), 5), np.int64)))
+        self.rows[self.n : self.n + len(gifts)] = [(sum(g), self.size - fill, k, fill, len(g)) for g in gifts]
+        self.span[kind] = (self.n, self.n + len(gifts))
+        self.back += gifts
+        self.n += len(gifts)
+
+    def remove(self, kind: tuple) -> None:
+        a, b = self.span.pop(kind)
+        self.rows[a:b, 1] = -1
+        self.kinds[self.number.pop(kind)] = None
+        if self.n > 4096 and (self.rows[: self.n, 1] < 0).sum() * 2 > self.n:
+            alive = list(self.span)
+            self.__init__(self.size)
+            for k in alive:
+                self.add(k)
+
+    def partner(self, victim: tuple, single: bool) -> tuple | None:
+        """(gain, type, given, given back): the exchange that fills a bin no emptier than the victim's most."""
+        rows, fill, best = self.rows[: self.n], _fill(victim), None
+        allowed = (rows[:, 1] > 0) & (rows[:, 3] >= fill)
+        if single:
+            allowed &= rows[:, 2] != self.number[victim]
+        at = np.flatnonzero(allowed)
+        back, room, pieces = rows[at, 0], rows[at, 1], rows[at, 4]
+        own = [a for a, _ in victim]
+        gifts = [(a,) for a in own] + [(a, c) for i, a in enumerate(own) for c in own[i:] if a != c or victim[i][1] > 1]
+        for give in gifts:
+            gain = sum(give) - back
+            gain[(gain > room) | (gain <= 0)] = 0
+            if len(give) == 2:  # two for two is none of the exchanges, and two for nothing is two moves
+                gain[pieces != 1] = 0
+            i = int(np.argmax(gain)) if len(gain) else 0
+            if len(gain) and gain[i] > 0 and (best is None or gain[i] > best[0]):
+                best = (int(gain[i]), self.kinds[rows[at[i], 2]], give, self.back[at[i]])
+        return best
+
+
 def _changed(kind: tuple, minus: tuple[int, ...], plus: tuple[int, ...]) -> tuple:
     c = Counter(dict(kind))
     c.subtract(minus)
     c.update(plus)
-    return tuple(sorted(((a, n) for a, n in c.items() if n), reverse=True))
-
-
-def _exchange(giver: tuple, taker: tuple, size: int):
-    """What goes from the emptier to the fuller bin and back, filling the fuller one most; None if nothing does."""
-    room, best = size - _fill(taker), None
-    own, other = [a for a, _ in giver], [b for b, _ in taker]
-    for a in own:  # a move
-        if a <= room and (best is None or a > best[0]):
-            best = (a, (a,), ())
-    twice = [(a, b) for i, a in enumerate(own) for b in own[i:] if a != b or dict(giver)[a] > 1]
-    for b in other:
-        for a in own:  # one for one
-            if 0 < a - b <= room and (best is None or a - b > best[0]):
-                best = (a - b, (a,), (b,))
-        for a, c in twice:  # two for one
-            if 0 < a + c - b <= room and (best is None or a + c - b > best[0]):
-                best = (a + c - b, (a, c), (b,))
-    pairs = [(a, b) for i, a in enumerate(other) for b in other[i:] if a != b or dict(taker)[a] > 1]
-    for a in own:  # one for two
-        for b, c in pairs:
-            if 0 < a - b - c <= room and (best is None or a - b - c > best[0]):
-                best = (a - b - c, (a,), (b, c))
-    return best
-
-
-def local_search(bins: Counter, size: int, max_steps: int = MAX_STEPS, width: int = 64) -> Counter:
-    """Empties the emptiest underfull bins into fuller ones. Each step looks at the `width` fullest underfull types."""
-    bins = Counter(bins)
+    return _sorted(c)
+
+
+def local_search(bins: Counter, size: int) -> tuple[Counter, int]:
+    """(bins, steps). The emptiest underfull bins give pieces to fuller ones: a move, or one for one, two for one or one
+    for two, always so that the fuller bin gains most. Each step raises the sum of squared fills, so it comes to an end:
+    when the number of bins is the least that the tokens allow, or no exchange is left among all underfull bins."""
+    bins, steps = Counter(bins), 0
     total = sum(_fill(k) * n for k, n in bins.items())
     least, count = -(-total // size), sum(bins.values())
-    stuck: set = set()
-    for _ in range(max_steps):
-        under = sorted((k for k in bins if _fill(k) < size), key=lambda k: (_fill(k), k))
-        victim = next((k for k in under if k not in stuck), None)
-        if victim is None or count <= least or len(under) < 1:
-            break
-        found = None
-        for k in reversed(under[-width:]):
-            if k == victim and bins[k] < 2 or _fill(k) < _fill(victim):
-                continue
-            step = _exchange(victim, k, size)
-            if step and (found is None or step[0] > found[1][0]):
-                found = (k, step)
-                if _fill(k) + step[0] == size:
-                    break
+    table, queue = _Underfull(size), []
+    for kind in bins:
+        if _fill(kind) < size:
+            table.add(kind)
+            heappush(queue, (_fill(kind), kind))
+    stuck: list = []
+    while count > least and queue:
+        fill, victim = heappop(queue)
+        if victim not in table.number:
+            continue
+        found = table.partner(victim, bins[victim] < 2)
         if found is None:
-            stuck.add(victim)
+            stuck.append((fill, victim))
             continue
-        k, (_, give, take) = found
-        n = bins[victim] // 2 if k == victim else min(bins[victim], bins[k])
+        _, k, give, take = found
+        n = min(bins[victim] // 2 if k == victim else min(bins[victim], bins[k]), bins[victim])
+        rest, fuller = _changed(victim, give, take), _changed(k, take, give)
         for old in (victim, k):
             bins[old] -= n
             if not bins[old]:
                 del bins[old]
-        rest, fuller = _changed(victim, give, take), _changed(k, take, give)
-        bins[fuller] += n
-        if rest:
-            bins[rest] += n
-        else:
-            count -= n
-        stuck.clear()
-    return bins
+                if old in table.number:
+                    table.remove(old)
+        for new in (fuller, rest):
+            if new:
+                if new not in bins and _fill(new) < size:
+                    table.add(new)
+                    heappush(queue, (_fill(new), new))
+                bins[new] += n
+        count -= 0 if rest else n
+        steps += 1
+        if victim in table.number:
+            heappush(queue, (fill, victim))
+        for x in stuck:  # what has changed may be a partner for them
+            heappush(queue, x)
+        stuck = []
+    return bins, steps
+
+
+def packed_bins(counts: dict[int, int], size: int, parts: int = PARTS) -> Counter:
+    """Each part of the pieces packed by best fit on its own, and their underfull bins closed by the local search. Should
+    best fit over all pieces need fewer bins than that, the search goes on from there."""
+    start: Counter = Counter()
+    for part in parts_of(counts, parts):
+        start.update(best_fit(part, size))
+    found, steps = local_search(start, size)
+    log.info("packing: %d sequences in parts, %d after %d steps of the local search", sum(start.values()), sum(found.values()), steps)
+    whole = best_fit(counts, size)
+    if sum(whole.values()) < sum(found.values()):
+        found, steps = local_search(whole, size)
+        log.info("packing: %d sequences as a whole, %d after %d steps", sum(whole.values()), sum(found.values()), steps)
+    return found
 
 
 def placement(bins: Counter) -> np.ndarray:
@@ -311,7 +380,7 @@ def place(rows: DataFrame, size: int = SIZE, salts: int | None = None) -> DataFr
     dealt = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "key"), F.lit(salts)).cast("int"))
     groups = stored(dealt.groupBy("length", "_salt").agg(F.count("*").alias("n")))
     counts = {int(r.length): int(r.n) for r in groups.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `size` rows
-    table = placement(local_search(best_fit(counts, size), size))
+    table = placement(packed_bins(counts, size))
     held = spark.sparkContext.broadcast(table)  # a bin type has fewer than sqrt(2 size) lengths; types follow the lengths, not the pieces
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = groups.select(F.col("length").alias("_l"), F.col("_salt").alias("_s"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))

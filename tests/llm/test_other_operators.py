@@ -215,11 +215,11 @@ def test_packing(spark):
 def test_search_empties_bins():
     """Best fit leaves three bins; one exchange makes two of them do."""
     bins = packing.best_fit({6: 2, 5: 2, 4: 2}, 15)
-    found = packing.local_search(bins, 15)
+    found, _ = packing.local_search(bins, 15)
     assert sum(found.values()) == 2
     start = Counter({((7, 1), (2, 1)): 1, ((5, 1), (3, 1)): 1, ((3, 1),): 1})
-    found = packing.local_search(start, 10)
-    assert sum(found.values()) == 2
+    found, steps = packing.local_search(start, 10)
+    assert sum(found.values()) == 2 and steps >= 1
     pieces = Counter()
     for kind, n in found.items():
         assert sum(a * k for a, k in kind) <= 10
@@ -233,8 +233,8 @@ def test_search_keeps_all_pieces(seed):
     rng = random.Random(seed)
     counts = Counter(rng.randint(1, 60) for _ in range(400))
     first = packing.best_fit(counts, 64)
-    last = packing.local_search(first, 64)
-    for bins in (first, last):
+    last, _ = packing.local_search(first, 64)
+    for bins in (first, last, packing.packed_bins(counts, 64)):
         held = Counter()
         for kind, n in bins.items():
             assert sum(a * k for a, k in kind) <= 64
@@ -246,6 +246,20 @@ def test_search_keeps_all_pieces(seed):
     assert len(table) == sum(len(k) for k in last)
 
 
+def test_parts_are_closed_by_the_search():
+    """Parts leave underfull bins; exchanges bring the number down to what the tokens need."""
+    rng = random.Random(11)
+    counts = Counter(min(2048, int(rng.lognormvariate(5.5, 1)) + 1) for _ in range(3000))
+    parts = packing.parts_of(counts)
+    assert sum((Counter(p) for p in parts), Counter()) == counts
+    start = sum((packing.best_fit(p, 2048) for p in parts), Counter())
+    least = -(-sum(a * n for a, n in counts.items()) // 2048)
+    found, steps = packing.local_search(start, 2048)
+    assert sum(start.values()) > sum(found.values()) == least == sum(packing.packed_bins(counts, 2048).values()) and steps > 1
+    squares = lambda bins: sum(n * packing._fill(k) ** 2 for k, n in bins.items())
+    assert squares(found) > squares(start)
+
+
 # -- 7 ----------------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("bucket_bytes", [1 << 24, 20_000])
 def test_shuffle(spark, tmp_path, bucket_bytes):
@@ -270,12 +284,24 @@ def test_shuffle(spark, tmp_path, bucket_bytes):
 def test_shuffle_writes_whole_records(spark, tmp_path):
     df = docs(spark, awkward(), extra=True)
     shuffle.external_shuffle(df, str(tmp_path / "s"))
-    back = spark.read.parquet(str(tmp_path / "s"))
-    assert set(df.columns) <= set(back.columns)
+    back = spark.read.parquet(str(tmp_path / "s")).select("row.*")
+    assert df.columns == back.columns
     assert sorted(str(r.text) for r in back.collect()) == sorted(str(t) for _, t in awkward())
     assert shuffle.shards(docs(spark, []), path=str(tmp_path / "e")).count() == 0
 
 
+def test_many_equal_rows_fill_no_bucket(spark, tmp_path):
+    rows = [(7, "the same text again")] * 3000 + [(i, f"other {i}") for i in range(3000)]
+    df = docs(spark, rows).repartition(5)
+    got = shuffle.shards(df, path=str(tmp_path / "h"), bucket_bytes=20_000).collect()
+    counts = Counter(r.shard for r in got)
+    assert len(got) == 6000 and max(counts.values()) - min(counts.values()) <= 1
+    for s in counts:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(counts[s]))
+    sizes = [r["count"] for r in spark.read.parquet(str(tmp_path / "h")).groupBy("bucket").count().collect()]
+    assert len(sizes) > 10 and max(sizes) < 1.6 * sum(sizes) / len(sizes)
+
+
 # -- the pipeline -----------------------------------------------------------------------------------------------------
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
