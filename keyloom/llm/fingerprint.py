@@ -14,12 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import flagged, stored
 
 #: Ids of one window sort share all but this many low bits; parents share that many more.
 BUCKET_BITS, LEVEL_BITS = 8, 12
-#: Largest number of ids that is broadcast (8 bytes each, about 100 MB as a hash table); beyond it the join shuffles.
-BROADCAST_IDS = 1_000_000
 
 
 def canonical(text: Column) -> Column:
@@ -39,11 +37,6 @@ def _hex(value: Column) -> Column:
     return F.concat(part(value["hi"]), part(value["lo"]))
 
 
-def _pick(rows: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
-    """Join with a table of ids; broadcast it only if its counted size is small."""
-    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)
-
-
 def _next_heads(heads: DataFrame, bits: int) -> DataFrame:
     """(b, head) with the head of the next bucket; a window holds one parent's children at most, as deep as needed."""
     own = Window.partitionBy(F.shiftright("b", LEVEL_BITS)).orderBy("b")
@@ -54,15 +47,32 @@ def _next_heads(heads: DataFrame, bits: int) -> DataFrame:
     return out.join(above.select(F.col("b").alias("p"), F.col("follow").alias("up")), "p", "left").select("b", "head", F.coalesce("follow", "up").alias("follow"))
 
 
-def with_successor(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> also succ_id and succ, the document with the next larger id (with the smallest id at the end).
+def _edited() -> Column:
+    half = "cast(floor(length(text) / 2) as int)"
+    return F.expr(f"concat(left(text, length(text) - {half}), left(succ, {half}))")
+
+
+def _measured(both: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, succ_id, text, succ) -> digests of the text and the edited text, and what fingerprints are alike.
+
+    Two fingerprints are alike if their digests are and, as equal buckets are compared byte by byte, their bytes are."""
+    canons = both.select("doc_id", "succ_id", "text", _edited().alias("edited"), "succ", *more)
+    canons = canons.select("doc_id", "succ_id", "text", "edited", canonical(F.col("text")).alias("c"), canonical(F.col("edited")).alias("ce"), canonical(F.col("succ")).alias("cs"), *more)
+    found = canons.select("*", digest(F.col("c")).alias("d"), digest(F.col("ce")).alias("e"), digest(F.col("cs")).alias("s"))
+    alike = lambda a, b, x, y: F.when((F.col(a) == F.col(b)) & (F.col(x) == F.col(y)), 1.0).otherwise(0.0)
+    return found.select("doc_id", "succ_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "d", "e", alike("d", "e", "c", "ce").alias("near_edited"), alike("d", "s", "c", "cs").alias("near_next"), F.xxhash64("text").alias("text_hash"), *more)
 
-    Texts are dealt once, by id bucket. What crosses a bucket (two documents of each bucket) is joined apart."""
+
+def _digests(docs: DataFrame) -> DataFrame:
+    """The measures of each document with its successor, the document with the next larger id (at the end the smallest).
+
+    Texts are dealt once, by id bucket. What crosses a bucket is its first and last document only; their texts are kept
+    beside the measures, and the last are measured apart."""
     ids = docs.where("doc_id IS NOT NULL")
-    alone = docs.where("doc_id IS NULL").withColumns({"succ_id": F.lit(None).cast("long"), "succ": F.lit("")})
+    alone = _measured(docs.where("doc_id IS NULL").withColumns({"succ_id": F.lit(None).cast("long"), "succ": F.lit("")}))
     low, high = ids.agg(F.min("doc_id"), F.max("doc_id")).first()
     if low is None:
-        return alone
+        return stored(alone)
     whole = None
     if ids.groupBy("doc_id").count().where("count > 1").limit(1).count():  # repeated ids: one text stands for each
         whole, ids = ids, ids.groupBy("doc_id").agg(F.min("text").alias("text"))
@@ -70,23 +80,23 @@ def with_successor(docs: DataFrame) -> DataFrame:
     bits = max(1, ((int(high) >> BUCKET_BITS) - (int(low) >> BUCKET_BITS)).bit_length())
     bucket = F.shiftright("doc_id", BUCKET_BITS) - F.lit(int(low) >> BUCKET_BITS)
     heads = stored(ids.groupBy(bucket.alias("b")).agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("tail")))
-    links = _next_heads(heads.select("b", "head"), bits).join(heads.select("b", "tail"), "b").select("tail", F.coalesce("follow", F.lit(low).cast("long")).alias("succ_id"))
+    links = _next_heads(heads.select("b", "head"), bits).join(heads.select("b", "tail"), "b").select(F.col("tail").alias("doc_id"), F.coalesce("follow", F.lit(low).cast("long")).alias("succ_id"))
     links = stored(links)
     order = Window.partitionBy("b").orderBy("doc_id")
-    step = ids.withColumn("b", bucket).select("doc_id", "text", F.lead("doc_id").over(order).alias("succ_id"), F.lead("text").over(order).alias("succ"))
-    inner = step.where("succ_id IS NOT NULL")
-    last = _pick(ids, links.select(F.col("tail").alias("doc_id"), "succ_id"), "doc_id", "inner")
-    first = _pick(ids, links.select(F.col("succ_id").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("succ_id"), F.col("text").alias("succ"))
-    edge = last.join(first, "succ_id").select("doc_id", "text", "succ_id", "succ")
-    out = inner.unionByName(edge)
-    if whole is not None:
-        out = whole.join(out.drop("text"), "doc_id")
-    return out.unionByName(alone)
-
-
-def _edited() -> Column:
-    half = "cast(floor(length(text) / 2) as int)"
-    return F.expr(f"concat(left(text, length(text) - {half}), left(succ, {half}))")
+    step = ids.withColumn("b", bucket).select("doc_id", "text", F.lead("doc_id").over(order).alias("succ_id"), F.lead("text").over(order).alias("succ"), (F.lag("doc_id").over(order)).isNull().alias("first"))
+    carry = F.when(F.col("first") | F.col("succ_id").isNull(), F.col("text")).alias("carry")
+    if whole is None:
+        rows = stored(_measured(step.select("doc_id", "text", "succ_id", F.coalesce("succ", F.lit("")).alias("succ"), carry), "carry").unionByName(alone.withColumn("carry", F.lit(None).cast("string"))))
+        inner = rows.where("succ_id IS NOT NULL OR doc_id IS NULL").drop("carry")
+    else:
+        rows = stored(step.select("doc_id", "succ_id", "succ", carry))
+    ends = rows.where("carry IS NOT NULL")
+    first = ends.select(F.col("doc_id").alias("succ_id"), F.col("carry").alias("succ"))
+    edge = ends.where("succ_id IS NULL").select("doc_id", F.col("carry").alias("text")).join(links, "doc_id").join(first, "succ_id")
+    if whole is None:
+        return stored(inner.unionByName(_measured(edge)))
+    after = rows.where("succ_id IS NOT NULL").select("doc_id", "succ_id", "succ").unionByName(edge.select("doc_id", "succ_id", "succ"))
+    return stored(_measured(whole.join(after, "doc_id")).unionByName(alone))
 
 
 def _ranks(docs: DataFrame, rows: DataFrame, crowded: DataFrame) -> DataFrame | None:
@@ -95,8 +105,10 @@ def _ranks(docs: DataFrame, rows: DataFrame, crowded: DataFrame) -> DataFrame |
     Texts are fetched for documents of shared buckets only; each task sends one smallest and one largest text a bucket."""
     used = rows.select("doc_id", "succ_id", "text_hash", F.explode(F.array(F.struct(F.lit("text").alias("kind"), F.col("d")), F.struct(F.lit("edit").alias("kind"), F.col("e").alias("d")))).alias("x")).select("doc_id", "succ_id", "text_hash", "x.*")
     used = stored(used.join(crowded, "d", "left_semi"))
-    ids = used.select(F.explode(F.expr("if(kind = 'edit', array(doc_id, succ_id), array(doc_id))")).alias("doc_id")).where("doc_id IS NOT NULL").distinct()
-    texts = _pick(docs, ids, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    ids = stored(used.select(F.explode(F.expr("if(kind = 'edit', array(doc_id, succ_id), array(doc_id))")).alias("doc_id")).where("doc_id IS NOT NULL").distinct())
+    keyed = docs.withColumn("h", F.xxhash64("doc_id"))
+    some = flagged(keyed, "h", ids.select(F.xxhash64("doc_id").alias("h"))).where("_maybe AND doc_id IS NOT NULL").select("doc_id", "text")
+    texts = some.join(ids, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
     succ = texts.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("succ_id")).agg(F.min("text").alias("succ"))
     own = texts.withColumn("text_hash", F.xxhash64("text"))
     at = used.alias("u").join(own.alias("o"), F.expr("u.doc_id <=> o.doc_id AND u.text_hash = o.text_hash")).select("u.*", "o.text")
@@ -114,13 +126,9 @@ def _ranks(docs: DataFrame, rows: DataFrame, crowded: DataFrame) -> DataFrame |
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    The likeness of two exact digests is 1 or 0; it is taken from the canonical texts themselves."""
+    The likeness of two exact fingerprints is 1 or 0."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    both = with_successor(docs).select("doc_id", "succ_id", "text", "succ", _edited().alias("edited"))
-    canons = both.select("doc_id", "succ_id", "text", "edited", canonical(F.col("text")).alias("c"), canonical(F.col("edited")).alias("ce"), canonical(F.col("succ")).alias("cs"))
-    same = lambda a, b: F.when(F.col(a) == F.col(b), 1.0).otherwise(0.0)
-    rows = canons.select("doc_id", "succ_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), digest(F.col("c")).alias("d"), digest(F.col("ce")).alias("e"), same("c", "ce").alias("near_edited"), same("c", "cs").alias("near_next"), F.xxhash64("text").alias("text_hash"))
-    rows = stored(rows)
+    rows = _digests(docs)
     crowded = stored(rows.select(F.explode(F.array("d", "e")).alias("d")).groupBy("d").count().where("count > 1").select("d"))
     ranks = _ranks(docs, rows, crowded)
     out = rows.withColumns({"fingerprint": _hex(F.col("d")), "edited_fingerprint": _hex(F.col("e"))})

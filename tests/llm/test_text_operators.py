@@ -72,7 +72,7 @@ def test_fingerprint_of_nothing(spark):
 
 def test_successors_over_wide_ids(spark):
     ids = sorted({random.Random(3).randrange(-(10**15), 10**15) for _ in range(300)} | set(range(700)))
-    got = {r.doc_id: r.succ_id for r in fingerprint.with_successor(spark.createDataFrame([(i, str(i)) for i in ids], "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.succ_id for r in fingerprint._digests(spark.createDataFrame([(i, str(i)) for i in ids], "doc_id long, text string")).collect()}
     assert got == dict(zip(ids, ids[1:] + ids[:1]))
 
 
