@@ -43,10 +43,14 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str = "table") -> str:
+    """A new place in the shared folder."""
+    return f"{scratch_dir(spark)}/keyloom-{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Cut the lineage: write to the shared folder as Parquet and read it back."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/keyloom-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, scratch_path(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import quality, toxicity, warc
-from .common import table
+from .common import scratch_path, table
 from .decontaminate import report
 from .fingerprint import fingerprints
 from .packing import pack
@@ -26,8 +26,9 @@ def op3_substrings(spark, sf_dir):
 
 
 def op4_merkle_fixity(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
-    return warc.report(pages, warc.damaged(pages))
+    pages, path = table(spark, sf_dir, "pages"), scratch_path(spark, "warc")
+    warc.write(warc.damaged(pages), path)  # a replica as stored, with known faults
+    return warc.report(warc.leaves(pages), warc.read(spark, path))
 
 
 def op5_quality(spark, sf_dir):
@@ -74,7 +75,7 @@ FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
 OP4_SQL = r"""
 WITH p AS (SELECT page_id, coalesce(url, '') AS url, 'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') AS body,
            page_id % 97 = 5 AND length(html) > 0 AND html[1] <> '#' AS damaged FROM pages WHERE page_id IS NOT NULL),
-r AS (SELECT page_id, damaged, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10)
+r AS (SELECT page_id, damaged, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:uuid:' || regexp_replace(md5(page_id || ' ' || url), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\1-\2-\3-\4-\5') || '>' || chr(13) || chr(10) || 'WARC-Date: 1970-01-01T00:00:00Z' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10)
       || 'Content-Type: application/http;msgtype=response' || chr(13) || chr(10) || 'Content-Length: ' || strlen(body) || chr(13) || chr(10) || chr(13) || chr(10) || body || chr(13) || chr(10) || chr(13) || chr(10) AS r FROM p)
 SELECT page_id, page_id // 256 AS file, row_number() OVER w - 1 AS place, CAST(sum(strlen(r)) OVER w - strlen(r) AS BIGINT) AS start, strlen(r) AS size,
        sha256('\x00'::BLOB || encode(r)) AS digest, NOT damaged AS intact

@@ -13,7 +13,6 @@ empty table gives no rows. Columns of any name are carried along in a struct; on
 
 from __future__ import annotations
 
-import uuid
 import zlib
 
 import numpy as np
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import flagged, nullable, packed, scratch_dir, stored
+from .common import flagged, nullable, packed, scratch_path, stored
 
 BUCKET_BYTES = 16 << 20
 SHARDS = 8
@@ -83,6 +82,6 @@ def positions(shuffled: DataFrame) -> DataFrame:
 
 def shards(docs: DataFrame, n: int = SHARDS, seed: int = 0, path: str | None = None, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard; the records lie shuffled under `path`."""
-    path = path or f"{scratch_dir(docs.sparkSession)}/keyloom-shuffle-{uuid.uuid4().hex}"
+    path = path or scratch_path(docs.sparkSession, "shuffle")
     places = positions(external_shuffle(docs, path, seed, bucket_bytes))
     return places.select("row.doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), F.expr(f"cast(p % {n} as int)").alias("shard"), F.expr(f"p div {n}").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -1,5 +1,6 @@
 """Operators 1, 4, 5, 6, 7 and the pipeline."""
 
+import gzip
 import hashlib
 import random
 import zlib
@@ -140,33 +141,71 @@ def pages(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string")
 
 
-def test_fixity(spark):
-    rows = [(i, f"http://h/{i}", "<p>" + "é" * (i % 7) + "</p>") for i in range(0, 1200)] + [(5000, None, None), (None, "u", "h"), (-3, "v", "w")]
+def made(i, url, html):
+    """A record by hand."""
+    body = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + (html or "")
+    h = hashlib.md5(f"{i} {url or ''}".encode()).hexdigest()
+    name = "-".join((h[:8], h[8:12], h[12:16], h[16:20], h[20:]))
+    return f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:{name}>\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nWARC-Target-URI: {url or ''}\r\nContent-Type: application/http;msgtype=response\r\nContent-Length: {len(body.encode())}\r\n\r\n{body}\r\n\r\n".encode()
+
+
+@pytest.mark.parametrize("compression", ["gzip", "none"])
+def test_fixity(spark, tmp_path, compression):
+    """Files on disk hold the records byte by byte, and faults in a stored replica are found."""
+    rows = [(i, f"http://h/{i}", "<p>" + "\u00e9" * (i % 7) + "</p>") for i in range(0, 1200)] + [(5000, None, None), (None, "u", "h"), (-3, "v", "w"), ((1 << 53) + 1, "x", "y")]
     bad = {5, 257, 1199, 5000}
     other = [(i, u, (h or "") + "!" if i in bad else h) for i, u, h in rows]
-    got = {r.page_id: r for r in warc.report(pages(spark, rows), pages(spark, other)).collect()}
-    assert len(got) == 1202
-    assert not any(got[i].intact for i in bad)
+    warc.write(pages(spark, other), str(tmp_path / "w"), compression)
+    got = {r.page_id: r for r in warc.report(warc.leaves(pages(spark, rows)), warc.read(spark, str(tmp_path / "w"))).collect()}
+    assert len(got) == 1203
+    assert not any(got[i].intact for i in bad) and got[(1 << 53) + 1].file == 1 << 45
     at = 0
     for i in range(256):
-        r, body = got[i], "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + rows[i][2]
-        record = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: {rows[i][1]}\r\nContent-Type: application/http;msgtype=response\r\nContent-Length: {len(body.encode())}\r\n\r\n{body}\r\n\r\n".encode()
+        r, record = got[i], made(*rows[i])
         assert (r.start, r.size, r.digest) == (at, len(record), hashlib.sha256(b"\x00" + record).hexdigest())
         assert r.intact == (i < 5)  # one record grew, so all after it in its file lie elsewhere
         at += len(record)
+    (part,) = (tmp_path / "w" / "file=0").glob("part-*")
+    data = part.read_bytes()
+    data = gzip.decompress(data) if compression == "gzip" else data
+    assert data == b"".join(made(*x) for x in other[:256]) and [data[a:b] for a, b in warc.split(data)] == [made(*x) for x in other[:256]]
 
 
 def test_fixity_descends_only_where_roots_differ(spark):
     rows = [(i, "u", "h") for i in range(600)]
-    mine, bad = warc.audit(pages(spark, rows), pages(spark, rows))
-    assert bad.count() == 0 and mine.count() == 600
-    flipped = [(i, "u", "H" if i == 300 else "h") for i in range(600)]
-    assert [(r.file, r.place) for r in warc.audit(pages(spark, rows), pages(spark, flipped))[1].collect()] == [(1, 44)]
-    assert warc.report(pages(spark, []), pages(spark, [])).count() == 0
-    lost = warc.audit(pages(spark, rows), pages(spark, rows[:-1]))[1].collect()
+    mine = warc.leaves(pages(spark, rows))
+    same = warc.audit(mine, mine)
+    assert same.bad.count() == 0 and same.rows.count() == 600 and same.root == same.other_root is not None
+    found = warc.audit(mine, warc.leaves(pages(spark, [(i, "u", "H" if i in (300, 301, 310) else "h") for i in range(600)])))
+    assert found.root == same.root != found.other_root
+    assert sorted((r.file, r.place) for r in found.bad.collect()) == [(1, 44), (1, 45), (1, 54)]
+    size = {i: len(made(*rows[i])) for i in range(600)}
+    start = lambda i: sum(size[k] for k in range(256, i))
+    assert sorted(map(tuple, found.ranges().select("file", "first", "last", "start", "stop").collect())) == [(1, 44, 45, start(300), start(302)), (1, 54, 54, start(310), start(311))]
+    assert warc.report(warc.leaves(pages(spark, [])), warc.leaves(pages(spark, []))).count() == 0
+    lost = warc.audit(mine, warc.leaves(pages(spark, rows[:-1]))).bad.collect()
     assert [(r.file, r.place) for r in lost] == [(2, 87)]
 
 
+def test_fixity_of_awkward_tables(spark, tmp_path):
+    """Repeated ids and rows, clashing columns, an empty archive, members of gzip, files that are cut short."""
+    rows = pages(spark, [(1, "a", "x"), (1, "a", "x"), (1, "b", None), (2, None, "y")]).selectExpr("*", "1 AS file", "2 AS place", "3 AS digest", "4 AS r", "5 AS size")
+    warc.write(rows, str(tmp_path / "w"))
+    got = warc.report(warc.leaves(rows), warc.read(spark, str(tmp_path / "w"))).collect()
+    assert len(got) == 4 and all(r.intact for r in got)
+    warc.write(pages(spark, []), str(tmp_path / "e"))
+    assert warc.read(spark, str(tmp_path / "e")).count() == 0
+    one, two = made(1, "a", "x"), made(2, "b", "y")
+    for n, data in enumerate((gzip.compress(one) + gzip.compress(two), one + two, one + two[:-3], b"no warc", b"", gzip.compress(one)[:-9])):
+        (tmp_path / "m" / f"file={n}").mkdir(parents=True)
+        (tmp_path / "m" / f"file={n}" / "part-0.warc").write_bytes(data)
+    found = {}
+    for r in warc.read(spark, str(tmp_path / "m")).collect():
+        found.setdefault(r.file, []).append((r.place, r.start, r.size))
+    assert found[0] == found[1] == [(0, 0, len(one)), (1, len(one), len(two))] and found[2][1] == (1, len(one), len(two) - 3)
+    assert found[3] == [(0, 0, 7)] and 4 not in found and len(found[5]) == 1
+
+
 # -- 6 ----------------------------------------------------------------------------------------------------------------
 def test_merging_by_rank_is_proven_for_the_vocabulary():
     assert packing.ranked_vocabulary(WORDS)
