@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: With one byte more for each text, a chunk's powers of the hash base take 2 x 8 MB.
-CHUNK_BYTES = (1 << 20) - 1024
+#: With one byte more for each text, a chunk's powers of the hash base take 2 x 4 MB.
+CHUNK_BYTES = (1 << 19) - 1024
 #: Records in an Arrow batch, and bytes; a worker holds a few batches at a time.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1

@@ -34,7 +34,7 @@ from .common import stored
 SIZE, END, PARTS = 2048, 0, 8
 log = logging.getLogger(__name__)
 #: Chunks of text whose ids a worker remembers.
-CACHE = 250_000
+CACHE = 120_000
 
 # Where one of these stands, a text isn't cut at white space, as the pre-tokeniser may see a blank there differently.
 _ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85]")

@@ -189,9 +189,9 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, max_bits: int =
 
 
 #: Near groups: words of a shingle, bits of a parity sketch (at least and at most), cells of the tally, cells of a block.
-NEAR_SHINGLE, SKETCH_LOW, SKETCH_HIGH, TALLY_BITS, BLOCK_BITS = 5, 512, 1 << 16, 24, 18
+NEAR_SHINGLE, SKETCH_LOW, SKETCH_HIGH, TALLY_BITS, BLOCK_BITS = 5, 512, 1 << 16, 23, 18
 #: Bytes of shingle sets that a task holds; a larger group is compared by several tasks, in rounds.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 8 << 20
 #: Distinct texts a task remembers, so as not to send copies.
 SEEN = 100_000
 
@@ -224,7 +224,7 @@ def _cell(values: np.ndarray, bits: int) -> np.ndarray:
 
 def _tally(texts: DataFrame, bits: int) -> np.ndarray:
     """How many texts hold the shingles of each of 2^bits cells, as 1 for one and by sixteenths of a power of two above:
-    16 MB whatever the corpus. Copies in one task count once. This only orders shingles, and every task sees the same."""
+    8 MB whatever the corpus. Copies in one task count once. This only orders shingles, and every task sees the same."""
     block_bits = min(BLOCK_BITS, bits)
 
     def tasks(batches):
