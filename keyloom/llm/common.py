@@ -7,8 +7,10 @@ after an executor is lost gives the same rows.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -34,6 +36,20 @@ NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
 
 
+def _lean() -> None:
+    """Workers run one stage after another in the same process: what a stage frees goes back to the system, so that it is
+    not held beside what the next one needs."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    if sys.platform.startswith("linux"):
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "mallopt"):
+            libc.mallopt(-3, 1 << 20)  # larger blocks are mapped and unmapped each on its own
+            libc.mallopt(-1, 4 << 20)  # free memory at the end of the heap that is kept
+
+
+_lean()
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that all executors share; one of our own only where the session names none (as in tests)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()

@@ -228,16 +228,15 @@ def _tally(texts: DataFrame, bits: int) -> np.ndarray:
     block_bits = min(BLOCK_BITS, bits)
 
     def tasks(batches):
-        counts, seen = np.zeros(1 << bits, np.uint16), set()
+        counts, seen = np.zeros(1 << bits, np.uint8), set()
         for batch in batches:
             for x in _joined(shingle_sets(_fresh(batch, seen)[1])):
                 cells, n = np.unique(_cell(x, bits), return_counts=True)
-                counts[cells] = np.minimum(65535, counts[cells] + n)
+                counts[cells] = np.minimum(255, counts[cells] + n)
         for block in range(1 << (bits - block_bits)):
             part = counts[block << block_bits : (block + 1) << block_bits]
-            at = np.flatnonzero(part)
-            if len(at):
-                yield pa.RecordBatch.from_pydict({"block": [block], "at": [at.astype("<u4").tobytes()], "n": [part[at].astype("<u2").tobytes()]})
+            if part.any():
+                yield pa.RecordBatch.from_pydict({"block": [block], "n": [part.tobytes()]})
 
     def level(block, total):
         steps = np.where(total > 0, 1 + 16 * np.log2(np.maximum(total, 1)), 0)
@@ -246,16 +245,16 @@ def _tally(texts: DataFrame, bits: int) -> np.ndarray:
     def merge(batches):
         now, total = None, None
         for batch in batches:
-            for block, at, n in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            for block, n in zip(batch.column("block").to_pylist(), batch.column("n").to_pylist()):
                 if block != now:
                     if now is not None:
                         yield level(now, total)
                     now, total = block, np.zeros(1 << block_bits, np.int64)
-                total[np.frombuffer(at, "<u4")] += np.frombuffer(n, "<u2")
+                total += np.frombuffer(n, np.uint8)
         if now is not None:
             yield level(now, total)
 
-    parts = texts.mapInArrow(tasks, "block long, at binary, n binary").repartition("block").sortWithinPartitions("block")
+    parts = texts.mapInArrow(tasks, "block long, n binary").repartition("block").sortWithinPartitions("block")
     out = np.zeros(1 << bits, np.uint8)
     for r in stored(parts.mapInArrow(merge, "block long, n binary")).toLocalIterator():
         out[r.block << block_bits : (r.block + 1) << block_bits] = np.frombuffer(r.n, np.uint8)
