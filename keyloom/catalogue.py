@@ -16,7 +16,7 @@ from .functions import analyse
 from .operators import paths
 from .scratch import stored
 from .sources import changes, loaders
-from .sources.graph import Graph, driver_graph, edge_rows
+from .sources.graph import CHANGES, Graph, driver_graph
 from .streaming import buckets, index, rules
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -167,9 +167,16 @@ _DOCS = "SELECT 'doc/' || doc_id AS key, 'S' AS kind, '*' AS field, text AS valu
 _P = "WITH " + _analyser_sql(_DOCS)
 
 
+#: Indexes that were stored in this session, by application and data; queries read them, as those of a running engine do.
+_STORED: dict[tuple[str, str], DataFrame] = {}
+
+
 def _indexed(spark: SparkSession, sf_dir: str) -> Engine:
-    e = _engine(spark, sf_dir)
-    e.reindex()
+    e, at = _engine(spark, sf_dir), (spark.sparkContext.applicationId, sf_dir)
+    if at in _STORED:
+        e.use_index(_STORED[at])
+    else:
+        _STORED[at] = e.reindex()
     return e
 
 
@@ -232,28 +239,22 @@ def _path_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy((F.round(paths.path_length(F.col("path")), 6) == F.round("length", 6)).alias("agrees")).agg(F.count("*").alias("n"))
 
 
-_keep("path_lengths", _path_check)
-_text("multi_match", "g:include(in_region,has_nation).match(v('nation/1','nation/6'),v(region),v('nation/11','nation/16'))", "", lambda d: _pairs(d))
-_text("maximize", "g:include(in_region,based_in).maximize(weight).match(v('supplier/1'),v(region))", "", lambda d: _pairs(d))
+_keep("path_lengths", _path_check, "SELECT true AS agrees, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+_text("match_path", "g:include(in_region,based_in).match(v(supplier),v(region))", "SELECT 'supplier/' || s_suppkey AS subject, 'region/' || n_regionkey AS object, 2.0::DOUBLE AS length, 'supplier/' || s_suppkey || '>based_in:supplier/' || s_suppkey || ':nation/' || s_nationkey || '>nation/' || s_nationkey || '>in_region:nation/' || s_nationkey || ':region/' || n_regionkey || '>region/' || n_regionkey AS path FROM supplier JOIN nation ON s_nationkey = n_nationkey", _triplets)
+_text("nomatch_types", "g:include(in_region,based_in).nomatch(v(supplier),v(region))", "SELECT 'supplier/' || s_suppkey AS subject, 'region/' || r_regionkey AS object FROM supplier JOIN nation ON s_nationkey = n_nationkey, region WHERE r_regionkey <> n_regionkey", lambda d: d.select("subject", "object"))
+_text("multi_match", "g:include(in_region).match(v(nation),v(region),v(nation))", "SELECT 'nation/' || a.n_nationkey AS subject, 'nation/' || b.n_nationkey AS object, 2.0::DOUBLE AS length FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey", _pairs)
+_text("maximize", "g:include(in_region,based_in).maximize(weight).match(v('supplier/1'),v(region))", "SELECT 'supplier/' || s_suppkey AS subject, 'region/' || n_regionkey AS object, 2.0::DOUBLE AS length FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey = 1", _pairs)
 
 
 # -- mutations --------------------------------------------------------------------------------------------------------
 _EDGE = ("edge_id", "predicate", "subject", "object", "inverse_id", "round(weight, 6) AS weight")
 
 
-def _small(spark: SparkSession, sf_dir: str) -> Engine:
-    """Regions, nations and suppliers as a graph without typed views."""
-    full = driver_graph(spark, sf_dir)
-    kinds = ["region", "nation", "supplier"]
-    nation, supplier = _read(spark, sf_dir, "nation"), _read(spark, sf_dir, "supplier")
-    at = lambda k, c: F.concat(F.lit(k + "/"), F.col(c).cast("string"))
-    edges = edge_rows(nation, "in_region", "has_nation", at("nation", "n_nationkey"), at("region", "n_regionkey")).unionByName(edge_rows(supplier, "based_in", "has_supplier", at("supplier", "s_suppkey"), at("nation", "s_nationkey")))
-    return Engine(spark, Graph.of(spark, full.vertices.where(F.col("type").isin(kinds)), edges))
-
-
 def _after(query: str, what: str = "edges", where: str = "true") -> Query:
+    """The edges or vertices of the whole graph once a write query has run."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        e = _small(spark, sf_dir)
+        e = _engine(spark, sf_dir)
         e.query(query)
         if what == "edges":
             return e.graph.edges.selectExpr(*_EDGE).where(where)
@@ -262,18 +263,19 @@ def _after(query: str, what: str = "edges", where: str = "true") -> Query:
     return run
 
 
-_SMALL_E = "WITH " + _e("in_region", "based_in") + ", t AS (SELECT edge_id, predicate, subject, object, CASE predicate WHEN 'in_region' THEN 'has_nation' WHEN 'has_nation' THEN 'in_region' WHEN 'based_in' THEN 'has_supplier' ELSE 'based_in' END AS q, w FROM e)"
+_TWINS = " ".join(f"WHEN '{p}' THEN '{q}' WHEN '{q}' THEN '{p}'" for p, (q, _) in _FORWARD.items())
+_WHOLE_E = "WITH " + _e() + f", t AS (SELECT edge_id, predicate, subject, object, CASE predicate {_TWINS} END AS q, round(w, 6) AS w FROM e)"
 _keep("add_edge_pairs", _after("g:predicate(near,close_to).subject(v('nation/1','nation/2')).object(v(region))", where="predicate IN ('near', 'close_to')"), "WITH x AS (SELECT s, 'region/' || r_regionkey AS o FROM region, (SELECT unnest(['nation/1', 'nation/2']) AS s)) SELECT 'near:' || s || ':' || o AS edge_id, 'near' AS predicate, s AS subject, o AS object, 'close_to:' || o || ':' || s AS inverse_id, 1.0::DOUBLE AS weight FROM x UNION ALL SELECT 'close_to:' || o || ':' || s, 'close_to', o, s, 'near:' || s || ':' || o, 1.0 FROM x")
-_keep("rename_vertex", _after("g:renamekeys('region/1','mars')"), _SMALL_E + ", n AS (SELECT predicate, q, CASE subject WHEN 'region/1' THEN 'mars' ELSE subject END AS s, CASE object WHEN 'region/1' THEN 'mars' ELSE object END AS o, w FROM t) SELECT predicate || ':' || s || ':' || o AS edge_id, predicate, s AS subject, o AS object, q || ':' || o || ':' || s AS inverse_id, w AS weight FROM n")
-_keep("swap_vertices", _after("g:swapkeys('region/1','region/2')", where="subject IN ('region/1', 'region/2')"), _SMALL_E + ", n AS (SELECT predicate, q, CASE subject WHEN 'region/1' THEN 'region/2' ELSE 'region/1' END AS s, object AS o, w FROM t WHERE subject IN ('region/1', 'region/2')) SELECT predicate || ':' || s || ':' || o AS edge_id, predicate, s AS subject, o AS object, q || ':' || o || ':' || s AS inverse_id, w AS weight FROM n")
-_keep("drop_vertex", _after("g:v('nation/3').drop()"), _SMALL_E + " SELECT edge_id, predicate, subject, object, q || ':' || object || ':' || subject AS inverse_id, w AS weight FROM t WHERE 'nation/3' NOT IN (subject, object)")
+_keep("rename_vertex", _after("g:renamekeys('region/1','mars')"), _WHOLE_E + ", n AS (SELECT predicate, q, CASE subject WHEN 'region/1' THEN 'mars' ELSE subject END AS s, CASE object WHEN 'region/1' THEN 'mars' ELSE object END AS o, w FROM t) SELECT predicate || ':' || s || ':' || o AS edge_id, predicate, s AS subject, o AS object, q || ':' || o || ':' || s AS inverse_id, w AS weight FROM n")
+_keep("swap_vertices", _after("g:swapkeys('region/1','region/2')", where="subject IN ('region/1', 'region/2')"), _WHOLE_E + ", n AS (SELECT predicate, q, CASE subject WHEN 'region/1' THEN 'region/2' ELSE 'region/1' END AS s, object AS o, w FROM t WHERE subject IN ('region/1', 'region/2')) SELECT predicate || ':' || s || ':' || o AS edge_id, predicate, s AS subject, o AS object, q || ':' || o || ':' || s AS inverse_id, w AS weight FROM n")
+_keep("drop_vertex", _after("g:v('nation/3').drop()"), _WHOLE_E + " SELECT edge_id, predicate, subject, object, q || ':' || object || ':' || subject AS inverse_id, w AS weight FROM t WHERE 'nation/3' NOT IN (subject, object)")
 _keep("add_vertex", lambda s, d: _after("g:addv('moon','region')", "vertices", "type = 'region'")(s, d).select("id", "type"), "SELECT 'region/' || r_regionkey AS id, 'region' AS type FROM region UNION ALL SELECT 'moon', 'region'")
 _keep("set_property", lambda s, d: _after("g:v(nation).property(grade,a,n_regionkey,'')", "vertices", "type = 'nation'")(s, d).select("id", F.col("props")["grade"].alias("grade"), F.col("props")["n_regionkey"].isNull().alias("gone")), "SELECT 'nation/' || n_nationkey AS id, 'a' AS grade, true AS gone FROM nation")
 _keep("property_expression", lambda s, d: _after("g:v(nation).property{double = n_regionkey * 2 + 1}", "vertices", "type = 'nation'")(s, d).select("id", F.col("props")["double"].alias("value")), "SELECT 'nation/' || n_nationkey AS id, printf('%.6f', (n_regionkey * 2 + 1)::DOUBLE) AS value FROM nation")
 
 
 def _edges_from_property(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _small(spark, sf_dir)
+    e = _engine(spark, sf_dir)
     home = F.concat(F.lit("region/"), F.col("props")["n_regionkey"])
     e.graph = e.graph.changed(vertices=e.graph.vertices.withColumn("props", F.when(F.col("type") == "nation", F.map_concat("props", F.create_map(F.lit("home"), home))).otherwise(F.col("props"))))
     e.query("g:v(nation).adde('@home',calls_home,home_of,2)")
@@ -284,14 +286,32 @@ _keep("add_edge_from_property", _edges_from_property, "WITH x AS (SELECT 'nation
 
 
 def _queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _small(spark, sf_dir)
+    e = _engine(spark, sf_dir)
     e.query("g:v(supplier).gt(s_acctbal,5000).redis(rpush,rich,'@key')")
     return e.queues["rich"]
 
 
 _keep("queue_push", _queue, "SELECT 'rich' AS name, 'supplier/' || s_suppkey AS value FROM supplier WHERE s_acctbal > 5000")
-_keep("subgraph_export", lambda s, d: loaders.subgraph(_small(s, d).graph, "nation/3", 2))
-_keep("subgraph_deep", lambda s, d: loaders.subgraph(_small(s, d).graph, "region/1", 3, None))
+
+
+def _parts(rows: DataFrame) -> DataFrame:
+    """What an export names: the ids of entities and the ends of triplets."""
+    j = lambda f: F.get_json_object("json", "$." + f)
+    return rows.select("part", F.coalesce(j("iri"), F.concat_ws(":", j("predicate"), j("subject"), j("object"))).alias("name"))
+
+
+def _export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON text of a region's surroundings, taken apart again."""
+    text = loaders.subgraph(_engine(spark, sf_dir).graph, "region/1", 1)
+    part = lambda name, what: text.select(F.lit(name).alias("part"), F.explode(F.from_json(F.get_json_object("json", "$." + what), "array<string>")).alias("json"))
+    return _parts(part("entity", "entities").unionByName(part("triplet", "triplets")))
+
+
+_NEAR = ", n AS (SELECT DISTINCT unnest([subject, object]) AS k FROM e WHERE subject = 'region/1' OR object = 'region/1')"
+_DEEP = ", n0 AS (SELECT DISTINCT unnest([subject, object]) AS k FROM e WHERE subject = 'region/1' OR object = 'region/1'), n AS (SELECT DISTINCT unnest([subject, object]) AS k FROM e WHERE subject IN (SELECT k FROM n0) OR object IN (SELECT k FROM n0))"
+_INSIDE = " SELECT 'entity' AS part, k AS name FROM n UNION ALL SELECT 'triplet', edge_id FROM e WHERE subject IN (SELECT k FROM n) AND object IN (SELECT k FROM n)"
+_keep("subgraph_export", _export, "WITH " + _e() + _NEAR + _INSIDE)
+_keep("subgraph_deep", lambda s, d: _parts(loaders.subgraph_rows(_engine(s, d).graph, "region/1", 2)), "WITH " + _e() + _DEEP + _INSIDE)
 
 
 # -- loaders ----------------------------------------------------------------------------------------------------------
@@ -338,6 +358,56 @@ def _upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keeper.postings.where("field = 'EVENT_TYPE'").withColumn("score", F.round("score", 6))
 
 
+def _field_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as commands on single fields: purchases append to a log, logouts take the value out, a view puts it where
+    nothing stands, searches put the type, everything else puts the value."""
+    e = _read(spark, sf_dir, "events")
+    value, kind = F.col("value").cast("string"), F.col("event_type")
+    op = F.when(kind == "purchase", "append").when(kind == "logout", "hdel").when(kind == "view", "hsetnx").otherwise("hset")
+    fields = F.when(kind == "purchase", F.create_map(F.lit("log"), F.lit("x"))).when(kind == "search", F.create_map(F.lit("kind"), kind)).otherwise(F.create_map(F.lit("value"), value))
+    return e.select(F.col("event_id").alias("seq"), op.alias("op"), F.concat(F.lit("user/"), F.col("user_id").cast("string")).alias("key"), F.lit("H").alias("kind"), fields.alias("fields"))
+
+
+def _field_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = lambda n: F.col("fields")[n].alias(n)
+    return changes.last_state(_field_feed(spark, sf_dir)).select("key", "deleted", F.coalesce(F.length(F.col("fields")["log"]), F.lit(0)).alias("n_log"), f("kind"), f("value"))
+
+
+_keep(
+    "change_feed_fields",
+    _field_state,
+    "WITH v AS (SELECT user_id, event_id, event_type, value FROM events WHERE event_type NOT IN ('purchase', 'search')), "
+    "f AS (SELECT user_id, max(event_id) FILTER (event_type <> 'view') AS at, max_by(event_type, event_id) FILTER (event_type <> 'view') AS what, max_by(value, event_id) FILTER (event_type <> 'view') AS firm FROM v GROUP BY user_id), "
+    "g AS (SELECT v.user_id, min_by(v.value, event_id) AS given FROM v JOIN f ON v.user_id = f.user_id WHERE event_type = 'view' AND (f.at IS NULL OR event_id > f.at) GROUP BY v.user_id), "
+    "s AS (SELECT user_id, count(*) FILTER (event_type = 'purchase') AS n_log, CASE WHEN count(*) FILTER (event_type = 'search') > 0 THEN 'search' END AS kind FROM events GROUP BY user_id), "
+    "x AS (SELECT s.user_id, n_log, kind, CASE WHEN f.at IS NULL OR f.what = 'logout' THEN g.given ELSE f.firm END AS value FROM s LEFT JOIN f ON s.user_id = f.user_id LEFT JOIN g ON s.user_id = g.user_id) "
+    "SELECT 'user/' || user_id AS key, n_log = 0 AND kind IS NULL AND value IS NULL AS deleted, CAST(n_log AS INTEGER) AS n_log, kind, CAST(value AS VARCHAR) AS value FROM x",
+)
+
+
+def _moved_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events put their value; then the first user's key is renamed, and what came before event 100 is flushed."""
+    e = _feed(spark, sf_dir).where("op = 'hset'")
+    cut = spark.createDataFrame([(100, "flushall", None, None, None), (1 << 40, "rename", "user/1", "H", {"to": "user/first"})], CHANGES)
+    return changes.last_state(e.where("seq <> 100").unionByName(cut)).select("key", "deleted", F.col("fields")["event_type"].alias("event_type"))
+
+
+_keep(
+    "change_feed_moves",
+    _moved_feed,
+    "WITH l AS (SELECT user_id, max_by(event_type, event_id) FILTER (event_id > 100) AS event_type FROM events WHERE event_type <> 'logout' AND event_id <> 100 GROUP BY user_id) "
+    "SELECT CASE user_id WHEN 1 THEN 'user/first' ELSE 'user/' || user_id END AS key, event_type IS NULL AS deleted, event_type FROM l WHERE user_id <> 1 OR event_type IS NOT NULL UNION ALL SELECT 'user/1', true, NULL FROM l WHERE user_id = 1",
+)
+
+
+def _tree_add(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _engine(spark, sf_dir)
+    e.type_tree_add("anything", "party")
+    e.type_tree_add("anything", "place")
+    return e.query("g:v(anything)").select("key")
+
+
+_keep("type_tree_add", _tree_add, "SELECT 'customer/' || c_custkey AS key FROM customer UNION ALL SELECT 'supplier/' || s_suppkey FROM supplier UNION ALL SELECT 'region/' || r_regionkey FROM region UNION ALL SELECT 'nation/' || n_nationkey FROM nation")
 _keep("index_upkeep", _upkeep, _LAST + " SELECT 'user/' || user_id AS key, 'H' AS kind, 'EVENT_TYPE' AS field, upper(event_type) AS token, 1.0::DOUBLE AS score FROM l WHERE event_type <> 'logout'")
 
 

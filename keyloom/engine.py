@@ -16,7 +16,8 @@ from .operators.traverse import properties
 from .plans import compile as plan
 from .plans.lexer import QuerySyntaxError
 from .plans.parser import Parser, dialect_of, postfix_text
-from .sources.graph import Graph
+from .scratch import stored
+from .sources.graph import TYPE_TREE, Graph
 
 _MODIFIERS = re.compile(r"\s+(?:(?P<ranked>ranked)|(?P<reset>reset)|over\s+(?P<over>-?[0-9.]+)|under\s+(?P<under>-?[0-9.]+)|as\s+(?P<as>\w+))\s*$", re.IGNORECASE)
 
@@ -76,10 +77,22 @@ class Engine:
     # -- index ------------------------------------------------------------------------------------------------------
 
     def reindex(self) -> DataFrame:
-        """Builds the postings of all documents anew."""
-        self.graph = self.graph.changed(postings=analyse.postings(self.graph.documents, self.scoring))
+        """Builds the postings of all documents anew and stores them in order of tokens, so that a term reads its own part
+        of the files only."""
+        made = analyse.postings(self.graph.documents, self.scoring)
+        self.graph = self.graph.changed(postings=stored(made.repartitionByRange("token", "field").sortWithinPartitions("token", "field")))
         return self.graph.postings
 
+    def use_index(self, postings: DataFrame) -> None:
+        """Takes postings that were stored before."""
+        self.graph = self.graph.changed(postings=postings)
+
+    def type_tree_add(self, super_type: str, sub_type: str, kind: str = "V") -> None:
+        """Puts a type of vertices (V) or a predicate (E) below another one; what is there already stays."""
+        new = self.spark.createDataFrame([(kind, super_type, sub_type)], TYPE_TREE)
+        old = self.graph.type_tree
+        self.graph = self.graph.changed(type_tree=new if old is None else old.unionByName(new).distinct())
+
     def fetch(self, token: str | None = None, field: str | None = None, op: str = "==") -> DataFrame:
         return keysets.fetch(self.graph.postings, token, field, op).df
 
@@ -102,8 +115,10 @@ class Engine:
             c.push(start)
         return plan.run(c, postfix, dialect), c
 
-    def query(self, text: str, ranked: bool = False, over: float | None = None, under: float | None = None, fetch_rows: bool = False, graph: bool = False) -> DataFrame:
-        """Runs a query of either language. A write query moves the engine on to the snapshot that it makes."""
+    def query(self, text: str, ranked: bool = False, over: float | None = None, under: float | None = None, fetch_rows: bool = False, graph: bool = False, ordered: bool = False) -> DataFrame:
+        """Runs a query of either language. A write query moves the engine on to the snapshot that it makes.
+
+        ordered: rows in the natural order of their keys, for a sink that keeps it."""
         text = ("g:" + text) if graph else text
         text, mods = modifiers(text)
         rel, c = self.relation(text)
@@ -119,7 +134,8 @@ class Engine:
         rel = c.graph.load(rel, c.select)
         if ranked or mods.ranked:
             rel = keysets.ranked(rel)
-        return self.result(rel, c.select, fetch_rows)
+        out = self.result(rel, c.select, fetch_rows)
+        return out.orderBy(*[c for c in ("key", "subject", "object") if c in out.columns]) if ordered else out
 
     def _enqueue(self, name: str, rel: Relation, what: str) -> None:
         rows = rel.df

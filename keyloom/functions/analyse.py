@@ -4,14 +4,20 @@ A text is cut into sentences at . ; * and, outside a labelled list, at commas; a
 `label: words` or `label = words` names the field of its sentence. A token is a quoted phrase, a number, or a run of
 characters that are neither blank, operator nor bracket; a token weighs one over the tokens of its sentence. Tokens and
 fields are in ASCII upper case. A posting scores the sum of its weights over the square of its count, or the plain sum.
+
+Each level (sentences, lists, tokens) is a row of its own, so that every expression is worked out once and in generated
+code. Only JSON, which nests to any depth, is taken apart in Python, in Arrow batches of the values that begin like it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .expr import upper
+from .expr import _LOWER, _UPPER, upper
 
 _BLANK = r" \t\n\r\f\x0B"
 _SPECIAL = r"""\[\](){};:<=>!+^/\\?|&%,*.\-"`"""
@@ -20,30 +26,34 @@ LABEL = rf"^[{_BLANK}]*([A-Za-z0-9_]+)[{_BLANK}]*[:=](?:[^\"`“”]{{8}}|[^\"`
 _PREFIX = rf"^[{_BLANK}]*[A-Za-z0-9_]+[{_BLANK}]*[:=]"
 
 
-def sentences(text: Column) -> Column:
-    """Array of (label or null, text) for each sentence."""
-    whole = F.regexp_replace(text, r"([0-9])\.([0-9])", "$1\u0001$2")
-    parts = F.split(whole, r"[.;*]")
-    def label(s: Column) -> Column:
-        return F.regexp_extract(s, LABEL, 1)
-    one = lambda s: F.when(label(s) != "", F.array(F.struct(label(s).alias("label"), F.regexp_replace(s, _PREFIX, "").alias("text")))).otherwise(F.transform(F.split(s, ","), lambda x: F.struct(F.lit("").alias("label"), x.alias("text"))))
-    return F.flatten(F.transform(parts, one))
-
-
-def tokens(sentence: Column) -> Column:
-    found = F.regexp_extract_all(sentence, F.lit(TOKEN), F.lit(0))
-    clean = F.transform(found, lambda t: upper(F.regexp_replace(F.translate(t, '"', ""), "\u0001", ".")))
-    return F.filter(clean, lambda t: t != "")
-
+def json_values(field: str, text: str) -> list[dict]:
+    """(field, value) of all that is said in a JSON text; a field is the name of the innermost object key. No JSON, no
+    values. A null says nothing."""
+    try:
+        found = json.loads(text, parse_int=str, parse_float=str, parse_constant=str)
+    except ValueError:
+        return []
+    out, rest = [], [(field, found)]
+    while rest:
+        name, value = rest.pop()
+        if isinstance(value, dict):
+            rest += [(k, v) for k, v in reversed(value.items())]
+        elif isinstance(value, list):
+            rest += [(name, v) for v in reversed(value)]
+        elif value is not None:
+            out.append({"field": name, "value": value if isinstance(value, str) else json.dumps(value)})
+    return out
+
+
+def json_fields(rows: DataFrame) -> DataFrame:
+    """(.., field, value) with JSON objects and arrays taken apart, however deep they are."""
+
+    @F.pandas_udf("array<struct<field: string, value: string>>")
+    def apart(field: pd.Series, value: pd.Series) -> pd.Series:
+        return pd.Series([json_values(f, v) for f, v in zip(field, value)], dtype=object)
 
-def json_fields(rows: DataFrame, depth: int = 8) -> DataFrame:
-    """(.., field, value) with JSON objects and arrays taken apart; a field is the name of the innermost object key."""
-    entry = "array<struct<field: string, value: string>>"
-    step = F.when(F.ltrim("value").startswith("{"), F.transform(F.map_entries(F.from_json("value", "map<string,string>")), lambda e: F.struct(e["key"].alias("field"), e["value"].alias("value")))).when(F.ltrim("value").startswith("["), F.transform(F.from_json("value", "array<string>"), lambda v: F.struct(F.col("field").alias("field"), v.alias("value")))).otherwise(F.array(F.struct("field", "value")))
     keep = [c for c in rows.columns if c not in ("field", "value")]
-    for _ in range(depth):
-        rows = rows.select(*keep, F.explode(step.cast(entry)).alias("_e")).select(*keep, "_e.field", "_e.value").where("value IS NOT NULL")
-    return rows
+    return rows.select(*keep, F.explode(apart("field", "value")).alias("_e")).select(*keep, "_e.field", "_e.value")
 
 
 def fields(documents: DataFrame) -> DataFrame:
@@ -57,8 +67,16 @@ def fields(documents: DataFrame) -> DataFrame:
 
 def tally(rows: DataFrame) -> DataFrame:
     """(key, kind, field, token, weight, n): one shuffle, on the key first, so that a key's upkeep stays in one place."""
-    said = rows.select("key", "kind", "field", F.explode(sentences(F.col("value"))).alias("s")).select("key", "kind", upper(F.when(F.col("s.label") != "", F.col("s.label")).otherwise(F.col("field"))).alias("field"), tokens(F.col("s.text")).alias("t")).where("size(t) > 0")
-    each = said.select("key", "kind", "field", (1 / F.size("t")).alias("w"), F.explode("t").alias("token"))
+    whole = F.regexp_replace("value", r"([0-9])\.([0-9])", "$1\u0001$2")
+    said = rows.select("key", "kind", "field", F.explode(F.split(whole, r"[.;*]")).alias("s"))
+    label = F.when(F.contains("s", F.lit(":")) | F.contains("s", F.lit("=")), F.regexp_extract("s", LABEL, 1)).otherwise("")
+    said = said.select("key", "kind", "field", "s", label.alias("label"))
+    part = F.explode(F.when(F.col("label") != "", F.array(F.regexp_replace("s", _PREFIX, ""))).otherwise(F.split("s", ",")))
+    said = said.select("key", "kind", F.when(F.col("label") != "", F.col("label")).otherwise(F.col("field")).alias("field"), part.alias("s"))
+    said = said.select("key", "kind", "field", F.array_remove(F.regexp_extract_all("s", F.lit(TOKEN), F.lit(0)), '""').alias("t"))
+    each = said.select("key", "kind", "field", (1 / F.greatest(F.size("t"), F.lit(1))).alias("w"), F.explode("t").alias("token"))
+    clean = F.translate("token", "\u0001" + _LOWER + '"', "." + _UPPER)  # quotes go
+    each = each.select("key", "kind", upper(F.col("field")).alias("field"), clean.alias("token"), "w")
     return each.groupBy("key", "kind", "field", "token").agg(F.sum("w").alias("weight"), F.count("*").alias("n"))
 
 

@@ -138,6 +138,10 @@ class Context:
     def push(self, rel: Relation) -> None:
         self.stack.append(rel)
 
+    def link(self, before: Graph, rel: Relation) -> None:
+        """Keeps the edges of rel that were not in the graph before."""
+        self.links.append(rel.df.join(before.edges.select(F.col("edge_id").alias("key")), "key", "left_anti"))
+
     def filter(self, test: Callable[[Relation], object], *names: str) -> None:
         rel = self.graph.load(self.current(), list(names))
         self.push(rel.with_df(rel.df.where(test(rel))))
@@ -428,9 +432,10 @@ def _commit(c: Context) -> bool:
     e = c.edge
     if e is None or e.subject is None or e.object is None:
         return False
+    before = c.graph
     c.graph, rel = mutate.add_edges(c.graph, mutate.pairs(e.subject.keys(), e.object.keys()), e.predicate, e.inverse)
     c.edge, c.wrote = None, True
-    c.links.append(rel.df)
+    c.link(before, rel)
     c.push(rel)
     return True
 
@@ -446,18 +451,20 @@ def _add_edge(c, op, dialect):
         weight = F.lit(float(rest.pop())) if rest and rest[-1].replace(".", "", 1).isdigit() else None
         rel = c.graph.load(c.current(), [name])
         rows = mutate.edges_from_property(c.graph, rel, name)
+        before = c.graph
         c.graph, made = mutate.add_edges(c.graph, rows, predicate, rest[0] if rest else None, weight)
         c.wrote = True
-        c.links.append(made.df)
+        c.link(before, made)
         c.push(rel if rel.kind != EDGE else made)
         return
     if len(words) >= 3:
         weight = F.lit(float(words.pop())) if isinstance(words[-1], str) and words[-1].replace(".", "", 1).isdigit() and len(words) > 3 else None
         subject, predicate, *inverse, obj = words
         pairs = mutate.pairs(c.resolve(subject).keys(), c.resolve(obj).keys())
+        before = c.graph
         c.graph, rel = mutate.add_edges(c.graph, pairs, predicate, inverse[0] if inverse else None, weight)
         c.wrote = True
-        c.links.append(rel.df)
+        c.link(before, rel)
         c.push(rel)
         return
     c.edge = PendingEdge(words[0], words[1] if len(words) > 1 else None)

@@ -47,20 +47,21 @@ def as_documents(rows: DataFrame, mode: str = "HASH") -> DataFrame:
 _RESERVED = ("iri", "type", "subject", "predicate", "object", "inverse_iri", "inverse", "weight", "tertiary")
 
 
-def load_graph_json(spark: SparkSession, path: str, depth: int = 4) -> Graph:
+def load_graph_json(spark: SparkSession, path: str) -> Graph:
     """Vertices and edges from a list of JSON objects, one list or one object a line.
 
     {iri, type, ..} is a vertex. {subject, predicate, object} is an edge; its ends are ids, vertices or further edges,
-    the predicate a name or an object with type, inverse, weight and properties. Nesting is taken apart `depth` levels."""
+    the predicate a name or an object with type, inverse, weight and properties. Nesting is taken apart to its end."""
     whole = spark.read.option("wholetext", True).text(path).select(F.col("value").alias("j"))
     items = whole.select(F.explode(F.when(F.ltrim("j").startswith("["), F.from_json("j", "array<string>")).otherwise(F.filter(F.split("j", "\n"), lambda x: F.trim(x) != ""))).alias("j"))
     entry = lambda d: d.select(F.from_json("j", "map<string,string>").alias("m")).where("m IS NOT NULL")
-    level, found = entry(items), None
-    for _ in range(depth):
+    level, found = stored(entry(items)), None
+    while True:
         found = level if found is None else found.unionByName(level)
         nested = level.select(F.explode(F.array(F.col("m")["subject"], F.col("m")["object"])).alias("j")).where("ltrim(j) LIKE '{%'")
-        level = entry(nested)
-    found = stored(found.unionByName(level))
+        level = stored(entry(nested))
+        if level.limit(1).count() == 0:
+            break
     is_edge = F.map_contains_key("m", F.lit("subject")) & F.map_contains_key("m", F.lit("object"))
     own = F.map_filter("m", lambda k, v: ~k.isin(*_RESERVED) & v.isNotNull())
     vertices = found.where(~is_edge & F.map_contains_key("m", F.lit("iri"))).select(F.col("m")["iri"].alias("id"), F.col("m")["type"].alias("type"), own.alias("props")).dropDuplicates(["id"])
@@ -81,10 +82,8 @@ def load_graph_json(spark: SparkSession, path: str, depth: int = 4) -> Graph:
     return Graph.of(spark, stored(vertices), stored(edges))
 
 
-def subgraph(graph: Graph, key: str, depth: int = 8, most: int | None = 32) -> DataFrame:
-    """One row of JSON, {entities, triplets}: what lies within `depth` hops of a key.
-
-    With `most`, hops end once more entities than that are found; None follows all hops."""
+def _within(graph: Graph, key: str, depth: int, most: int | None) -> tuple[DataFrame, DataFrame]:
+    """(entities, triplets) as JSON, a row each: what lies within `depth` hops of a key."""
     reached = stored(graph.vertices.where(F.col("id") == key).select(F.col("id").alias("key")))
     front = reached
     half = graph.edges.select(F.col("subject").alias("a"), F.col("object").alias("b"))
@@ -100,6 +99,20 @@ def subgraph(graph: Graph, key: str, depth: int = 8, most: int | None = 32) -> D
     entity = F.struct(F.col("id").alias("iri"), "type", F.map_filter("props", lambda k, v: v.isNotNull()).alias("props"))
     ends = reached.select(F.col("key").alias("subject")), reached.select(F.col("key").alias("object"))
     within = graph.edges.join(ends[0], "subject", "left_semi").join(ends[1], "object", "left_semi")
-    entities = inside.agg(F.sort_array(F.collect_list(F.to_json(entity))).alias("entities"))
-    triplets = within.agg(F.sort_array(F.collect_list(F.to_json(F.struct("subject", "predicate", "object", "weight")))).alias("triplets"))
+    return inside.select(F.to_json(entity).alias("json")), within.select(F.to_json(F.struct("subject", "predicate", "object", "weight")).alias("json"))
+
+
+def subgraph_rows(graph: Graph, key: str, depth: int = 8) -> DataFrame:
+    """(key, part, json): a row for each entity and triplet within `depth` hops, so that no task gathers them all."""
+    entities, triplets = _within(graph, key, depth, None)
+    named = lambda df, part: df.select(F.lit(key).alias("key"), F.lit(part).alias("part"), "json")
+    return named(entities, "entity").unionByName(named(triplets, "triplet"))
+
+
+def subgraph(graph: Graph, key: str, depth: int = 8, most: int = 32) -> DataFrame:
+    """One row of JSON, {entities, triplets}: what lies within `depth` hops of a key. Hops end once more than `most`
+    entities are found; `subgraph_rows` follows them all."""
+    entities, triplets = _within(graph, key, depth, most)
+    entities = entities.agg(F.sort_array(F.collect_list("json")).alias("entities"))
+    triplets = triplets.agg(F.sort_array(F.collect_list("json")).alias("triplets"))
     return entities.crossJoin(triplets).select(F.lit(key).alias("key"), F.concat(F.lit('{"entities":['), F.array_join("entities", ","), F.lit('],"triplets":['), F.array_join("triplets", ","), F.lit("]}")).alias("json"))

@@ -1,9 +1,9 @@
 """Standing rules: traversal queries over the keys that changed, set at a time.
 
 A rule starts from the touched keys that are vertices. What it comes to are its hits, which get the posting
-(key, RULE, name); touched keys that it doesn't come to lose it, and count as misses. Rules run in the order of their names and see what those before them
-wrote. Property writes don't come back as changes; new edges touch both their ends, which go into the next round, up to
-`max_rounds`.
+(key, RULE, name); touched keys that it doesn't come to lose it, and count as misses. Rules run in the order of their
+names and see what those before them wrote. Property writes don't come back as changes; edges that were not there before
+touch both their ends, which go into the next round, until a round adds none. With `max_rounds`, more rounds are an error.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ class Rule:
 
 
 class Rules:
-    def __init__(self, engine: Engine, max_rounds: int = 5):
+    def __init__(self, engine: Engine, max_rounds: int | None = None):
         self.engine, self.max_rounds = engine, max_rounds
         self.rules: dict[str, Rule] = {}
         self.converged = True
@@ -94,8 +94,11 @@ class Rules:
         """Runs all rules on the keys; gives (key, kind, rule, score) of the hits and updates the index."""
         touched = stored(keys.select("key").distinct())
         out = empty(self.engine.spark, HITS)
-        self.converged = False
-        for _ in range(self.max_rounds):
+        self.converged, rounds = False, 0
+        while True:
+            rounds += 1
+            if self.max_rounds is not None and rounds > self.max_rounds:
+                raise RuntimeError(f"rules still add edges after {self.max_rounds} rounds")
             nexts = None
             for rule in self.list():
                 found, wrote = self._once(rule, touched)
@@ -105,13 +108,12 @@ class Rules:
                 if wrote is not None:
                     nexts = wrote if nexts is None else nexts.unionByName(wrote)
             if nexts is None:
-                self.converged = True
                 break
-            fresh = stored(nexts.distinct().join(touched, "key", "left_anti"))
-            if fresh.limit(1).count() == 0:
-                self.converged = True
+            touched = stored(nexts.distinct())
+            if touched.limit(1).count() == 0:
                 break
-            touched = fresh
+            out = stored(out)
+        self.converged = True
         return stored(out)
 
     def _post(self, name: str, touched: DataFrame, hits: DataFrame) -> None:

@@ -181,6 +181,36 @@ def test_sale_rule(shop, spark):
     assert rules.list() == []
 
 
+def test_rules_go_on_while_they_add_edges(spark):
+    """Each round walks one step down a chain of eight, until no edge is new."""
+    v = vertices(spark, [(f"k{i}", "n", {"next": f"k{i + 1}"}) for i in range(8)] + [("k8", "n", {})])
+    shop = Engine(spark, Graph.of(spark, v))
+    rules = Rules(shop)
+    rules.set("walk", "g:haslabel(next).adde('@next',then,before)")
+    rules.apply(spark.createDataFrame([("k0",)], "key string"))
+    assert rules.converged and shop.graph.edges.where("predicate = 'then'").count() == 8
+    short = Rules(Engine(spark, Graph.of(spark, v)), max_rounds=3)
+    short.set("walk", "g:haslabel(next).adde('@next',then,before)")
+    with pytest.raises(RuntimeError):
+        short.apply(spark.createDataFrame([("k0",)], "key string"))
+
+
+def test_type_tree_grows(shop):
+    assert keys(shop.query("g:v(thing)")) == []
+    shop.type_tree_add("thing", "drink")
+    shop.type_tree_add("thing", "person")
+    assert keys(shop.query("g:v(thing)")) == ["Amstel", "Still", "bambam", "barney", "fred"]
+
+
+def test_nested_triplets_of_any_depth(spark, tmp_path):
+    item = {"iri": "v0", "type": "n"}
+    for k in range(7):
+        item = {"subject": item, "predicate": f"p{k}", "object": f"v{k + 1}"}
+    (tmp_path / "g.json").write_text(json.dumps([item]))
+    g = load_graph_json(spark, str(tmp_path / "g.json"))
+    assert {r.predicate for r in g.edges.collect()} == {f"p{k}" for k in range(7)}
+
+
 def test_queue_values(shop):
     shop.query("g:v(bambam).redis(rpush,q,'@graph')")
     shop.query("g:v(bambam).redis(rpush,q,'@tuple')")

@@ -4,9 +4,10 @@ import pytest
 
 from keyloom.engine import Engine
 from keyloom.functions import analyse
-from keyloom.sources.graph import CHANGES, DOCUMENTS, Graph
+from keyloom.sources.changes import last_state
+from keyloom.sources.graph import CHANGES, DOCUMENTS, POSTINGS, Graph
 from keyloom.streaming.buckets import bucket_averages, running_average, shift_register
-from keyloom.streaming.index import Indexer
+from keyloom.streaming.index import Indexer, add, remove
 
 
 def engine(spark, rows):
@@ -76,6 +77,56 @@ def test_streamed_upkeep(spark, tmp_path):
     assert [r.token for r in keeper.postings.collect()] == ["Z"]
 
 
+def test_json_of_any_depth(spark):
+    deep = '{"end": "bottom"}'
+    for k in range(40):
+        deep = '{"k%d": [%s, 1.50, null, true]}' % (k, deep)
+    e = engine(spark, [("d", "S", deep, None), ("bad", "S", '{"a": ', None)])
+    rows = {(r.key, r.field, r.token) for r in e.graph.postings.collect()}
+    assert ("d", "END", "BOTTOM") in rows and ("d", "K0", "1.50") in rows and ("d", "K39", "TRUE") in rows
+    assert {r[0] for r in rows} == {"d"}
+
+
+def test_last_state_of_fields(spark):
+    feed = [
+        (1, "hset", "a", "H", {"x": "1", "y": "2"}), (2, "hdel", "a", "H", {"x": None}), (3, "hsetnx", "a", "H", {"y": "9", "z": "3"}),
+        (4, "set", "s", "S", {"*": "one"}), (5, "append", "s", "S", {"*": " two"}), (6, "append", "s", "S", {"*": " three"}),
+        (7, "hset", "gone", "H", {"x": "1"}), (8, "hdel", "gone", "H", {"x": None}),
+        (9, "hset", "old", "H", {"n": "5"}), (10, "rename", "old", "H", {"to": "mid"}), (11, "hset", "mid", "H", {"m": "6"}), (12, "rename", "mid", "H", {"to": "new"}), (13, "hset", "old", "H", {"again": "7"}),
+        (14, "setnx", "s", "S", {"*": "lost"}), (15, "append", "fresh", "S", {"*": "text"}), (16, "get", "a", "H", {"x": "no"}),
+    ]
+    got = {r.key: None if r.deleted else r.fields for r in feed_state(spark, feed)}
+    assert got == {"a": {"y": "2", "z": "3"}, "s": {"*": "one two three"}, "gone": None, "old": {"again": "7"}, "mid": None, "new": {"n": "5", "m": "6"}, "fresh": {"*": "text"}}
+    after = feed_state(spark, [*feed, (20, "flushall", None, None, None), (21, "hset", "a", "H", {"q": "1"})])
+    assert {r.key for r in after if not r.deleted} == {"a"} and next(r.fields for r in after if r.key == "a") == {"q": "1"}
+    assert feed_state(spark, []) == []
+
+
+def feed_state(spark, rows):
+    return last_state(spark.createDataFrame(rows, CHANGES)).collect()
+
+
+def test_upkeep_of_fields_over_batches(spark):
+    keeper = Indexer(spark)
+    batches = [[(1, "hset", "a", "H", {"f": "x", "g": "y"}), (2, "hset", "b", "H", {"f": "w"})], [(3, "hdel", "a", "H", {"f": None}), (4, "rename", "b", "H", {"to": "c"})]]
+    for n, rows in enumerate(batches):
+        keeper.apply(spark.createDataFrame(rows, CHANGES), n)
+    assert sorted((r.key, r.token) for r in keeper.postings.collect()) == [("a", "Y"), ("c", "W")]
+    keeper.apply(spark.createDataFrame([(9, "flushdb", None, None, None)], CHANGES), 2)
+    assert keeper.postings.count() == 0
+
+
+def test_single_postings_come_and_go(spark):
+    at = spark.createDataFrame([("k", "H", "F", "T", 1.0), ("k", "H", "F", "U", 2.0)], POSTINGS)
+    more = add(at, spark.createDataFrame([("k", "H", "F", "T", 5.0), ("m", "H", "F", "T", 1.0)], POSTINGS))
+    assert sorted((r.key, r.token, r.score) for r in more.collect()) == [("k", "T", 5.0), ("k", "U", 2.0), ("m", "T", 1.0)]
+    assert [r.key for r in remove(more, more.where("key = 'k'")).collect()] == ["m"]
+
+
+def test_stored_terms_are_in_order(places):
+    assert [r.key for r in places.query("science nature", ordered=True).collect()] == ["louvre", "zoo"]
+
+
 def test_buckets(spark):
     rows = spark.createDataFrame([(1, "2024-01-01 00:01:00", 2.0), (1, "2024-01-01 00:02:00", 4.0), (1, "2024-01-01 00:31:00", 9.0)], "user_id long, ts string, value double").selectExpr("user_id", "cast(ts as timestamp) ts", "value")
     out = shift_register(bucket_averages(rows)).orderBy("bucket").collect()
