@@ -69,7 +69,7 @@ def _e(*predicates: str) -> str:
     return "e AS (" + " UNION ALL ".join(parts) + ")"
 
 
-# -- scans ------------------------------------------------------------------------------------------------------------
+# -- scans
 _text("flagship", FLAGSHIP, "SELECT DISTINCT 'nation/' || n_nationkey AS key, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING'")
 _text("v_all", "g:v()", f"WITH {_V} SELECT key FROM v")
 _text("v_type", "g:v(supplier)", "SELECT 'supplier/' || s_suppkey AS key FROM supplier")
@@ -83,7 +83,7 @@ _text("e_partial", "g:e(lives_in,'customer/1*')", "SELECT 'lives_in:customer/' |
 _text("type_tree_party", "g:v(party)", "WITH RECURSIVE t(k) AS (SELECT 'party' UNION ALL SELECT c.sub FROM t JOIN (VALUES ('party', 'customer'), ('party', 'supplier')) AS c(sup, sub) ON c.sup = t.k), " + _V + " SELECT key FROM v JOIN t ON v.type = t.k")
 _text("implicit_scan", "g:haslabel(n_name).select(n_name)", "SELECT 'nation/' || n_nationkey AS key, n_name FROM nation")
 
-# -- filters ----------------------------------------------------------------------------------------------------------
+# -- filters
 _text("has_segment", "g:v(customer).has(c_mktsegment,'build*')", "SELECT 'customer/' || c_custkey AS key FROM customer WHERE lower(c_mktsegment) LIKE 'build%'")
 _text("hasnot_segment", "g:v(customer).hasnot(c_mktsegment,BUILDING)", "SELECT 'customer/' || c_custkey AS key FROM customer WHERE c_mktsegment <> 'BUILDING'")
 _text("hastoken_segment", "g:v(customer).hastoken(c_mktsegment,building)", "SELECT 'customer/' || c_custkey AS key FROM customer WHERE lower(c_mktsegment) = 'building'")
@@ -100,7 +100,7 @@ _text("where_functions", "g:v(part).where{sqrt(p_retailprice) + pow(p_size,2) *
 _text("where_and_text", "g:v(part).where{p_size > 10 and contains(p_name,widget)}", "SELECT 'part/' || p_partkey AS key FROM part WHERE p_size > 10 AND contains(p_name, 'widget')")
 _text("select_missing", "g:v(party).select(s_name,c_name)", "SELECT 'supplier/' || s_suppkey AS key, s_name, '' AS c_name FROM supplier UNION ALL SELECT 'customer/' || c_custkey, '', c_name FROM customer")
 
-# -- traversals -------------------------------------------------------------------------------------------------------
+# -- traversals
 _text("out_nation", "g:v(customer).gt(c_acctbal,5000).out(lives_in)", "SELECT DISTINCT 'nation/' || c_nationkey AS key FROM customer WHERE c_acctbal > 5000")
 _text("in_orders", "g:v(customer).gt(c_acctbal,9000).in(placed_by)", "SELECT 'order/' || o_orderkey AS key FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 9000")
 _text("inout_region", "g:v(region).inout(in_region)", "SELECT DISTINCT unnest(['nation/' || n_nationkey, 'region/' || n_regionkey]) AS key FROM nation")
@@ -118,7 +118,7 @@ _text("in_triplets", "g:v(region).ine(in_region)", "SELECT 'nation/' || n_nation
 _text("inout_triplets", "g:v(region).inoutt(in_region)", "SELECT 'nation/' || n_nationkey AS subject, 'region/' || n_regionkey AS object, 1.0::DOUBLE AS length, 'nation/' || n_nationkey || '>in_region:nation/' || n_nationkey || ':region/' || n_regionkey || '>region/' || n_regionkey AS path FROM nation", _triplets)
 _text("fuse_out", "g:v(supplier).fuseout(based_in)", "SELECT 'supplier/' || s_suppkey AS subject, 'based_in' AS predicate, 'nation/' || n_nationkey AS object, s_name AS S_s_name, n_name AS O_n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey", lambda d: d.select("subject", "predicate", "object", F.col("props")["S_s_name"].alias("S_s_name"), F.col("props")["O_n_name"].alias("O_n_name")))
 
-# -- set algebra ------------------------------------------------------------------------------------------------------
+# -- set algebra
 _B, _M = "v(customer).has(c_mktsegment,BUILDING)", "v(customer).gt(c_acctbal,5000)"
 _sb, _sm = "c_mktsegment = 'BUILDING'", "c_acctbal > 5000"
 for _name, _op, _where in (("or", "|", f"{_sb} OR {_sm}"), ("and", "&", f"{_sb} AND {_sm}"), ("xor", "|&", f"({_sb}) <> ({_sm})"), ("not", "!", f"{_sb} AND NOT {_sm}")):
@@ -127,7 +127,7 @@ _text("or_and_precedence", f"g:{_B} & ({_M}) | (v(customer).lt(c_acctbal,0))", f
 _text("as_use_and", "g:v(nation).in(lives_in).as(ws).has(c_mktsegment,BUILDING).in(placed_by).out(placed_by).use(ws) &", "SELECT DISTINCT 'customer/' || c_custkey AS key FROM customer WHERE c_mktsegment = 'BUILDING' AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 _text("merge_join_steps", "g:merge(v(party),v(supplier))", "SELECT 'supplier/' || s_suppkey AS key FROM supplier")
 
-# -- grouping ---------------------------------------------------------------------------------------------------------
+# -- grouping
 _text("by_field", "g:v(customer).by(c_mktsegment)", "SELECT c_mktsegment AS key, string_agg(k, ',' ORDER BY k) AS members FROM (SELECT c_mktsegment, 'customer/' || c_custkey AS k FROM customer) GROUP BY ALL", _members)
 _text("by_subject", "g:v(nation).oute(in_region).by(subject)", "SELECT 'nation/' || n_nationkey AS key, 'region/' || n_regionkey AS members FROM nation", _members)
 _text("by_object", "g:v(nation).oute(in_region).by(object)", "SELECT o AS key, string_agg(s, ',' ORDER BY s) AS members FROM (SELECT 'region/' || n_regionkey AS o, 'nation/' || n_nationkey AS s FROM nation) GROUP BY ALL", _members)
@@ -145,7 +145,7 @@ def _trend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _keep("trend_fields", _trend, "WITH t AS (SELECT c_mktsegment AS key, y.x AS x, round(sum(CASE WHEN year(o_orderdate) = 1992 + y.x THEN o_totalprice ELSE 0 END), 2) AS v FROM orders JOIN customer ON o_custkey = c_custkey CROSS JOIN (SELECT unnest(range(5)) AS x) AS y GROUP BY ALL) SELECT key, round(regr_slope(v, x), 2) AS slope, round(regr_intercept(v, x), 2) AS intercept FROM t GROUP BY key")
 
-# -- full text --------------------------------------------------------------------------------------------------------
+# -- full text
 _LABEL, _PREFIX, _TOKEN = analyse.LABEL.replace("'", "''"), analyse._PREFIX, analyse.TOKEN.replace("'", "''")
 _UP = "translate({}, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
 
@@ -216,7 +216,7 @@ def _json_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 _keep("json_postings", _json_postings, "SELECT 'event/' || event_id AS key, 'S' AS kind, upper(k) AS field, json_extract_string(props, '$.' || k) AS token, 1.0::DOUBLE AS score FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
 
 
-# -- paths ------------------------------------------------------------------------------------------------------------
+# -- paths
 def _pairs(d: DataFrame) -> DataFrame:
     return d.select("subject", "object", F.round("length", 4).alias("length"))
 
@@ -246,7 +246,7 @@ _text("multi_match", "g:include(in_region).match(v(nation),v(region),v(nation))"
 _text("maximize", "g:include(in_region,based_in).maximize(weight).match(v('supplier/1'),v(region))", "SELECT 'supplier/' || s_suppkey AS subject, 'region/' || n_regionkey AS object, 2.0::DOUBLE AS length FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey = 1", _pairs)
 
 
-# -- mutations --------------------------------------------------------------------------------------------------------
+# -- mutations
 _EDGE = ("edge_id", "predicate", "subject", "object", "inverse_id", "round(weight, 6) AS weight")
 
 
@@ -314,7 +314,7 @@ _keep("subgraph_export", _export, "WITH " + _e() + _NEAR + _INSIDE)
 _keep("subgraph_deep", lambda s, d: _parts(loaders.subgraph_rows(_engine(s, d).graph, "region/1", 2)), "WITH " + _e() + _DEEP + _INSIDE)
 
 
-# -- loaders ----------------------------------------------------------------------------------------------------------
+# -- loaders
 def _round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers written as a delimited file and loaded again."""
     path = stored(spark.range(1)).inputFiles()[0].rpartition("/")[0] + "-tsv"
@@ -338,7 +338,7 @@ def _graph_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 _keep("load_graph_json", _graph_json, "WITH x AS (SELECT 'n' || n_nationkey AS s, 'r' || n_regionkey AS o, n_name FROM nation) SELECT 'part_of:' || s || ':' || o AS edge_id, 'has:' || o || ':' || s AS inverse_id, 0.5::DOUBLE AS weight, n_name AS name FROM x UNION ALL SELECT 'has:' || o || ':' || s, 'part_of:' || s || ':' || o, 0.5, NULL FROM x")
 
 
-# -- changes, rules, time ---------------------------------------------------------------------------------------------
+# -- changes, rules, time
 def _feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _read(spark, sf_dir, "events")
     fields = F.create_map(F.lit("event_type"), F.col("event_type"), F.lit("value"), F.col("value").cast("string"))

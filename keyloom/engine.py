@@ -46,7 +46,7 @@ class Engine:
         self.scripts: dict[str, tuple[Callable, str]] = {}
         self.queues: dict[str, DataFrame] = {}
 
-    # -- extension --------------------------------------------------------------------------------------------------
+    # -- extension
 
     def step(self, name: str, priority: int = 500, arity: int = 0, writes: bool = False):
         """Registers a traversal step: a function of (DataFrame, *parameters) that gives a DataFrame with a key."""
@@ -74,7 +74,7 @@ class Engine:
         fn, schema = self.scripts[name]
         return self.query(query).mapInPandas(fn, schema)
 
-    # -- index ------------------------------------------------------------------------------------------------------
+    # -- index
 
     def reindex(self) -> DataFrame:
         """Builds the postings of all documents anew and stores them in order of tokens, so that a term reads its own part
@@ -99,7 +99,7 @@ class Engine:
     def describe(self, token: str = "*", field: str | None = None) -> DataFrame:
         return keysets.describe(self.graph.postings, token, field)
 
-    # -- queries ----------------------------------------------------------------------------------------------------
+    # -- queries
 
     @staticmethod
     def parse(text: str) -> str:

@@ -49,7 +49,7 @@ class Context:
     links: list = field(default_factory=list)  # edges that were added, as frames
     extra: dict[str, Callable] = field(default_factory=dict)
 
-    # -- operands ---------------------------------------------------------------------------------------------------
+    # -- operands
 
     def words(self) -> list:
         """The parameters on top of the stack, if any: a list of texts, relations and object tokens."""
