@@ -17,7 +17,7 @@ P = pytest.importorskip("public_tokenizers")
 WORDS = P.path("word_bpe_49k.json")
 
 
-# -- 1 and 5 ----------------------------------------------------------------------------------------------------------
+# -- 1 and 5
 def labelled(spark, n=300, seed=1):
     """Toxic: an insult. Rejected: shouting or one word over and over."""
     rng = random.Random(seed)
@@ -136,7 +136,7 @@ def test_stage_without_labels_keeps_all(spark):
         assert quality.accepted(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == len(awkward())
 
 
-# -- 4 ----------------------------------------------------------------------------------------------------------------
+# -- 4
 def pages(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string")
 
@@ -206,7 +206,7 @@ def test_fixity_of_awkward_tables(spark, tmp_path):
     assert found[3] == [(0, 0, 7)] and 4 not in found and len(found[5]) == 1
 
 
-# -- 6 ----------------------------------------------------------------------------------------------------------------
+# -- 6
 def test_merging_by_rank_is_proven_for_the_vocabulary():
     assert packing.ranked_vocabulary(WORDS)
 
@@ -299,7 +299,7 @@ def test_parts_are_closed_by_the_search():
     assert squares(found) > squares(start)
 
 
-# -- 7 ----------------------------------------------------------------------------------------------------------------
+# -- 7
 @pytest.mark.parametrize("bucket_bytes", [1 << 24, 20_000])
 def test_shuffle(spark, tmp_path, bucket_bytes):
     rows = awkward() + [(10_000 + i, f"t{i}") for i in range(500)]
@@ -341,7 +341,7 @@ def test_many_equal_rows_fill_no_bucket(spark, tmp_path):
     assert len(sizes) > 10 and max(sizes) < 1.6 * sum(sizes) / len(sizes)
 
 
-# -- the pipeline -----------------------------------------------------------------------------------------------------
+# -- the pipeline
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

@@ -23,7 +23,7 @@ def canon(text):
     return re.sub(r"\s+", " ", nfkc(nfkc(text).casefold())).strip()
 
 
-# -- 2 ----------------------------------------------------------------------------------------------------------------
+# -- 2
 def edited(rows):
     """(id, text) -> the edited text, by brute force; for repeated ids the smallest text stands."""
     by_id = {}
@@ -76,7 +76,7 @@ def test_successors_over_wide_ids(spark):
     assert got == dict(zip(ids, ids[1:] + ids[:1]))
 
 
-# -- 3 ----------------------------------------------------------------------------------------------------------------
+# -- 3
 def removed(rows, n=20):
     """Brute force; rows with one id in the order of their texts' hashes, equal rows being one place."""
     order = {(i if i is not None else -(2**63), t or ""): None for i, t in rows}
@@ -131,7 +131,7 @@ def test_deduplicate_keeps_columns(spark):
     assert substrings.deduplicate(docs(spark, [])).count() == 0
 
 
-# -- 8 ----------------------------------------------------------------------------------------------------------------
+# -- 8
 def test_position_sets_cover():
     for bits in (0, 2, 4, 6):
         sets = simhash.position_sets(bits)
@@ -243,7 +243,7 @@ def test_near_groups_are_those_of_brute_force(spark, options):
     assert {r.doc_id: r.component_id for r in simhash.near_groups(docs(spark, rows), **options).collect()} == want
 
 
-# -- 9 ----------------------------------------------------------------------------------------------------------------
+# -- 9
 def base_by_hand(t):
     def luhn(d):
         total = sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(d)))
@@ -376,7 +376,7 @@ def test_pii_edges(spark):
     assert sorted(str(r.text) for r in same.collect()) == sorted(str(t) for _, t in awkward())
 
 
-# -- 10 ---------------------------------------------------------------------------------------------------------------
+# -- 10
 def contaminated(rows, items, n=8):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     grams = {}
