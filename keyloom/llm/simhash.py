@@ -331,20 +331,19 @@ def _members(list_cap: int):
         return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(nodes), pa.array([star] * len(keys), pa.int64())], ["key", "node", "star"])
 
     def run(batches):
-        rest, size, star = [], 0, None  # of the last key, which may go on
+        key, rest, size, star = None, [], 0, None  # of the last key, which may go on
 
         def flush():
-            out = []
-            if size and star is None:
-                out.append(names(*(np.concatenate(x) for x in zip(*rest))))
-            return out
+            if star is not None:
+                return [batch_of(k, n, star) for k, n in rest]
+            return [names(*(np.concatenate(x) for x in zip(*rest)))] if rest else []
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys, nodes = batch.column("key").to_numpy(), batch.column("node").to_numpy()
             low = 0
-            if rest and rest[0][0][0] == keys[0]:  # the held list goes on
+            if size and key == keys[0]:  # the held list goes on
                 low = int(np.searchsorted(keys, keys[0], "right"))
                 rest.append((keys[:low], nodes[:low]))
                 size += low
@@ -353,12 +352,11 @@ def _members(list_cap: int):
                 yield from flush()
                 if low < last:
                     yield names(keys[low:last], nodes[low:last])
-                rest, size, star = [(keys[last:], nodes[last:])], len(keys) - last, None
+                key, rest, size, star = keys[-1], [(keys[last:], nodes[last:])], len(keys) - last, None
             if size > list_cap:
                 star = int(rest[0][1][0]) if star is None else star
-                for k, n in rest:
-                    yield batch_of(k, n, star)
-                rest, size = [(keys[-1:], nodes[:0])], list_cap
+                yield from flush()
+                rest = []
         yield from flush()
 
     return run

@@ -7,6 +7,7 @@ import re
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -218,6 +219,37 @@ def test_one_long_list(spark):
     assert got.count(0) >= 396
 
 
+@pytest.mark.parametrize("size", [1, 3, 4, 7, 50])
+def test_lists_over_the_cap_go_over_any_batches(size):
+    """All nodes of a long list are linked to its first one, wherever batches end; other lists are not touched."""
+    rows = [(1, 1), (1, 2), *((5, k) for k in range(30)), (9, 1), (9, 2), *((11, k) for k in range(40, 60))]
+    batches = [pa.RecordBatch.from_pydict({"key": [k for k, _ in part], "node": [n for _, n in part]}) for part in (rows[i : i + size] for i in range(0, len(rows), size))]
+    got = [r for b in simhash._members(4)(iter(batches)) for r in b.to_pylist()]
+    linked, names = {k: {k} for k in range(60)}, {}
+    for r in got:
+        names.setdefault(r["key"], []).append(r["node"])
+    for nodes in names.values():
+        for n in nodes:
+            linked[nodes[0]].add(n)
+    assert linked[0] == set(range(30)) and linked[40] == set(range(40, 60)) and 2 in linked[1]
+    assert size == 50 or all(r["star"] in (0, 40) for r in got if r["node"] not in (1, 2))
+
+
+def test_near_groups_with_lists_over_many_batches(spark):
+    """Lists over the cap that fill several Arrow batches, as in large tables."""
+    rng = random.Random(10)
+    base = [str(rng.randint(0, 9999)) for _ in range(60)]
+    rows = [(i, " ".join([*base, "x" + str(i)])) for i in range(90)] + [(1000 + i, " ".join(str(rng.randint(0, 9999)) for _ in range(60))) for i in range(20)]
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "8")
+    try:
+        got = {r.doc_id: r.component_id for r in simhash.near_groups(docs(spark, rows), list_cap=10).collect()}
+    finally:
+        spark.conf.set(key, before)
+    assert got == {i: 0 if i < 90 else i for i, _ in rows}
+
+
 @pytest.mark.parametrize("options", [{}, {"list_cap": 2}, {"group_bytes": 2000}, {"list_cap": 3, "group_bytes": 9000}])
 def test_near_groups_are_those_of_brute_force(spark, options):
     """Changed words scattered over a text put pairs on both sides of 0.8; groups are those of the exact similarity."""
