@@ -1,7 +1,8 @@
 """The corpus pipeline: documents go through five stages, each written as Parquet and read again by the next.
 
 quality      documents that the classifier rejects go
-near_dedup   one document of each group of near-duplicates stays (five-word shingles, a similarity of 0.8 or more)
+near_dedup   one document of each group of near-duplicates stays (fingerprints at 4 or fewer bits, as operator 8 joins
+             them, or five-word shingles with a similarity of 0.8 or more)
 decontaminate  documents with two or more test items go; hit spans are cut out of the others
 pii          personal data and disclosing terms are rewritten
 packing      pieces of at most 2048 tokens with their places in sequences

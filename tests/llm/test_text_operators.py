@@ -191,6 +191,43 @@ def test_keep_one_tells_texts_of_one_id_apart(spark):
     assert sorted((r.doc_id, r.text) for r in got.collect()) == sorted({rows[0], *rows[2:]})
 
 
+@pytest.mark.parametrize("options", [{}, {"list_cap": 2}])
+def test_pipeline_stage_links_by_fingerprints_and_by_shingles(spark, options):
+    """The stage keeps the smallest id of each component of both relations, each by brute force on its own. Words changed
+    in texts that mostly repeat a line leave the fingerprint, but not the set of shingles; those scattered over prose don't
+    leave the fingerprint."""
+    import corpus_pipeline
+
+    rng = random.Random(14)
+    word = lambda: rng.choice("bcdfg") + str(rng.randint(0, 5000))
+    rows = []
+    for g in range(12):
+        line = [word() for _ in range(7)] * 60
+        rows += [(100 * g + c, " ".join(line + [word() for _ in range(12)])) for c in range(3)]
+        base = [word() for _ in range(200)]
+        rows.append((100 * g + 10, " ".join(base)))
+        for c in range(11, 14):
+            w = list(base)
+            for k in rng.sample(range(200), 4):
+                w[k] = word()
+            rows.append((100 * g + c, " ".join(w)))
+    prints = [(i, by_hand(t)) for i, t in rows]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    only_prints, only_sets, want = 0, 0, {i: i for i, _ in rows}
+    for (a, x), (b, y) in itertools.combinations(sorted(prints), 2):
+        by_print = (x ^ y).bit_count() <= 4
+        by_set = len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8
+        only_prints += by_print and not by_set
+        only_sets += by_set and not by_print
+        if (by_print or by_set) and want[a] != want[b]:
+            low, high = sorted((want[a], want[b]))
+            want = {i: low if r == high else r for i, r in want.items()}
+    assert only_prints > 10 and only_sets > 10
+    df = docs(spark, [*rows, (7000, rows[0][1]), (7001, None), (7002, " "), (7003, "")])
+    got = simhash.keep_one(df, **options) if options else corpus_pipeline.near_dedup(spark, df, None)
+    assert sorted(r.doc_id for r in got.collect()) == sorted({*want.values(), 7001})
+
+
 def test_near_groups(spark):
     """Copies with 1 word in 100 changed (similarity 0.9) join; halves of one text (0.33) and strangers don't."""
     rng = random.Random(8)
