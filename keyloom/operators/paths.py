@@ -4,7 +4,9 @@ A hop goes vertex - edge - vertex in two halves; its cost is the weight of the e
 `minimize` gives a true shortest path of any number of hops. Ties go to fewer hops, then, from the end back, to the
 smaller edge. All sources are solved in one loop of relaxations keyed by (source, node) on narrow rows, until no node
 gains; a source whose targets are all reached goes no further than the costliest of them. A round writes what gained in
-it only. Paths are then followed back from the targets, so no row of the loop carries one.
+it only. Paths are then followed back from the targets, so no row of the loop carries one. Hops go both ways at one cost,
+so where the targets are fewer the loop starts from them: its rows are the smaller set times the nodes, never the larger.
+Paths then grow from the targets, only over nodes that lie on a shortest path from a source, and the least by edges stays.
 
 `nomatch` asks for components, not for paths. `maximize` is a heuristic, as the longest simple path is NP-hard: a loop
 keeps the costliest simple path of up to `max_hops` hops for each node.
@@ -83,6 +85,8 @@ def shortest(graph: Graph, sources: DataFrame, half: DataFrame, targets: DataFra
     half = stored(half)
     if half.where("w < 0").limit(1).count():
         raise ValueError("costs to minimise can't be negative")
+    if targets.count() < sources.count():
+        return _from_targets(sources, half, targets)
     best = stored(reached(sources, half, targets))
     pairs = best.join(targets.select(F.col("key").alias("node")), "node", "left_semi").where("source <> node")
     start = F.array(_step(F.col("source"), F.lit(0.0)), ).cast(PATH)
@@ -100,6 +104,34 @@ def shortest(graph: Graph, sources: DataFrame, half: DataFrame, targets: DataFra
     return rows.select("source", F.col("target").alias("node"), F.col("total").alias("cost"), F.col("length").alias("hops"), F.concat(start, "path").alias("path"))
 
 
+def _from_targets(sources: DataFrame, half: DataFrame, targets: DataFrame) -> DataFrame:
+    """What `shortest` gives, by a loop that starts from the targets. half: stored."""
+    best = stored(reached(targets, half, sources)).select(F.col("source").alias("target"), "node", "cost", "hops")
+    ends = sources.select(F.col("key").alias("node"))
+    pairs = stored(best.join(ends, "node", "left_semi").where("node <> target"))
+    most = pairs.agg(F.max("hops")).first()[0] or 0
+    # the nodes that lie on a shortest path, from the farthest sources on; a level holds those of as many hops
+    levels, gains = {most + 1: pairs.limit(0)}, "round(cost + w, 9) = round(_c, 9)"
+    for hops in range(most, 0, -1):
+        far = levels[hops + 1].select("target", "node", F.col("cost").alias("_c"))
+        near = best.where(F.col("hops") == hops).join(half.select(F.col("b").alias("node"), "a", "w"), "node").join(far.withColumnRenamed("node", "a"), ["target", "a"]).where(gains)
+        levels[hops] = stored(pairs.where(F.col("hops") == hops).select("target", "node", "cost", "hops").unionByName(near.select("target", "node", "cost", "hops")).distinct())
+    at = targets.select(F.col("key").alias("target"), F.col("key").alias("node"), F.lit(0.0).alias("cost"), F.array().cast("array<struct<edge_id: string, a: string, w: double>>").alias("back"))
+    done = []
+    for hops in range(1, most + 1):
+        far = levels[hops].select("target", F.col("node").alias("a"), F.col("cost").alias("_c"))
+        out = at.join(half, at.node == half.b).join(far, ["target", "a"]).where(gains)
+        at = stored(out.groupBy("target", F.col("a").alias("node")).agg(F.min("_c").alias("cost"), F.min(F.concat("back", F.array(F.struct("edge_id", "a", "w")))).alias("back")))
+        done.append(at.join(ends, "node", "left_semi").withColumn("hops", F.lit(hops)))
+    if not done:
+        return pairs.select(F.col("node").alias("source"), F.col("target").alias("node"), "cost", "hops", F.lit(None).cast(PATH).alias("path"))
+    rows = reduce(DataFrame.unionByName, done)
+    nodes = F.concat(F.slice(F.transform(F.reverse("back"), lambda x: x["a"]), 2, F.size("back")), F.array("target"))
+    steps = F.transform(F.arrays_zip(F.reverse("back").alias("e"), nodes.alias("n")), lambda x: F.array(_step(x["e"]["edge_id"], x["e"]["w"] / 2), _step(x["n"], x["e"]["w"] / 2)))
+    path = F.concat(F.array(_step(F.col("node"), F.lit(0.0))), F.flatten(steps)).cast(PATH)
+    return rows.select(F.col("node").alias("source"), F.col("target").alias("node"), "cost", "hops", path.alias("path"))
+
+
 def costliest(graph: Graph, sources: DataFrame, half: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
     """(source, node, cost, hops, path): the costliest simple paths found within max_hops."""
     half = stored(half)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keyloom.engine import Engine
+from keyloom.operators import paths
 from keyloom.plans.lexer import QuerySyntaxError
 from keyloom.sources.graph import EDGES, TYPE_TREE, VERTICES, Graph
 from keyloom.sources.loaders import as_documents, load_graph_json, load_text, subgraph
@@ -116,6 +117,21 @@ def test_paths_are_those_of_brute_force(spark):
     assert {(r.subject, r.object) for r in eng.query("g:nomatch(v(n),v(n))").collect()} == lost
 
 
+def test_few_targets_of_many_sources(spark, monkeypatch):
+    """The loop starts from the smaller set: as many rows as it reaches nodes. Ties go as they do from a single source."""
+    rng = random.Random(5)
+    pairs = {tuple(sorted(rng.sample([f"n{i}" for i in range(12)], 2))) for _ in range(30)}
+    e = edges(spark, [("r", "r_", a, b, float(rng.randint(1, 2))) for a, b in sorted(pairs)] + [("r", "r_", "lone", "other", 1.0)])
+    eng = Engine(spark, Graph.of(spark, vertices(spark, [(f"n{i}", "n", {}) for i in range(12)] + [("lone", "n", {}), ("other", "m", {})]), e))
+    rows, whole = [], paths.reached
+    monkeypatch.setattr(paths, "reached", lambda *a: (rows.append((out := whole(*a)).count()), out)[1])
+    named = lambda d: {(r.subject, r.object): (r.length, [tuple(s) for s in r.path]) for r in d.collect()}
+    got = named(eng.query("g:minimize(weight).match(v(n),v(n0,other))"))
+    assert rows == [12 + 2]
+    single = named(eng.query("g:minimize(weight).match(v(n3),v(n0,other))")) | named(eng.query("g:minimize(weight).match(v(n7),v(n0,other))"))
+    assert single == {p: x for p, x in got.items() if p[0] in ("n3", "n7")} and ("lone", "other") in got
+
+
 def test_multi_match(spark):
     e = edges(spark, [("r", "r_", "a", "b", 1.0), ("r", "r_", "b", "c", 1.0)])
     eng = Engine(spark, Graph.of(spark, vertices(spark, [(k, "n", {}) for k in "abc"]), e))
