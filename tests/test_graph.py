@@ -130,6 +130,7 @@ def test_few_targets_of_many_sources(spark, monkeypatch):
     assert rows == [12 + 2]
     single = named(eng.query("g:minimize(weight).match(v(n3),v(n0,other))")) | named(eng.query("g:minimize(weight).match(v(n7),v(n0,other))"))
     assert single == {p: x for p, x in got.items() if p[0] in ("n3", "n7")} and ("lone", "other") in got
+    assert all(sum(i for _, i in path) == length for length, path in got.values())
 
 
 def test_multi_match(spark):
