@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import functions as F
 
-from ..functions.expr import COMPARISONS, atof, compare, glob
+from ..functions.expr import COMPARISONS, atof, compare, glob, token_number
 from ..functions.objects import compile_object, fields_of, trend, words_of
 from ..operators import keysets, mutate, paths
 from ..operators import traverse as tr
@@ -216,7 +216,7 @@ def _range(c, op, dialect):
         if op == "contains":
             rows = rows.where(F.contains(F.col("token"), F.lit(value.upper())))
         else:
-            rows = rows.where(F.substring("token", 1, 1).between("0", "9") & atof(F.col("token")).between(float(words[1]), float(words[2])))
+            rows = rows.where(F.substring("token", 1, 1).between("0", "9") & token_number(F.col("token")).between(float(words[1]), float(words[2])))
         c.push(Relation(rows.groupBy("key", "kind").agg(F.sum("score").alias("score")), POSTING))
         return
     if op == "contains":

@@ -49,6 +49,16 @@ def test_repeats_divide_by_the_square(spark):
     assert analyse.postings(e.graph.documents, "unweighted").where("token = 'A'").first().score == 1.5
 
 
+def test_tokens_have_no_exponent(spark):
+    """A hash in quotes, such as 1E1F, is no power of ten."""
+    e = engine(spark, [("hash", "S", '"1E1F" "9E9"', None), ("eleven", "S", "11 95.5", None), ("long", "S", f'"{"7" * 400}"', None)])
+    assert keys_of(e.query("between('*',10,20)")) == ["eleven"]
+
+
+def keys_of(rows):
+    return sorted(r.key for r in rows.collect())
+
+
 def test_nulls_and_empty(spark):
     assert engine(spark, [("d", "S", None, None), ("e", "S", "", None)]).graph.postings.count() == 0
     e = Engine(spark, Graph.of(spark, documents=spark.createDataFrame([], DOCUMENTS)))
