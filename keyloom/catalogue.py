@@ -191,7 +191,7 @@ _sum = lambda where: f"SELECT key, kind, sum(score) AS score FROM p WHERE {where
 _out = lambda body, where="true": f" SELECT key, kind, round(score, 6) AS score FROM ({body}) WHERE {where}"
 _keep("postings_weighted", lambda s, d: analyse.postings(driver_graph(s, d).documents).withColumn("score", F.round(F.col("score") + 1e-9, 6)), _P + " SELECT key, kind, field, token, round(score + 1e-9, 6) AS score FROM p")
 _keep("postings_unweighted", lambda s, d: analyse.postings(driver_graph(s, d).documents, "unweighted").withColumn("score", F.round(F.col("score") + 1e-9, 6)), _P + " SELECT key, kind, field, token, round(w + 1e-9, 6) AS score FROM p")
-_keep("token_tally", lambda s, d: analyse.tally(analyse.fields(driver_graph(s, d).documents)).groupBy("field", "token").agg(F.sum("n").alias("n"), F.round(F.sum("weight") + 1e-9, 4).alias("weight")), _P + " SELECT field, token, CAST(sum(n) AS BIGINT) AS n, round(sum(w) + 1e-9, 4) AS weight FROM p GROUP BY ALL")
+_keep("token_tally", lambda s, d: analyse.token_tally(analyse.fields(driver_graph(s, d).documents)).select("field", "token", "n", F.round(F.col("weight") + 1e-9, 4).alias("weight")), _P + " SELECT field, token, CAST(sum(n) AS BIGINT) AS n, round(sum(w) + 1e-9, 4) AS weight FROM p GROUP BY ALL")
 _ft("ft_term", "idiot", _out(_sum("token = 'IDIOT'")))
 _ft("ft_glob", "'anti*'", _out(_sum("token LIKE 'ANTI%'")))
 _ft("ft_field_eq", "lang == de", _out(_sum("field = 'LANG' AND token = 'DE'")))

@@ -77,10 +77,10 @@ class Engine:
     # -- index
 
     def reindex(self) -> DataFrame:
-        """Builds the postings of all documents anew and stores them in order of tokens, so that a term reads its own part
-        of the files only."""
+        """Builds the postings of all documents anew and stores them where they are made, each file in order of tokens, so
+        that a term reads its own pages of the files only. No posting is shuffled."""
         made = analyse.postings(self.graph.documents, self.scoring)
-        self.graph = self.graph.changed(postings=stored(made.repartitionByRange("token", "field").sortWithinPartitions("token", "field")))
+        self.graph = self.graph.changed(postings=stored(made.sortWithinPartitions("token", "field")))
         return self.graph.postings
 
     def use_index(self, postings: DataFrame) -> None:

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from .expr import _LOWER, _UPPER, upper
 
+#: Bytes of values that a task tallies, so that its groups stay in memory.
+PART_BYTES = 8 << 20
 _BLANK = r" \t\n\r\f\x0B"
 _SPECIAL = r"""\[\](){};:<=>!+^/\\?|&%,*.\-"`"""
 TOKEN = rf'"[^"]*"|[0-9]+(?:\x01[0-9]+)?|[^{_BLANK}{_SPECIAL}0-9][^{_BLANK}{_SPECIAL}]*'
@@ -65,21 +67,40 @@ def fields(documents: DataFrame) -> DataFrame:
     return rows.where(~is_json).unionByName(json_fields(rows.where(is_json)))
 
 
-def tally(rows: DataFrame) -> DataFrame:
-    """(key, kind, field, token, weight, n): one shuffle, on the key first, so that a key's upkeep stays in one place."""
+def parts_of(documents: DataFrame) -> int:
+    """Tasks to deal documents to, by what they hold: at most PART_BYTES on average, and all cores where there is enough."""
+    said = F.coalesce(F.octet_length("text"), F.lit(0)) + F.coalesce(F.aggregate(F.map_values("props"), F.lit(0), lambda n, v: n + F.coalesce(F.octet_length(v), F.lit(0))), F.lit(0))
+    total = documents.agg(F.sum(said.cast("long"))).first()[0] or 0
+    cores = documents.sparkSession.sparkContext.defaultParallelism
+    return max(1 + total // PART_BYTES, min(cores, 1 + total // (PART_BYTES // 8)))
+
+
+def tokens(rows: DataFrame) -> DataFrame:
+    """(key, kind, field, token, w) for each place of a token."""
     whole = F.regexp_replace("value", r"([0-9])\.([0-9])", "$1\u0001$2")
     said = rows.select("key", "kind", "field", F.explode(F.split(whole, r"[.;*]")).alias("s"))
     label = F.when(F.contains("s", F.lit(":")) | F.contains("s", F.lit("=")), F.regexp_extract("s", LABEL, 1)).otherwise("")
     said = said.select("key", "kind", "field", "s", label.alias("label"))
     part = F.explode(F.when(F.col("label") != "", F.array(F.regexp_replace("s", _PREFIX, ""))).otherwise(F.split("s", ",")))
     said = said.select("key", "kind", F.when(F.col("label") != "", F.col("label")).otherwise(F.col("field")).alias("field"), part.alias("s"))
-    said = said.select("key", "kind", "field", F.array_remove(F.regexp_extract_all("s", F.lit(TOKEN), F.lit(0)), '""').alias("t"))
+    said = said.select("key", "kind", upper(F.col("field")).alias("field"), F.array_remove(F.regexp_extract_all("s", F.lit(TOKEN), F.lit(0)), '""').alias("t"))
     each = said.select("key", "kind", "field", (1 / F.greatest(F.size("t"), F.lit(1))).alias("w"), F.explode("t").alias("token"))
     clean = F.translate("token", "\u0001" + _LOWER + '"', "." + _UPPER)  # quotes go
-    each = each.select("key", "kind", upper(F.col("field")).alias("field"), clean.alias("token"), "w")
+    return each.select("key", "kind", "field", clean.alias("token"), "w")
+
+
+def tally(rows: DataFrame, parts: int) -> DataFrame:
+    """(key, kind, field, token, weight, n). Values are dealt out by key before they are cut up, so that only texts are
+    shuffled and never their many tokens, and a key's upkeep stays in one place."""
+    each = tokens(rows.repartition(parts, "key"))
     return each.groupBy("key", "kind", "field", "token").agg(F.sum("w").alias("weight"), F.count("*").alias("n"))
 
 
+def token_tally(rows: DataFrame) -> DataFrame:
+    """(field, token, weight, n) over all keys: tokens are summed up where they are found, without their keys."""
+    return tokens(rows).groupBy("field", "token").agg(F.sum("w").alias("weight"), F.count("*").alias("n"))
+
+
 def postings(documents: DataFrame, scoring: str = "weighted") -> DataFrame:
     score = F.col("weight") / (F.col("n") * F.col("n")) if scoring == "weighted" else F.col("weight")
-    return tally(fields(documents)).select("key", "kind", "field", "token", score.alias("score"))
+    return tally(fields(documents), parts_of(documents)).select("key", "kind", "field", "token", score.alias("score"))

@@ -60,6 +60,26 @@ def keys_of(rows):
     return sorted(r.key for r in rows.collect())
 
 
+def exchanges(df):
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if " Exchange " in line]
+
+
+def test_postings_are_not_shuffled(spark):
+    """Texts go by key, once; the tokens of a key that stands in several rows still come together."""
+    e = engine(spark, [("d", "S", "a b", None), ("d", "S", "a", {"x": "label"}), ("f", "S", "a", None)])
+    made = analyse.tally(analyse.fields(e.graph.documents), 3)
+    assert len(exchanges(made)) == 1 and "hashpartitioning(key#" in exchanges(made)[0] and "REPARTITION" in exchanges(made)[0]
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, analyse.tally(analyse.fields(e.graph.documents), 1).collect()))
+    assert {(r.key, r.field, r.token): r.score for r in e.graph.postings.collect()} == {("d", "*", "A"): 1.5 / 4, ("d", "*", "B"): 0.5, ("d", "X", "LABEL"): 1.0, ("f", "*", "A"): 1.0}
+
+
+def test_the_tally_of_tokens_drops_keys_first(spark):
+    rows = analyse.fields(spark.createDataFrame([("d", "S", "a b", None), ("f", "S", "a", {"x": "a"})], DOCUMENTS))
+    told = analyse.token_tally(rows)
+    assert len(exchanges(told)) == 1 and "key" not in exchanges(told)[0]
+    assert {(r.field, r.token): (r.n, r.weight) for r in told.collect()} == {("*", "A"): (2, 1.5), ("*", "B"): (1, 0.5), ("X", "A"): (1, 1.0)}
+
+
 def test_nulls_and_empty(spark):
     assert engine(spark, [("d", "S", None, None), ("e", "S", "", None)]).graph.postings.count() == 0
     e = Engine(spark, Graph.of(spark, documents=spark.createDataFrame([], DOCUMENTS)))
