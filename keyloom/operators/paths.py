@@ -28,6 +28,8 @@ from .traverse import edges_of
 MAX_HOPS = 32
 #: Rounds of the loop after which what they gained is merged.
 MERGE_ROUNDS = 12
+#: Nodes that a search with targets goes on from at first; doubled with each portion.
+PORTION = 4096
 PATH = "array<struct<key: string, increment: double>>"
 
 
@@ -55,25 +57,39 @@ def _best(rounds: list[DataFrame]) -> DataFrame:
 def reached(sources: DataFrame, half: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """(source, node, cost, hops) of the nodes that the sources reach; all that matter for the targets, if there are any.
 
-    half: stored. Ends as soon as no node gains, which non-negative costs make sure of."""
+    half: stored. Ends as soon as no node gains, which non-negative costs make sure of. Where many nodes wait, the cheapest
+    go first, in portions that double, so that the targets' costs bound the search before it spreads; no node is left out
+    but those that cost more than all targets of their source."""
     front = stored(sources.select(F.col("key").alias("source"), F.col("key").alias("node"), F.lit(0.0).alias("cost"), F.lit(0).alias("hops")).distinct())
-    rounds = [front]
-    n = targets.count() if targets is not None else 0
-    while True:
-        moved = front.join(half, front.node == half.a).select("source", F.col("b").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), (F.col("hops") + 1).alias("hops"))
+    rounds, portion, limit, waiting = [front], PORTION, None, front
+    n, starts = (targets.count(), front.count()) if targets is not None else (0, 0)
+    while size := waiting.count():
         known = _best(rounds)
+        within = lambda d: d
         if n:
-            ends = known.join(targets.select(F.col("key").alias("node")), "node").groupBy("source").agg(F.count("*").alias("n"), F.max("cost").alias("most"))
-            moved = moved.join(ends.where(F.col("n") >= n).select("source", "most"), "source", "left").where("most IS NULL OR round(cost, 9) <= round(most, 9)").drop("most")
-        moved = _best([moved])
+            ends = known.join(targets.select(F.col("key").alias("node")), "node").groupBy("source").agg(F.count("*").alias("n"), F.max("cost").alias("most")).where(F.col("n") >= n).select("source", "most")
+            if size > portion:  # edges that cost more than any bound lead nowhere
+                ends = stored(ends)
+                count, most = ends.agg(F.count("*"), F.max("most")).first()
+                if count == starts and (limit is None or most < limit / 2):
+                    half, limit = stored(half.where(F.round("w", 9) <= round(most, 9) + 1e-9)), most
+            within = lambda d: d.join(ends, "source", "left").where("most IS NULL OR round(cost, 9) <= round(most, 9)").drop("most")
+        front, rest = within(waiting), None
+        if n and size > portion:
+            front = stored(front)
+            step = front.agg(F.percentile_approx("cost", min(1.0, portion / size), F.lit(10_000))).first()[0]
+            front, rest = front.where(F.col("cost") <= step), front.where(F.col("cost") > step)
+            portion *= 2
+        moved = front.join(half, front.node == half.a).select("source", F.col("b").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), (F.col("hops") + 1).alias("hops"))
+        moved = _best([within(moved)])
         old = known.select("source", "node", F.col("cost").alias("_c"), F.col("hops").alias("_h"))
         gain = "_c IS NULL OR round(cost, 9) < round(_c, 9) OR round(cost, 9) = round(_c, 9) AND hops < _h"
-        front = stored(moved.join(old, ["source", "node"], "left").where(gain).select("source", "node", "cost", "hops"))
-        if front.limit(1).count() == 0:
-            return _best(rounds)
-        rounds.append(front)
+        gained = stored(moved.join(old, ["source", "node"], "left").where(gain).select("source", "node", "cost", "hops"))
+        waiting = gained if rest is None else stored(_best([gained, rest]))
+        rounds.append(gained)
         if len(rounds) > MERGE_ROUNDS:
             rounds = [stored(_best(rounds))]
+    return _best(rounds)
 
 
 def _step(key: Column, increment: Column) -> Column:

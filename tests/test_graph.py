@@ -133,6 +133,22 @@ def test_few_targets_of_many_sources(spark, monkeypatch):
     assert all(sum(i for _, i in path) == length for length, path in got.values())
 
 
+def test_the_cheapest_go_first(spark, monkeypatch):
+    """Costs to the targets end the search before the dear part of the graph is entered, and stay right."""
+    monkeypatch.setattr(paths, "PORTION", 1)
+    half = lambda rows: spark.createDataFrame([(x, y, f"{a}{b}", w) for a, b, w in rows for x, y in ((a, b), (b, a))], "a string, b string, edge_id string, w double")
+    named = lambda *names: spark.createDataFrame([(x,) for x in names], "key string")
+    dear = [("s", "m", 1.0), ("m", "t", 1.0), ("s", "x", 100.0), *[("x", f"y{i}", 100.0) for i in range(30)]]
+    assert sorted(r.node for r in paths.reached(named("s"), half(dear), named("t")).collect()) == ["m", "s", "t", "x"]
+    rng = random.Random(9)
+    pairs = {tuple(sorted(rng.sample(range(12), 2))): float(rng.randint(0, 9)) for _ in range(24)}
+    best = {(i, j): 0.0 if i == j else pairs.get((min(i, j), max(i, j)), float("inf")) for i in range(12) for j in range(12)}
+    for k in range(12):
+        best |= {(i, j): min(c, best[i, k] + best[k, j]) for (i, j), c in best.items()}
+    found = paths.reached(named("0", "1"), half([(str(a), str(b), w) for (a, b), w in pairs.items()]), named("7", "8", "9")).collect()
+    assert {(r.source, r.node): r.cost for r in found if r.node in "789"} == {(str(i), str(j)): best[i, j] for i in (0, 1) for j in (7, 8, 9) if best[i, j] < float("inf")}
+
+
 def test_multi_match(spark):
     e = edges(spark, [("r", "r_", "a", "b", 1.0), ("r", "r_", "b", "c", 1.0)])
     eng = Engine(spark, Graph.of(spark, vertices(spark, [(k, "n", {}) for k in "abc"]), e))
