@@ -40,8 +40,11 @@ def half_edges(graph: Graph, include: list[str], exclude: list[str], cost: Colum
     edges = edges_of(graph, include) if include else graph.edges
     if exclude:
         out = [x for p in exclude for x in graph.closure("E", p)]
-        twins = edges_of(graph, exclude).select(F.col("inverse_id").alias("edge_id"))
-        edges = edges.where(~F.col("predicate").isin(out)).join(twins, "edge_id", "left_anti")
+        if graph.twins and not any(c in p for p in exclude for c in "*?["):  # twins are told by their predicates
+            edges = edges.where(~F.col("predicate").isin([*out, *(graph.twins[p] for p in out if p in graph.twins)]))
+        else:
+            twins = edges_of(graph, exclude).select(F.col("inverse_id").alias("edge_id"))
+            edges = edges.where(~F.col("predicate").isin(out)).join(twins, "edge_id", "left_anti")
     w = cost if cost is not None else F.lit(1.0)
     edges = edges.select("edge_id", "subject", "object", w.cast("double").alias("w"))
     both = edges.select(F.col("subject").alias("a"), F.col("object").alias("b"), "edge_id", "w").unionByName(edges.select(F.col("object").alias("a"), F.col("subject").alias("b"), "edge_id", "w"))

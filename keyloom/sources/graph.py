@@ -49,15 +49,16 @@ class Graph:
     postings: DataFrame | None = None
     typed: dict[str, DataFrame] = field(default_factory=dict)  # by type: key, type and stored columns
     ends: dict[str, tuple[str, str]] = field(default_factory=dict)  # by predicate: types of subject and object
+    twins: dict[str, str] = field(default_factory=dict)  # by predicate: the one of its twins, where each edge has one
 
     @classmethod
     def of(cls, spark: SparkSession, vertices: DataFrame | None = None, edges: DataFrame | None = None, **rest) -> Graph:
         return cls(spark, vertices if vertices is not None else empty(spark, VERTICES), edges if edges is not None else empty(spark, EDGES), **rest)
 
     def changed(self, **parts) -> Graph:
-        """A new snapshot. Typed views describe the stored tables, so they end with the first write."""
+        """A new snapshot. Typed views and twins describe the stored tables, so they end with the first write."""
         if "vertices" in parts or "edges" in parts:
-            parts = {"typed": {}, "ends": {}} | parts
+            parts = {"typed": {}, "ends": {}, "twins": {}} | parts
         return replace(self, **parts)
 
     @cached_property
@@ -139,4 +140,4 @@ def driver_graph(spark: SparkSession, sf_dir: str) -> Graph:
     types |= {inverse[p]: ends[::-1] for p, ends in types.items()}
     tree = [("V", "party", "customer"), ("V", "party", "supplier"), ("V", "place", "region"), ("V", "place", "nation"), ("V", "thing", "part"), ("V", "thing", "order"), ("E", "located", "lives_in"), ("E", "located", "based_in")]
     docs = read("documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("key"), F.lit("S").alias("kind"), "text", F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source")).alias("props"))
-    return Graph(spark, vertices, union([edge_rows(*t) for t in triplets]), spark.createDataFrame(tree, TYPE_TREE), docs, None, typed, types)
+    return Graph(spark, vertices, union([edge_rows(*t) for t in triplets]), spark.createDataFrame(tree, TYPE_TREE), docs, None, typed, types, inverse | {q: p for p, q in inverse.items()})

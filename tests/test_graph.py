@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from keyloom.engine import Engine
 from keyloom.operators import paths
 from keyloom.plans.lexer import QuerySyntaxError
-from keyloom.sources.graph import EDGES, TYPE_TREE, VERTICES, Graph
+from keyloom.sources.graph import EDGES, TYPE_TREE, VERTICES, Graph, driver_graph
 from keyloom.sources.loaders import as_documents, load_graph_json, load_text, subgraph
 from keyloom.streaming.rules import Rules
 
@@ -149,6 +149,16 @@ def test_the_cheapest_go_first(spark, monkeypatch):
     assert {(r.source, r.node): r.cost for r in found if r.node in "789"} == {(str(i), str(j)): best[i, j] for i in (0, 1) for j in (7, 8, 9) if best[i, j] < float("inf")}
 
 
+def test_excluded_twins_are_not_looked_up(spark):
+    """Where predicates tell the twins, no edge of an excluded predicate is read."""
+    graph = driver_graph(spark, "/root/testdata/sf0.001")
+    half = paths.half_edges(graph, [], ["lives_in", "placed_by", "contains", "supplied_by"], None)
+    plan = half._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_partkey" not in plan and "o_custkey" not in plan and "Join" not in plan
+    slow = paths.half_edges(graph.changed(edges=graph.edges), [], ["lives_in", "placed_by", "contains", "supplied_by"], None)
+    assert sorted(map(tuple, half.collect())) == sorted(map(tuple, slow.collect()))
+
+
 def test_multi_match(spark):
     e = edges(spark, [("r", "r_", "a", "b", 1.0), ("r", "r_", "b", "c", 1.0)])
     eng = Engine(spark, Graph.of(spark, vertices(spark, [(k, "n", {}) for k in "abc"]), e))
