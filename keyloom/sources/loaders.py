@@ -86,19 +86,29 @@ def _within(graph: Graph, key: str, depth: int, most: int | None) -> tuple[DataF
     """(entities, triplets) as JSON, a row each: what lies within `depth` hops of a key."""
     reached = stored(graph.vertices.where(F.col("id") == key).select(F.col("id").alias("key")))
     front = reached
-    half = graph.edges.select(F.col("subject").alias("a"), F.col("object").alias("b"))
-    half = half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    kinds = near = {r["type"] for r in graph.vertices.where(F.col("id") == key).select("type").distinct().limit(1000).collect()}
     for _ in range(depth):
+        edges = graph.edges
+        if graph.ends:  # edges that can touch such vertices, as far as types tell; the others are not read
+            names = [p for p, ends in graph.ends.items() if near & set(ends)]
+            edges, near = edges.where(F.col("predicate").isin(names)), {x for p in names for x in graph.ends[p]}
+            kinds = kinds | near
+        half = edges.select(F.col("subject").alias("a"), F.col("object").alias("b"))
+        half = half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b")))
         front = stored(front.join(half, front.key == half.a).select(F.col("b").alias("key")).distinct().join(reached, "key", "left_anti"))
         if front.limit(1).count() == 0:
             break
         reached = stored(reached.unionByName(front))
         if most is not None and reached.limit(most + 1).count() > most:
             break
-    inside = graph.vertices.join(reached.withColumnRenamed("key", "id"), "id")
+    vertices, edges = graph.vertices, graph.edges
+    if graph.ends:
+        vertices = vertices.where(F.col("type").isin(sorted(kinds)))
+        edges = edges.where(F.col("predicate").isin([p for p, ends in graph.ends.items() if set(ends) <= kinds]))
+    inside = vertices.join(reached.withColumnRenamed("key", "id"), "id")
     entity = F.struct(F.col("id").alias("iri"), "type", F.map_filter("props", lambda k, v: v.isNotNull()).alias("props"))
     ends = reached.select(F.col("key").alias("subject")), reached.select(F.col("key").alias("object"))
-    within = graph.edges.join(ends[0], "subject", "left_semi").join(ends[1], "object", "left_semi")
+    within = edges.join(ends[0], "subject", "left_semi").join(ends[1], "object", "left_semi")
     return inside.select(F.to_json(entity).alias("json")), within.select(F.to_json(F.struct("subject", "predicate", "object", "weight")).alias("json"))
 
 

@@ -10,7 +10,7 @@ from keyloom.engine import Engine
 from keyloom.operators import paths
 from keyloom.plans.lexer import QuerySyntaxError
 from keyloom.sources.graph import EDGES, TYPE_TREE, VERTICES, Graph, driver_graph
-from keyloom.sources.loaders import as_documents, load_graph_json, load_text, subgraph
+from keyloom.sources.loaders import as_documents, load_graph_json, load_text, subgraph, subgraph_rows
 from keyloom.streaming.rules import Rules
 
 
@@ -159,6 +159,16 @@ def test_excluded_twins_are_not_looked_up(spark):
     assert sorted(map(tuple, half.collect())) == sorted(map(tuple, slow.collect()))
 
 
+def test_surroundings_read_what_types_allow(spark):
+    """Two hops from a region lead to its nations, customers and suppliers: no order and no part is read."""
+    graph = driver_graph(spark, "/root/testdata/sf0.001")
+    near = subgraph_rows(graph, "region/1", 2)
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_partkey" not in plan and "o_custkey" not in plan
+    whole = subgraph_rows(graph.changed(edges=graph.edges), "region/1", 2)
+    assert near.count() == whole.count() > 0 and near.exceptAll(whole).count() == 0
+
+
 def test_multi_match(spark):
     e = edges(spark, [("r", "r_", "a", "b", 1.0), ("r", "r_", "b", "c", 1.0)])
     eng = Engine(spark, Graph.of(spark, vertices(spark, [(k, "n", {}) for k in "abc"]), e))
